@@ -29,15 +29,35 @@ def match_skeleton(text: Column, java_pattern: str) -> Column:
     return F.regexp_replace(marked, F.lit(f"[^\n{MARK}]+"), F.lit(""))
 
 
-def skeleton_lines(skeleton: Column) -> Column:
-    """Distinct 1-based lines holding a match start, ascending.
+LINE_BITS = 32
 
-    Line of a match = newlines before its start + 1; splitting the skeleton on
-    newline puts every mark into the piece of its line.
+
+def skeleton_codes(skeleton: Column, tag: int) -> Column:
+    """Distinct match lines of one rule, encoded `tag << 32 | line`, ascending.
+
+    Line of a match = newlines before its start + 1. In the skeleton the
+    prefix before the k-th mark holds k-1 marks and the newlines, so
+    line_k = length(prefix_k) - k + 2. One mark (the common case) needs no
+    lambda; several marks take one lambda call per mark, never per line.
     """
-    pieces = F.split(skeleton, "\n", -1)
-    lines = F.filter(F.transform(pieces, lambda x, i: F.when(x != "", i + 1)), lambda v: v.isNotNull())
-    return F.when(F.instr(skeleton, MARK) > 0, lines).otherwise(F.array().cast("array<int>"))
+    off = tag << LINE_BITS
+    n_marks = F.length(skeleton) - F.length(F.replace(skeleton, F.lit(MARK), F.lit("")))
+    one = F.array((F.length(F.substring_index(skeleton, MARK, 1)) + F.lit(1 + off)).cast("bigint"))
+    many = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), n_marks),
+        lambda k: (F.length(F.call_function("substring_index", skeleton, F.lit(MARK), k))
+                   - k + F.lit(2 + off)).cast("bigint")))
+    return (F.when(n_marks == 0, F.array().cast("array<bigint>"))
+            .when(n_marks == 1, one)
+            .otherwise(many))
+
+
+def decode_rule(code: Column) -> Column:
+    return F.shiftright(code, LINE_BITS).cast("int")
+
+
+def decode_line(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
 
 
 def split_lines(text: Column) -> Column:

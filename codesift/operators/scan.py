@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dialect import java_pattern
-from ..functions.lines import match_skeleton, safe_text, skeleton_lines
+from ..functions.lines import decode_line, decode_rule, match_skeleton, safe_text, skeleton_codes
 from ..rules import ALL_RULES, SEVERITY_RANK, Rule, rules_for
 
 RULE_SEQ = {r.rule_id: i for i, r in enumerate(ALL_RULES)}
@@ -40,25 +40,48 @@ HITS = "_hits"
 
 
 def _needle_test(r: Rule, text: Column, lower_text: Column | None) -> Column | None:
+    """AND over needle groups, OR inside a group (a plain string is a group of one)."""
     if not r.needles:
         return None
     src = lower_text if ("i" in r.flags and lower_text is not None) else text
-    tests = [F.instr(src, n.lower() if "i" in r.flags else n) > 0 for n in r.needles]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
+    groups = [r.needles] if all(isinstance(n, str) for n in r.needles) else r.needles
+    out = None
+    for g in groups:
+        g = (g,) if isinstance(g, str) else g
+        any_of = None
+        for n in g:
+            t = F.instr(src, n.lower() if "i" in r.flags else n) > 0
+            any_of = t if any_of is None else (any_of | t)
+        out = any_of if out is None else (out & any_of)
     return out
 
 
-def _tag(pos: int):
-    return lambda ln: F.struct(F.lit(pos).alias("r"), ln.alias("line"))
+def spread(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """Hash-spread inputs that have fewer partitions than the cluster has cores.
+
+    Regex scanning is CPU-bound; a single small file would otherwise run in one
+    task. Large inputs already have many partitions and are left alone (no
+    shuffle of the text). Hashing on the ids keeps retries deterministic.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if any(k in text for k in ("Aggregate", "Join", "Repartition", "Window", "Sort", "Expand")):
+        return df  # already shuffled into spark.sql.shuffle.partitions parts
+    size = int(str(plan.stats().sizeInBytes()))
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    if size // max(split, 1) + 1 >= cores:
+        return df  # enough file splits already; never shuffle big text for this
+    return df.repartition(cores, *[F.col(c) for c in id_cols])
 
 
 def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[Rule],
               keep: Sequence[str] = (), prefilter: bool = True) -> DataFrame:
-    """Add `_text` (the safe text) and `_hits` array<struct<r:int, line:int>> per row.
+    """Add `_text` (the safe text) and `_hits` array<bigint> per row.
 
-    `r` indexes `rules`; hits are ordered by rule, then line.
+    Each hit is `r << 32 | line` with `r` indexing `rules`; hits are ordered
+    by rule, then line (see `explode_hits`).
     """
     cols = list(dict.fromkeys([*id_cols, *keep]))
     base = df.select(*cols, safe_text(F.col(text_col)).alias(TEXT))
@@ -75,7 +98,7 @@ def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Seque
             sk = F.when(test, sk).otherwise(F.lit(""))
         skels.append(sk.alias(f"_s{j}"))
     step = base.select(*cols, TEXT, *skels)
-    per_rule = [F.transform(skeleton_lines(F.col(f"_s{j}")), _tag(j)) for j in range(len(rules))]
+    per_rule = [skeleton_codes(F.col(f"_s{j}"), j) for j in range(len(rules))]
     return step.select(*cols, TEXT, F.flatten(F.array(*per_rule)).alias(HITS))
 
 
@@ -117,11 +140,22 @@ def scan(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] = ("file"
     chosen = rules_for(domains=domains, kinds=kinds, min_severity=min_severity, rules=rules)
     if not chosen:
         return empty_findings(df, id_cols)
-    hits = with_hits(df, text_col, id_cols, chosen, prefilter=prefilter)
-    flat = hits.select(*id_cols, F.inline(F.col(HITS)))
+    hits = with_hits(spread(df, id_cols), text_col, id_cols, chosen, prefilter=prefilter)
+    flat = explode_hits(hits, id_cols)
     return flat.select(*id_cols, *finding_columns(chosen, F.col("r"), F.col("line")))
 
 
+def explode_hits(hits: DataFrame, cols: Sequence[str], field: str = HITS) -> DataFrame:
+    """One row per hit.
+
+    `inline_outer` + a null filter instead of `inline`: for a plain `inline`
+    Catalyst infers `size(hits) > 0` and pushes it below the projections,
+    which would run every regex twice.
+    """
+    flat = hits.select(*cols, F.explode_outer(F.col(field)).alias("_h")).filter(F.col("_h").isNotNull())
+    return flat.select(*cols, decode_rule(F.col("_h")).alias("r"), decode_line(F.col("_h")).alias("line"))
+
+
 def severity_rank(sev: Column) -> Column:
     """Rank of a severity name; unknown names rank 0 (as the CLI filter does)."""
     m = F.create_map(*[x for k, v in SEVERITY_RANK.items() for x in (F.lit(k), F.lit(v))])

@@ -49,7 +49,8 @@ def _r(rule_id, domain, kind, severity, pattern, flags="", message="", safe=None
 SECURITY_RULES = [
     _r("SQL_INJECTION", "Security", "vulnerability", "critical",
        r"""['"`][^'"`\r\n]*\b(?:SELECT|INSERT|UPDATE|DELETE|DROP|WHERE|FROM|UNION)\b[^'"`\r\n]*['"`]\s*\+""", "i",
-       "SQL text is concatenated with a value; bind parameters instead", needles=("+",)),
+       "SQL text is concatenated with a value; bind parameters instead",
+       needles=(("+",), ("select", "insert", "update", "delete", "drop", "where", "from", "union"))),
     _r("EVAL_USAGE", "Security", "vulnerability", "critical",
        r"""\beval\s*\(""", "",
        "eval() runs arbitrary code", needles=("eval",)),
@@ -125,7 +126,7 @@ QUALITY_RULES = [
        needles=("if", "for", "while", "switch")),
     _r("POOR_NAMING", "Quality", "quality", "low",
        r"""\b(?:let|const|var)\s+([a-z])\s*[=:]""", "",
-       "one-letter variable name", needles=("let", "const", "var")),
+       "one-letter variable name", needles=(("let", "const", "var"),)),
     _r("LONG_FUNCTION", "Quality", "quality", "medium",
        r"""(?:function\s+\w+|=>\s*)\{(?:[^{}]|\{[^{}]*\}){500,}""", "",
        "function body is very long",
@@ -136,7 +137,7 @@ QUALITY_RULES = [
 DEVOPS_RULES = [
     _r("HARDCODED_IP", "DevOps", "devops", "medium",
        r"""['"`][^'"`\r\n]*(?:\d{1,3}\.){3}\d{1,3}[^'"`\r\n]*['"`]""", "",
-       "IP address written into a string", needles=(".",)),
+       "IP address written into a string", needles=((".",), ("'", '"', "`"))),
     _r("UNHANDLED_PROMISE", "DevOps", "devops", "high",
        r"""^(?!.*\.catch\b).*\.then\s*\(""", "m",
        ".then() on a line with no .catch()", needles=(".then",)),
@@ -157,19 +158,19 @@ DEVOPS_RULES = [
 SCALABILITY_RULES = [
     _r("SEQUENTIAL_ASYNC", "Scalability", "scalability", "high",
        r"""\bfor\s*(?:Of|In)?\s*(?:await\s*)?\([^)]*\)\s*\{[^}]*\bawait\b|\bwhile\s*\([^)]*\)\s*\{[^}]*\bawait\b""", "",
-       "await inside a loop serialises the calls", needles=("await",)),
+       "await inside a loop serialises the calls", needles=(("await",), ("for", "while"))),
     _r("N_PLUS_ONE", "Scalability", "scalability", "high",
        r"""\bfor\s*(?:Of|In)?\s*(?:await\s*)?\([^)]*\)\s*\{[^}]*\b(?:db\.|query\s*\(|findOne|findAll|find\s*\()""", "",
-       "one query per loop iteration", needles=("for",)),
+       "one query per loop iteration", needles=(("for",), ("db.", "query", "findOne", "findAll", "find"))),
     _r("NO_PAGINATION", "Scalability", "scalability", "medium",
        r"""['"`]SELECT\s+\*\s+FROM\s+\w+(?:\s+WHERE[^'"`]*)?['"`](?![^'"`,;]*\bLIMIT\b)""", "i",
-       "SELECT * without LIMIT", needles=("select",)),
+       "SELECT * without LIMIT", needles=(("select",), ("from",))),
     _r("NESTED_LOOP", "Scalability", "scalability", "medium",
        r"""\.forEach\([^{]*\{[^}]*?\.forEach\(""", "",
        "forEach nested in forEach", needles=(".forEach(",)),
     _r("STRING_CONCAT_LOOP", "Scalability", "scalability", "medium",
        r"""\bfor\b[^{]*\{[^}]*\+=\s*['"`][^'"`]*['"`]|\bfor\b[^{]*\{[^}]*\+=\s*\w+""", "",
-       "string built with += in a loop", needles=("+=",)),
+       "string built with += in a loop", needles=(("+=",), ("for",))),
     _r("UNBOUNDED_CACHE", "Scalability", "scalability", "medium",
        r"""\bnew\s+Map\s*\(\s*\)\s*;|new\s+Set\s*\(\s*\)\s*;""", "",
        "Map/Set cache without a size bound", needles=("new",)),
