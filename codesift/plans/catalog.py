@@ -15,7 +15,8 @@ from ..rules import (DEVOPS_RULES, QUALITY_RULES, SCALABILITY_RULES, SECRET_RULE
 from ..operators.scan import scan
 from ..session import read_table
 from ..sources.corpus import code_corpus, corpus_sql
-from .oracle_scan import scan_sql
+from .oracle_scan import context_sql, scan_sql
+from ..operators.context import scan_in_context
 
 SparkFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[SparkFn, str | None]] = {}
@@ -66,3 +67,14 @@ def scan_conversations(spark, sf):
 @register("scan_benchmark", scan_sql("benchmark", "text", ["item_id"], ALL_RULES))
 def scan_benchmark(spark, sf):
     return scan(read_table(spark, sf, "benchmark"), "text", ["item_id"])
+
+
+# ------------------------------------------------------ context and severity
+@register("scan_in_context", context_sql(corpus_sql(), "code", ["file"], ALL_RULES))
+def q_scan_in_context(spark, sf):
+    return scan_in_context(code_corpus(spark, sf), "code", ["file"])
+
+
+@register("documents_in_context", context_sql("documents", "text", ["doc_id"], ALL_RULES))
+def q_documents_in_context(spark, sf):
+    return scan_in_context(read_table(spark, sf, "documents"), "text", ["doc_id"])

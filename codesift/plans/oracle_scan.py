@@ -107,3 +107,75 @@ hits AS (
 SELECT {out_ids}, rl.kind, rl.domain, rl.rule_id, rl.severity, rl.message,
        CAST(h.line AS INTEGER) AS line, CAST(rl.rule_seq AS INTEGER) AS rule_seq
 FROM hits h JOIN {rules_values_sql(rules)} ON h.r = rl.r"""
+
+
+# ------------------------------------------------------------------ context
+def _in(col: str, ids) -> str:
+    return f"{col} IN ({', '.join(q(i) for i in ids)})"
+
+
+def severity_sql_columns(iterations: str = "NULL") -> str:
+    """SQL for severity_adjusted / severity_effective / severity_note over flag columns."""
+    from ..operators import severity as sev
+
+    base = (f"(CASE WHEN {_in('rule_id', sev.CRITICAL_IDS)} THEN 'critical' "
+            f"WHEN {_in('rule_id', sev.HIGH_IDS)} THEN 'high' ELSE 'medium' END)")
+    down = f"(CASE WHEN {base} = 'critical' THEN 'high' WHEN {base} = 'high' THEN 'medium' ELSE 'low' END)"
+    b = lambda c: f"coalesce({c}, false)"
+    it = f"coalesce({iterations}, 0)"
+    unbounded = f"({b('in_loop')} AND NOT {b('loop_bounded')})"
+    adjusted = (f"(CASE WHEN {_in('rule_id', sev.PINNED_SECURITY_IDS)} AND {base} = 'critical' THEN 'critical' "
+                f"WHEN {b('in_test')} THEN {down} "
+                f"WHEN {unbounded} AND rule_id = 'SEQUENTIAL_ASYNC' THEN "
+                f"(CASE WHEN {it} > {sev.ITERATIONS_LIMIT} THEN 'critical' ELSE 'high' END) "
+                f"WHEN {unbounded} AND rule_id = 'N_PLUS_ONE' THEN 'critical' "
+                f"WHEN {b('has_fallback')} OR {b('has_retry')} THEN {down} "
+                f"ELSE {base} END)")
+    rank = lambda c: (f"(CASE {c} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 "
+                      f"WHEN 'critical' THEN 3 ELSE 0 END)")
+    reasons = ("concat_ws(', ', "
+               f"CASE WHEN {b('in_test')} THEN 'issue is in test code' END, "
+               f"CASE WHEN {unbounded} THEN 'inside a loop with no bound' END, "
+               f"CASE WHEN {it} > {sev.ITERATIONS_LIMIT} THEN 'loop may run more than 1000 times' END, "
+               f"CASE WHEN {b('has_fallback')} THEN 'a fallback handles failure' END, "
+               f"CASE WHEN {b('has_retry')} THEN 'retry logic present' END)")
+    note = (f"CASE WHEN severity = severity_adjusted THEN printf('[%s] %s: no context adjustment', rule_id, severity) "
+            f"ELSE printf('%s from %s to %s because: %s.', "
+            f"CASE WHEN {rank('severity_adjusted')} > {rank('severity')} THEN 'Upgraded' ELSE 'Downgraded' END, "
+            f"severity, severity_adjusted, {reasons}) END")
+    return adjusted, note
+
+
+def context_sql(source: str, text_col: str, id_cols, rules) -> str:
+    from ..operators import context as cx
+
+    ids = ", ".join(id_cols)
+    join = " AND ".join(f"f.{c} = src.{c}" for c in id_cols)
+    rx = lambda pat, flags="": q(to_re2(pat, flags))
+    adjusted, note = severity_sql_columns()
+    return f"""WITH f AS ({scan_sql(source, text_col, id_cols, rules)}),
+src AS (SELECT {ids}, {safe_text_sql(text_col)} AS t FROM {source} AS s1),
+j AS (
+  SELECT f.*, string_split(src.t, chr(10)) AS lines, src.t AS t FROM f JOIN src ON {join}
+),
+w AS (
+  SELECT *, array_to_string(list_slice(lines, greatest(1, line - {cx.WINDOW_BEFORE}),
+                                       least(len(lines), line + {cx.WINDOW_AFTER})), chr(10)) AS win,
+         coalesce(lines[greatest(1, line)], '') AS lt
+  FROM j
+),
+flags AS (
+  SELECT {ids}, kind, domain, rule_id, severity, message, line, rule_seq,
+         regexp_matches(win, {rx(cx.LOOP)}) AS in_loop,
+         regexp_matches(win, {rx(cx.LOOP_BOUND)}) AS loop_bounded,
+         regexp_matches(win, {rx(cx.TEST_CALL)}) OR regexp_matches(substr(t, 1, {cx.HEAD_CHARS}), {rx(cx.TEST_FILE)}) AS in_test,
+         regexp_matches(win, {rx(cx.FALLBACK)}) OR regexp_matches(lt, {rx(cx.NULLISH)}) AS has_fallback,
+         regexp_matches(win, {rx(*cx.RETRY)}) AS has_retry,
+         NOT regexp_matches(array_to_string(list_slice(lines, 1, {cx.HEAD_LINES}), chr(10)), {rx(*cx.NOT_PRODUCTION)}) AS in_production
+  FROM w
+),
+adj AS (SELECT *, {adjusted} AS severity_adjusted FROM flags)
+SELECT *, CASE WHEN kind = 'vulnerability' THEN severity_adjusted WHEN kind = 'secret' THEN 'critical'
+               ELSE severity END AS severity_effective,
+       {note} AS severity_note
+FROM adj"""
