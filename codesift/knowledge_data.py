@@ -393,7 +393,7 @@ GUIDES = [
     _g("SEQUENTIAL_ASYNC", "Scalability", "High", 5, "HIGH",
        "Awaits in a loop", "Run independent calls concurrently.",
        ["Use Promise.all", "Bound concurrency if needed"],
-       related=["N_PLUS_ONE"], gain_ms=200),
+       related=["N_PLUS_ONE"], gain_ms=200.0),
     _g("NO_PAGINATION", "Scalability", "Medium", 5, "HIGH",
        "Unbounded SELECT", "Page the results.",
        ["Add LIMIT", "Use a cursor"],

@@ -44,6 +44,7 @@ GUIDE_SCHEMA = T.StructType([
     T.StructField("env_var", T.StringType()),
     T.StructField("related", T.ArrayType(T.StringType())),
     T.StructField("confidence", T.StringType()),
+    T.StructField("guide_pos", T.IntegerType()),
 ])
 
 
@@ -53,7 +54,7 @@ def explanations(spark: SparkSession) -> DataFrame:
 
 
 def guides(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GUIDES, GUIDE_SCHEMA)
+    return spark.createDataFrame([dict(g, guide_pos=i) for i, g in enumerate(GUIDES)], GUIDE_SCHEMA)
 
 
 def with_explanation(findings: DataFrame, id_col: str = "rule_id") -> DataFrame:
@@ -84,10 +85,10 @@ def with_guide(findings: DataFrame, id_col: str = "rule_id", iterations: Column
 
 def guide_ids_for_domain(spark: SparkSession, domain: str) -> DataFrame:
     """K6 (K5 with domain=None): guide ids of a domain, in guide order; unknown -> empty."""
-    g = guides(spark).withColumn("pos", F.monotonically_increasing_id())
+    g = guides(spark)
     if domain is not None:
         g = g.filter(F.col("guide_domain") == domain)
-    return g.select("rule_id", "pos")
+    return g.select("rule_id", "guide_domain", "guide_pos")
 
 
 def explanation_detail_rows(rule_ids: DataFrame, id_col: str = "rule_id") -> DataFrame:
@@ -128,7 +129,7 @@ def issue_sheet(findings: DataFrame) -> DataFrame:
                            F.col("line"), F.col("domain"))
     from_ex = F.concat_ws("\n", head, F.col("message"),
                           F.concat(F.lit("What: "), ex["what"]), F.concat(F.lit("Why: "), ex["why"]),
-                          F.concat(F.lit("Fix: "), ex["steps"][0]["title"]),
+                          F.concat(F.lit("Fix: "), F.get(ex["steps"], 0)["title"]),
                           F.concat(F.lit("Standard: "), ex["standard"]["name"]))
     from_guide = F.concat_ws("\n", head, g["problem"], g["explanation"],
                              F.concat(F.lit("Steps: "), F.array_join(g["steps"], "; ")),

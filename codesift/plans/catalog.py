@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..rules import (DEVOPS_RULES, QUALITY_RULES, SCALABILITY_RULES, SECRET_RULES, SECURITY_RULES,
                      ALL_RULES, rules_for)
@@ -78,3 +79,126 @@ def q_scan_in_context(spark, sf):
 @register("documents_in_context", context_sql("documents", "text", ["doc_id"], ALL_RULES))
 def q_documents_in_context(spark, sf):
     return scan_in_context(read_table(spark, sf, "documents"), "text", ["doc_id"])
+
+
+# ------------------------------------------------------------- everything else
+from ..operators import fixes as fx  # noqa: E402
+from ..operators import gates as gt  # noqa: E402
+from ..operators import knowledge as kn  # noqa: E402
+from ..operators import relations as rel  # noqa: E402
+from ..operators import reports as rp  # noqa: E402
+from ..sources import external as ext  # noqa: E402
+from . import oracle_more as om  # noqa: E402
+
+
+def corpus_findings(spark, sf):
+    return scan(code_corpus(spark, sf), "code", ["file"])
+
+
+def _on_findings(name, sql, fn):
+    register(name, sql)(lambda spark, sf: fn(corpus_findings(spark, sf)))
+
+
+_on_findings("severity_groups", om.severity_groups_sql(), rp.severity_groups)
+_on_findings("domain_counts", om.domain_counts_sql(), rp.domain_counts)
+_on_findings("totals", om.totals_sql(), rp.totals)
+_on_findings("per_file_counts", om.per_file_counts_sql(), rp.per_file_counts)
+_on_findings("summary", om.summary_sql(), rp.summary)
+_on_findings("gate_per_file", om.gate_per_file_sql(), lambda f: rp.gate(f, ["file"]))
+_on_findings("gate", om.gate_sql(), rp.gate)
+_on_findings("distinct_ids_per_file", om.distinct_ids_sql(), lambda f: rp.distinct_ids(f, ["file"]))
+_on_findings("labels", om.labels_sql(), rp.labels)
+_on_findings("text_report", om.text_report_sql(), rp.text_report)
+_on_findings("text_totals", om.text_totals_sql(), rp.text_totals)
+_on_findings("markdown_report", om.markdown_report_sql(), rp.markdown_report)
+_on_findings("json_report", om.json_report_sql(), rp.json_report)
+_on_findings("domain_report", om.domain_report_sql(), lambda f: rp.domain_report(f, ["file"]))
+_on_findings("listing", om.listing_sql(), rp.listing)
+_on_findings("explain_findings", om.explain_findings_sql(), lambda f: kn.with_explanation(f).select(
+    "file", "rule_id", "line", "explanation.what", "explanation.why",
+    F.col("explanation.standard.name").alias("standard_name"),
+    F.col("explanation.standard.cwe_name").alias("cwe_name"),
+    F.col("explanation.standard.url").alias("standard_url"),
+    F.get(F.col("explanation.steps"), 0)["title"].alias("fix_title"),
+    F.col("explanation.example.docs_url").alias("docs_url")))
+_on_findings("explanation_details", om.explanation_details_sql(), kn.explanation_detail_rows)
+_on_findings("issue_sheets", om.issue_sheets_sql(), kn.issue_sheet)
+_on_findings("guide_domains_found", om.guide_domains_found_sql(), lambda f: f.join(
+    F.broadcast(kn.guide_ids_for_domain(f.sparkSession, None)), "rule_id").groupBy("guide_domain", "rule_id", "guide_pos")
+    .agg(F.count(F.lit(1)).cast("bigint").alias("n_findings")))
+_on_findings("relations_from_found", om.relations_from_found_sql(), lambda f: rel.relationships_from(
+    f.select("rule_id").distinct()).select(
+    "rule_id", "to_id", "rel_type", F.col("priority").cast("int"), F.col("edge_idx").cast("int"),
+    rel.sentence(F.col("from_id"), F.col("to_id"), F.col("rel_type"), F.col("reason")).alias("sentence")))
+_on_findings("relations_in_file", om.relations_in_file_sql(), lambda f: rel.relationships_in_scope(
+    rel.scope_ids(f, ["file"]), ["file"]).select(
+    "file", "from_id", "to_id", "rel_type", F.col("priority").cast("int"), F.col("edge_idx").cast("int"),
+    rel.sentence(F.col("from_id"), F.col("to_id"), F.col("rel_type"), F.col("reason")).alias("sentence")))
+_on_findings("fix_order_per_file", om.fix_order_sql(), lambda f: rel.fix_order(rel.scope_ids(f, ["file"]), ["file"]))
+_on_findings("order_report_per_file", om.order_report_sql(), lambda f: rel.order_report(
+    rel.scope_ids(f, ["file"]), ["file"]))
+
+
+@register("guide_findings", om.guide_findings_sql())
+def q_guide_findings(spark, sf):
+    c = scan_in_context(code_corpus(spark, sf), "code", ["file"])
+    g = kn.with_guide(c, in_test=F.col("in_test"))
+    return g.select("file", "rule_id", "line", "in_test", F.col("guide.severity").alias("guide_severity"),
+                    F.col("guide.confidence").alias("confidence"), F.col("guide.env_var").alias("env_var"),
+                    F.array_join(F.col("guide.related"), ", ").alias("related"),
+                    F.col("fix_minutes").cast("int"), F.col("gain_ms").cast("double"))
+
+
+@register("diagnostics", om.diagnostics_sql())
+def q_diagnostics(spark, sf):
+    return rp.diagnostics(code_corpus(spark, sf), "code", ["file"])
+
+
+@register("fix_plan", om.fix_plan_sql())
+def q_fix_plan(spark, sf):
+    return fx.plan_fixes(code_corpus(spark, sf), "code", ["file"])
+
+
+@register("fixed_corpus")
+def q_fixed_corpus(spark, sf):
+    return fx.fixed_texts(code_corpus(spark, sf), "code", ["file"])
+
+
+@register("fixed_corpus_approved")
+def q_fixed_corpus_approved(spark, sf):
+    return fx.fixed_texts(code_corpus(spark, sf), "code", ["file"], approve_all=True)
+
+
+@register("before_after")
+def q_before_after(spark, sf):
+    corpus = code_corpus(spark, sf)
+    fixed = fx.fixed_texts(corpus, "code", ["file"]).select("file", F.col("code_fixed").alias("code"))
+    return fx.before_after(scan(corpus, "code", ["file"]), scan(fixed, "code", ["file"]), ["file"])
+
+
+@register("external_api", om.external_api_sql())
+def q_external_api(spark, sf):
+    e = ext.external_fixture(spark, sf)
+    return ext.ingest_api(e.filter(F.col("api_json").isNotNull()), ["file"], "api_json")
+
+
+@register("external_cli", om.external_cli_sql())
+def q_external_cli(spark, sf):
+    e = ext.external_fixture(spark, sf)
+    return ext.ingest_cli(e.filter(F.col("cli_json").isNotNull()), ["file"], "cli_json")
+
+
+@register("scan_with_external", om.precedence_sql())
+def q_scan_with_external(spark, sf):
+    return ext.with_precedence(corpus_findings(spark, sf), ext.external_fixture(spark, sf), ["file"])
+
+
+@register("prompt_gate", om.prompt_gate_sql())
+def q_prompt_gate(spark, sf):
+    return gt.prompt_gate(read_table(spark, sf, "conversations"), "text")
+
+
+@register("sanitize_conversations", om.sanitize_sql())
+def q_sanitize(spark, sf):
+    c = read_table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", gt.sanitize(F.col("text")).alias("sanitized"))
