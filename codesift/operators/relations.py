@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # ---------------------------------------------------------------------------
 # Edges (from, to, type, priority) in table order; the reasons
 # are our own wording. Verbs per type for the edge sentence.
@@ -135,6 +137,7 @@ def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFrame
     rows = EDGES if edge_rows is None else edge_rows
     oe = F.broadcast(_ordering_edges(edges(spark, rows)))
     s = list(scope)
+    ids = materialize(ids) if not ids.isStreaming else ids
     # edges with both ends present in the scope
     pe = (ids.select(*s, F.col("rule_id").alias("before")).join(oe, "before")
           .join(ids.select(*s, F.col("rule_id").alias("after")), [*s, "after"], "left_semi"))
@@ -172,6 +175,7 @@ def order_report(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFr
     spark = ids.sparkSession
     rows = EDGES if edge_rows is None else edge_rows
     s = list(scope)
+    ids = materialize(ids)
     ordered = fix_order(ids, s, rows)
     rels = relationships_in_scope(ids, s, edges(spark, rows))
     rel_lines = (rels.groupBy(*s, "from_id")

@@ -92,11 +92,11 @@ def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Seque
         lower_text = F.col("_lower")
     skels = []
     for j, r in enumerate(rules):
-        sk = match_skeleton(text, java_pattern(r))
+        pat = java_pattern(r)
+        # cheap literal test, then a find-first; the marking pass only runs on rows that match
         test = _needle_test(r, text, lower_text) if prefilter else None
-        if test is not None:
-            sk = F.when(test, sk).otherwise(F.lit(""))
-        skels.append(sk.alias(f"_s{j}"))
+        gate = text.rlike(pat) if test is None else (test & text.rlike(pat))
+        skels.append(F.when(gate, match_skeleton(text, pat)).otherwise(F.lit("")).alias(f"_s{j}"))
     step = base.select(*cols, TEXT, *skels)
     per_rule = [skeleton_codes(F.col(f"_s{j}"), j) for j in range(len(rules))]
     return step.select(*cols, TEXT, F.flatten(F.array(*per_rule)).alias(HITS))

@@ -123,7 +123,7 @@ QUALITY_RULES = [
        r"""^(?:\t| {2}){4,}(?:if|for|while|switch)\s*\(""", "m",
        "control flow nested four levels or more",
        safe=r"""^(?:\t| {2}){4,}+(?:if|for|while|switch)\s*\(""",
-       needles=("if", "for", "while", "switch")),
+       needles=(("\t", " " * 8), ("if", "for", "while", "switch"))),
     _r("POOR_NAMING", "Quality", "quality", "low",
        r"""\b(?:let|const|var)\s+([a-z])\s*[=:]""", "",
        "one-letter variable name", needles=(("let", "const", "var"),)),

@@ -50,3 +50,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df):
+    """Cut lineage: write `df` to the shared checkpoint folder and read it back.
+
+    For small intermediate tables that an iterative plan reuses several times
+    (so the scan under them runs once). Never a machine-local cache.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
