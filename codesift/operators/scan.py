@@ -63,6 +63,8 @@ def spread(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     task. Large inputs already have many partitions and are left alone (no
     shuffle of the text). Hashing on the ids keeps retries deterministic.
     """
+    if df.isStreaming:
+        return df  # micro-batches keep their own partitioning
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
