@@ -159,17 +159,17 @@ def q_fix_plan(spark, sf):
     return fx.plan_fixes(code_corpus(spark, sf), "code", ["file"])
 
 
-@register("fixed_corpus")
+@register("fixed_corpus", om.fixed_corpus_sql(False))
 def q_fixed_corpus(spark, sf):
     return fx.fixed_texts(code_corpus(spark, sf), "code", ["file"])
 
 
-@register("fixed_corpus_approved")
+@register("fixed_corpus_approved", om.fixed_corpus_sql(True))
 def q_fixed_corpus_approved(spark, sf):
     return fx.fixed_texts(code_corpus(spark, sf), "code", ["file"], approve_all=True)
 
 
-@register("before_after")
+@register("before_after", om.before_after_sql())
 def q_before_after(spark, sf):
     corpus = code_corpus(spark, sf)
     fixed = fx.fixed_texts(corpus, "code", ["file"]).select("file", F.col("code_fixed").alias("code"))

@@ -430,3 +430,82 @@ def sanitize_sql() -> str:
 
 
 RULE = RULES_BY_ID
+
+
+# ------------------------------------------------------- applied fixes
+def _fixed_corpus_body(approve_all: bool) -> str:
+    """CTE chain ending in `fixed(file, code_fixed, n_fixes, n_applied)`; needs `f` (findings)."""
+    secret_ids = ", ".join(q(i) for i in fx.SECRET_IDS)
+    is_secret = f"(kind = 'secret' OR rule_id IN ({secret_ids}))"
+    usable = "true" if approve_all else f"NOT ({is_secret} OR rule_id = 'SENSITIVE_DATA_LOG')"
+    fixable = f"({is_secret} OR rule_id IN ('CONSOLE_LOG', 'SENSITIVE_DATA_LOG', 'TODO_FIXME', 'EMPTY_CATCH', 'DEBUG_ENABLED'))"
+    todo = q(to_re2(*fx.TODO_FIND))
+    catch = q(to_re2(*fx.EMPTY_CATCH_FIND))
+    debug = q(to_re2(*fx.DEBUG_FIND))
+    secret = q(to_re2(r"""=\s*'[^'"]{4,}'|=\s*"[^'"]{4,}\""""))
+    catch_rep = q(fx.EMPTY_CATCH_REPLACE.replace("$1", "\\1"))
+    # replacements run in full-scan rule order: Security (DEBUG_ENABLED), secrets, Quality
+    from ..rules import SECRET_RULES
+    chain = "txt"
+    chain = f"CASE WHEN dbg THEN regexp_replace({chain}, {debug}, {q(fx.DEBUG_REPLACE)}) ELSE {chain} END"
+    for r in SECRET_RULES:
+        env = r.rule_id.upper()
+        chain = (f"CASE WHEN s_{r.rule_id.lower()} THEN regexp_replace({chain}, {secret}, "
+                 f"{q('= process.env.' + env)}) ELSE {chain} END")
+    chain = f"CASE WHEN ec THEN regexp_replace({chain}, {catch}, {catch_rep}) ELSE {chain} END"
+    chain = f"CASE WHEN todo THEN regexp_replace({chain}, {todo}, {q(fx.TODO_REPLACE)}) ELSE {chain} END"
+    secret_flags = ", ".join(f"bool_or(rule_id = {q(r.rule_id)}) AS s_{r.rule_id.lower()}" for r in SECRET_RULES)
+    applied = (f"CASE WHEN rule_id IN ('CONSOLE_LOG', 'SENSITIVE_DATA_LOG') THEN true "
+               f"WHEN {is_secret} THEN regexp_matches(orig, {secret}) "
+               f"WHEN rule_id = 'TODO_FIXME' THEN regexp_matches(orig, {todo}) "
+               f"WHEN rule_id = 'EMPTY_CATCH' THEN regexp_matches(orig, {catch}) "
+               f"ELSE regexp_matches(orig, {debug}) END")
+    return f""",
+src AS (SELECT file, {safe_text_sql('code')} AS t FROM {corpus_sql()} AS c),
+uf AS (SELECT * FROM f WHERE {fixable} AND {usable}),
+per_line AS (
+  SELECT file, line, bool_or(rule_id IN ('CONSOLE_LOG', 'SENSITIVE_DATA_LOG')) AS del,
+         bool_or(rule_id = 'DEBUG_ENABLED') AS dbg, bool_or(rule_id = 'EMPTY_CATCH') AS ec,
+         bool_or(rule_id = 'TODO_FIXME') AS todo, {secret_flags}
+  FROM uf GROUP BY file, line
+),
+lns AS (
+  SELECT file, t, unnest(string_split(t, chr(10))) AS txt, generate_subscripts(string_split(t, chr(10)), 1) AS i
+  FROM src
+),
+rew AS (
+  SELECT l.file, l.i, CASE WHEN p.line IS NULL THEN l.txt WHEN p.del THEN NULL ELSE {chain} END AS nt
+  FROM lns l LEFT JOIN per_line p ON p.file = l.file AND p.line = l.i
+),
+cnt AS (
+  SELECT uf.file, CAST(count(*) AS INTEGER) AS n_fixes,
+         CAST(sum(CASE WHEN {applied} THEN 1 ELSE 0 END) AS INTEGER) AS n_applied
+  FROM uf JOIN (SELECT file, i, txt AS orig FROM lns) o ON o.file = uf.file AND o.i = uf.line
+  GROUP BY uf.file
+),
+fixed AS (
+  SELECT r.file, coalesce(string_agg(r.nt, chr(10) ORDER BY r.i), '') AS code_fixed,
+         coalesce(cnt.n_fixes, 0) AS n_fixes, coalesce(cnt.n_applied, 0) AS n_applied
+  FROM rew r LEFT JOIN cnt ON cnt.file = r.file
+  GROUP BY r.file, cnt.n_fixes, cnt.n_applied
+)"""
+
+
+def fixed_corpus_sql(approve_all: bool = False) -> str:
+    return with_f(_fixed_corpus_body(approve_all) + "\nSELECT file, code_fixed, n_fixes, n_applied FROM fixed")
+
+
+def before_after_sql() -> str:
+    after = scan_sql("fixed", "code_fixed", ["file"], ALL_RULES, src="src2", hits="hits2")
+    assert after.startswith("WITH ")
+    head, _, tail = after[len("WITH "):].partition("\nSELECT ")
+    return with_f(_fixed_corpus_body(False) + f""",
+{head},
+g AS (SELECT {tail}),
+b AS (SELECT file, rule_id, count(*) AS n FROM f GROUP BY file, rule_id),
+a AS (SELECT file, rule_id, count(*) AS n FROM g GROUP BY file, rule_id)
+SELECT coalesce(b.file, a.file) AS file, coalesce(b.rule_id, a.rule_id) AS rule_id,
+  CAST(coalesce(b.n, 0) AS BIGINT) AS before, CAST(coalesce(a.n, 0) AS BIGINT) AS after,
+  CASE WHEN coalesce(a.n, 0) = 0 THEN 'fixed' WHEN coalesce(b.n, 0) = 0 THEN 'new'
+       WHEN a.n < b.n THEN 'reduced' WHEN a.n = b.n THEN 'remaining' ELSE 'increased' END AS status
+FROM b FULL OUTER JOIN a ON a.file = b.file AND a.rule_id = b.rule_id""")

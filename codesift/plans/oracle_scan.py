@@ -92,21 +92,21 @@ def rules_values_sql(rules) -> str:
     return f"(VALUES\n    {rows}) AS rl(r, kind, domain, rule_id, severity, message, rule_seq)"
 
 
-def scan_sql(source: str, text_col: str, id_cols, rules) -> str:
+def scan_sql(source: str, text_col: str, id_cols, rules, src: str = "src", hits: str = "hits") -> str:
     """Findings of `rules` over `source` (a table name or parenthesised query)."""
     ids = ", ".join(id_cols)
     parts = []
     for j, r in enumerate(rules):
-        parts.append(f"SELECT {ids}, {j} AS r, unnest({lines_sql(marked_sql(r, 't'))}) AS line FROM src")
+        parts.append(f"SELECT {ids}, {j} AS r, unnest({lines_sql(marked_sql(r, 't'))}) AS line FROM {src}")
     union = "\n  UNION ALL\n  ".join(parts)
     out_ids = ", ".join(f"h.{c}" for c in id_cols)
-    return f"""WITH src AS (SELECT {ids}, {safe_text_sql(text_col)} AS t FROM {source} AS s0),
-hits AS (
+    return f"""WITH {src} AS (SELECT {ids}, {safe_text_sql(text_col)} AS t FROM {source} AS s0),
+{hits} AS (
   {union}
 )
 SELECT {out_ids}, rl.kind, rl.domain, rl.rule_id, rl.severity, rl.message,
        CAST(h.line AS INTEGER) AS line, CAST(rl.rule_seq AS INTEGER) AS rule_seq
-FROM hits h JOIN {rules_values_sql(rules)} ON h.r = rl.r"""
+FROM {hits} h JOIN {rules_values_sql(rules)} ON h.r = rl.r"""
 
 
 # ------------------------------------------------------------------ context
