@@ -50,7 +50,8 @@ def _needle_test(r: Rule, text: Column, lower_text: Column | None) -> Column | N
         g = (g,) if isinstance(g, str) else g
         any_of = None
         for n in g:
-            t = F.instr(src, n.lower() if "i" in r.flags else n) > 0
+            # `contains` scans bytes with a first-byte check; `instr` counts characters at every position
+            t = src.contains(n.lower() if "i" in r.flags else n)
             any_of = t if any_of is None else (any_of | t)
         out = any_of if out is None else (out & any_of)
     return out

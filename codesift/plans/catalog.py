@@ -202,3 +202,13 @@ def q_prompt_gate(spark, sf):
 def q_sanitize(spark, sf):
     c = read_table(spark, sf, "conversations")
     return c.select("conv_id", "turn", gt.sanitize(F.col("text")).alias("sanitized"))
+
+
+@register("stream_scan_documents", scan_sql("documents", "text", ["doc_id"], ALL_RULES))
+def q_stream_scan_documents(spark, sf):
+    from ..streaming.scan_stream import stream_table_findings
+
+    return stream_table_findings(spark, sf, "documents", "text", ["doc_id"])
+
+
+_on_findings("markdown_header", om.markdown_header_sql(), rp.markdown_header)

@@ -509,3 +509,8 @@ SELECT coalesce(b.file, a.file) AS file, coalesce(b.rule_id, a.rule_id) AS rule_
   CASE WHEN coalesce(a.n, 0) = 0 THEN 'fixed' WHEN coalesce(b.n, 0) = 0 THEN 'new'
        WHEN a.n < b.n THEN 'reduced' WHEN a.n = b.n THEN 'remaining' ELSE 'increased' END AS status
 FROM b FULL OUTER JOIN a ON a.file = b.file AND a.rule_id = b.rule_id""")
+
+
+def markdown_header_sql() -> str:
+    return with_f("""SELECT printf('# Scan report' || chr(10) || chr(10) || '**%d issue(s)** across **%d file(s)**' || chr(10),
+  count(*), count(DISTINCT file)) AS header FROM f""")
