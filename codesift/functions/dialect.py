@@ -17,7 +17,8 @@ This rewrites tokens one by one; it is not a general regex parser.
 from __future__ import annotations
 
 # JavaScript's whitespace and line-terminator sets (ECMAScript).
-_JS_SPACE_JAVA = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Java's \s is exactly JavaScript's ASCII blanks; the Unicode ones are added.
+_JS_SPACE_JAVA = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _JS_SPACE_RE2 = r"\t\n\v\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _JS_EOL_JAVA = r"\n\r\u2028\u2029"
 _JS_EOL_RE2 = r"\n\r\x{2028}\x{2029}"
