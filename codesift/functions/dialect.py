@@ -24,23 +24,109 @@ _JS_EOL_JAVA = r"\n\r\u2028\u2029"
 _JS_EOL_RE2 = r"\n\r\x{2028}\x{2029}"
 
 _ASCII_BOUNDARY_JAVA = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # Java's \w is ASCII
+ONE_SIDED_BOUNDARIES = True  # switch for tests: the one-sided forms must match the generic one
 
 
 def _is_word_literal(ch: str) -> bool:
     return ch.isascii() and (ch.isalnum() or ch == "_")
 
 
+def _alternatives(body: str) -> list[str]:
+    """Top-level alternatives of a group body (no nested groups or classes expected)."""
+    out, cur, depth, i = [], "", 0, 0
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            cur += body[i:i + 2]
+            i += 2
+            continue
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        if c == "|" and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += c
+        i += 1
+    return out + [cur]
+
+
+def _group_after(src: str, start: int) -> str | None:
+    """Body of a `(?:...)` group starting at src[start], if it is a simple one."""
+    if not src.startswith("(?:", start):
+        return None
+    depth, i = 0, start
+    while i < len(src):
+        if src[i] == "\\":
+            i += 2
+            continue
+        if src[i] == "(":
+            depth += 1
+        elif src[i] == ")":
+            depth -= 1
+            if depth == 0:
+                after = src[i + 1:i + 3]
+                if after[:1] in ("?", "*") or after == "{0":
+                    return None  # the group may match nothing
+                return src[start + 3:i]
+        i += 1
+    return None
+
+
+def _group_before(src: str, end: int) -> str | None:
+    """Body of a `(?:...)` group whose `)` is src[end]."""
+    if end < 0 or src[end] != ")" or (end >= 1 and src[end - 1] == "\\"):
+        return None
+    depth, i = 0, end
+    while i >= 0:
+        c = src[i]
+        escaped = i >= 1 and src[i - 1] == "\\"
+        if c == ")" and not escaped:
+            depth += 1
+        elif c == "(" and not escaped:
+            depth -= 1
+            if depth == 0:
+                return src[i + 3:end] if src.startswith("(?:", i) else None
+        i -= 1
+    return None
+
+
+def _starts_word(alt: str) -> bool:
+    return bool(alt) and (_is_word_literal(alt[0]) or alt[:2] in ("\\d", "\\w"))
+
+
+def _ends_word(alt: str) -> bool:
+    return bool(alt) and _is_word_literal(alt[-1]) and not (len(alt) >= 2 and alt[-2] == "\\")
+
+
 def _boundary(src: str, at: int, target: str) -> str:
-    """`\\b` at src[at:at+2]; cheaper one-sided forms when a neighbour is a literal word char."""
+    """`\\b` at src[at:at+2]; one-sided forms when the neighbour is surely a word character.
+
+    Before something that must start with a word character, `\\b` means "no
+    word character before"; after something that must end with one, "no word
+    character after".
+    """
     if target != "java":
         return r"\b"
+    if not ONE_SIDED_BOUNDARIES:
+        return _ASCII_BOUNDARY_JAVA
     nxt = src[at + 2] if at + 2 < len(src) else ""
-    if _is_word_literal(nxt):
+    grp = _group_after(src, at + 2)
+    if _is_word_literal(nxt) or (grp is not None and all(_starts_word(a) for a in _alternatives(grp))):
         return r"(?<!\w)"
     prev = src[at - 1] if at >= 1 else ""
     prev_escaped = at >= 2 and src[at - 2] == "\\"
     if (_is_word_literal(prev) and not prev_escaped) or (prev_escaped and prev in "dw"):
         return r"(?!\w)"
+    grp = _group_before(src, at - 1)
+    if grp is not None and all(_ends_word(a) for a in _alternatives(grp)):
+        return r"(?!\w)"
+    # `\d{n,}` / `\d+` / `\w+` right before: the last character consumed is a word character
+    import re as _re
+    if _re.search(r"\\[dw](?:\+|\{[1-9]\d*,?\d*\})$", src[:at]):
+        return r"(?!\w)"
     return _ASCII_BOUNDARY_JAVA
 
 

@@ -94,3 +94,22 @@ def test_hostile_inputs_finish_quickly(spark):
     assert hits(spark, long_body, "LONG_FUNCTION") == [1]
     assert hits(spark, params, "TOO_MANY_PARAMS") == []
     assert time.time() - t0 < 60
+
+
+def test_one_sided_boundaries_equal_generic(spark):
+    import random
+
+    from codesift.functions import dialect
+
+    rng = random.Random(3)
+    extra = ["éeval(x); çfor (é of y) { await z; }", "xSELECT_1 = 'a' + b;", "req.bodyX; req.body;",
+             "// TODOs\n// todo: x", "a=12é; b=é34; 56_", "LIMITs 'SELECT * FROM t' LIMIT"]
+    texts = [(i, "\n".join(rng.choice([c for _, _, c in SNIPPETS] + extra) for _ in range(8))) for i in range(200)]
+    df = spark.createDataFrame(texts, "file long, code string")
+    one = {tuple(r) for r in scan(df).collect()}
+    dialect.ONE_SIDED_BOUNDARIES = False
+    try:
+        generic = {tuple(r) for r in scan(df).collect()}
+    finally:
+        dialect.ONE_SIDED_BOUNDARIES = True
+    assert one == generic and len(one) > 0
