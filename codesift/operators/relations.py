@@ -149,9 +149,12 @@ def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFrame
     pending = base.filter(F.col("indeg").isNotNull()).select(*s, "rule_id", "pos", "indeg")
     # each round is checkpointed: the plan of round k would otherwise contain
     # every earlier round (exponential plan growth for long paths and cycles)
-    ranked, pending = materialize(ranked), materialize(pending)
-    for _ in range(_rounds(rows)):
-        if pending.isEmpty():
+    rounds = _rounds(rows)
+    deep = rounds > 2  # shallow graphs (the shipped table has 1 round) keep a small plan
+    keep = materialize if deep else (lambda d: d)
+    ranked, pending = keep(ranked), keep(pending)
+    for _ in range(rounds):
+        if deep and pending.isEmpty():
             break
         done = ranked.select(*s, F.col("rule_id").alias("before"), F.col("rank").alias("brank"))
         hits = (pe.join(done, [*s, "before"])
@@ -165,11 +168,11 @@ def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFrame
                .withColumn("rank", F.col("off") + F.row_number().over(
                    Window.partitionBy(*s).orderBy(F.col("last.brank"), F.col("last.edge_idx"))))
                .select(*s, "rule_id", "pos", "rank"))
-        new = materialize(new)
-        if new.isEmpty():
+        new = keep(new)
+        if deep and new.isEmpty():
             break  # the rest is cyclic
-        ranked = materialize(ranked.unionByName(new))
-        pending = materialize(pending.join(new.select(*s, "rule_id"), [*s, "rule_id"], "left_anti"))
+        ranked = keep(ranked.unionByName(new))
+        pending = keep(pending.join(new.select(*s, "rule_id"), [*s, "rule_id"], "left_anti"))
     # cyclic scopes: something left pending -> input order for the whole scope
     cyclic = pending.select(*s).distinct().withColumn("_cyc", F.lit(True))
     out = (ids.join(ranked.select(*s, "rule_id", "rank"), [*s, "rule_id"], "left")
