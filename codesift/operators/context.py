@@ -35,10 +35,26 @@ HEAD_CHARS, HEAD_LINES = 200, 3
 CONTEXT_COLUMNS = ["in_loop", "loop_bounded", "in_test", "has_fallback", "has_retry", "in_production"]
 
 
-def _rl(c: Column, pat, flags: str = "") -> Column:
+def _rl(c: Column, pat, flags: str = "", needles=()) -> Column:
+    """`rlike`, behind a cheap `contains` test when the pattern needs one of `needles`."""
     if isinstance(pat, tuple):
         pat, flags = pat
-    return c.rlike(to_java(pat, flags))
+    test = c.rlike(to_java(pat, flags))
+    if needles:
+        src = F.lower(c) if "i" in flags else c
+        any_of = None
+        for n in needles:
+            t = src.contains(n)
+            any_of = t if any_of is None else (any_of | t)
+        test = any_of & test
+    return test
+
+
+# Necessary literals of the context patterns (exact prefilters).
+LOOP_NEEDLES = ("for", "while")
+LOOP_BOUND_NEEDLES = ("LIMIT", "slice", "splice", "length")
+FALLBACK_NEEDLES = ("catch",)
+RETRY_NEEDLES = ("retry", "backoff")
 
 
 def scan_in_context(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] = ("file",),
@@ -82,11 +98,11 @@ def scan_in_context(df: DataFrame, text_col: str = "code", id_cols: Sequence[str
     flagged = flat.select(
         *id_cols, *keep,
         *finding_columns(chosen, decode_rule(F.col("c.h")), decode_line(F.col("c.h"))),
-        _rl(win, LOOP).alias("in_loop"),
-        _rl(win, LOOP_BOUND).alias("loop_bounded"),
-        (_rl(win, TEST_CALL) | F.col("_test_file")).alias("in_test"),
-        (_rl(win, FALLBACK) | _rl(lt, NULLISH)).alias("has_fallback"),
-        _rl(win, RETRY).alias("has_retry"),
+        _rl(win, LOOP, needles=LOOP_NEEDLES).alias("in_loop"),
+        _rl(win, LOOP_BOUND, needles=LOOP_BOUND_NEEDLES).alias("loop_bounded"),
+        (F.col("_test_file") | _rl(win, TEST_CALL)).alias("in_test"),
+        (_rl(win, FALLBACK, needles=FALLBACK_NEEDLES) | lt.contains("??")).alias("has_fallback"),
+        _rl(win, RETRY, needles=RETRY_NEEDLES).alias("has_retry"),
         "in_production",
     )
     return with_severity(flagged, iterations_col)
