@@ -212,3 +212,38 @@ def q_stream_scan_documents(spark, sf):
 
 
 _on_findings("markdown_header", om.markdown_header_sql(), rp.markdown_header)
+
+
+# ------------------------------------------------- the same operators on given text tables
+def as_file_code(spark, sf, table, id_col, text_col):
+    return read_table(spark, sf, table).select(F.col(id_col).alias("file"), F.col(text_col).alias("code"))
+
+
+_DOCS = om.as_file_code("documents", "doc_id", "text")
+_PAGES = om.as_file_code("pages", "page_id", "html")
+
+
+@register("documents_fix_plan", om.fix_plan_sql(_DOCS))
+def q_documents_fix_plan(spark, sf):
+    return fx.plan_fixes(as_file_code(spark, sf, "documents", "doc_id", "text"))
+
+
+@register("documents_redacted", om.fixed_corpus_sql(True, _DOCS))
+def q_documents_redacted(spark, sf):
+    """Approved fixes on documents: hardcoded secrets become environment lookups."""
+    return fx.fixed_texts(as_file_code(spark, sf, "documents", "doc_id", "text"), approve_all=True)
+
+
+@register("documents_diagnostics", om.diagnostics_sql(_DOCS))
+def q_documents_diagnostics(spark, sf):
+    return rp.diagnostics(as_file_code(spark, sf, "documents", "doc_id", "text"))
+
+
+@register("pages_text_report", om.text_report_sql(_PAGES))
+def q_pages_text_report(spark, sf):
+    return rp.text_report(scan(as_file_code(spark, sf, "pages", "page_id", "html")))
+
+
+@register("documents_text_report", om.text_report_sql(_DOCS))
+def q_documents_text_report(spark, sf):
+    return rp.text_report(scan(as_file_code(spark, sf, "documents", "doc_id", "text")))

@@ -29,14 +29,19 @@ def values(rows, cols) -> str:
     return f"(VALUES\n    {body}) AS v({', '.join(cols)})"
 
 
-def corpus_findings() -> str:
-    return scan_sql(corpus_sql(), "code", ["file"], ALL_RULES)
+def corpus_findings(src: str | None = None) -> str:
+    return scan_sql(src or corpus_sql(), "code", ["file"], ALL_RULES)
 
 
 def with_f(body: str, findings: str | None = None) -> str:
     return f"WITH f AS ({findings or corpus_findings()})\n{body}"
 
 
+def as_file_code(table: str, id_col: str, text_col: str) -> str:
+    """A given table viewed as (file, code), as the Spark side does with aliases."""
+    return f"(SELECT {id_col} AS file, {text_col} AS code FROM {table})"
+
+
 # ------------------------------------------------------------- aggregates
 def severity_groups_sql() -> str:
     return with_f("""SELECT severity, CAST(count(*) AS BIGINT) AS n,
@@ -88,11 +93,12 @@ def labels_sql() -> str:
 FROM f""")
 
 
-def diagnostics_sql() -> str:
+def diagnostics_sql(src: str | None = None) -> str:
     rules = [r for r in ALL_RULES if r.domain == "Security"]
-    fsql = scan_sql(corpus_sql(), "code", ["file"], rules)
+    src = src or corpus_sql()
+    fsql = scan_sql(src, "code", ["file"], rules)
     return f"""WITH f AS ({fsql}),
-src AS (SELECT file, string_split({safe_text_sql('code')}, chr(10)) AS lines FROM {corpus_sql()} AS c)
+src AS (SELECT file, string_split({safe_text_sql('code')}, chr(10)) AS lines FROM {src} AS c)
 SELECT f.file, f.rule_id, f.line, CAST(greatest(0, f.line - 1) AS INTEGER) AS line_index,
   CAST(length(src.lines[least(greatest(0, f.line - 1), len(src.lines) - 1) + 1]) AS INTEGER) AS end_col,
   CASE WHEN f.kind = 'secret' OR f.severity IN ('critical', 'high') THEN 'Error' ELSE 'Warning' END AS level,
@@ -106,9 +112,9 @@ def _item_order(item: str) -> str:
     return f"ORDER BY rule_seq, line, {item}"
 
 
-def text_report_sql() -> str:
+def text_report_sql(src: str | None = None) -> str:
     item = "printf('  [%s] L%d: %s — %s', upper(severity), line, rule_id, message)"
-    return with_f(f"""SELECT file, {NL} || printf('=== %s (%d issue(s)) ===', CAST(file AS VARCHAR), count(*)) || {NL}
+    return with_f(findings=corpus_findings(src), body=f"""SELECT file, {NL} || printf('=== %s (%d issue(s)) ===', CAST(file AS VARCHAR), count(*)) || {NL}
   || string_agg({item}, {NL} {_item_order(item)}) AS block
 FROM f GROUP BY file""")
 
@@ -326,7 +332,7 @@ def _re2_find(rule_id: str) -> str:
     return to_re2(r"""=\s*'[^'"]{4,}'|=\s*"[^'"]{4,}\"""")
 
 
-def fix_plan_sql() -> str:
+def fix_plan_sql(src_sql: str | None = None) -> str:
     sec_find, _ = fx._first_only(fx.SECRET_FIND, "")
     todo = fx._first_only(fx.TODO_FIND, fx.TODO_REPLACE)
     catch = fx._first_only(fx.EMPTY_CATCH_FIND, fx.EMPTY_CATCH_REPLACE)
@@ -335,7 +341,7 @@ def fix_plan_sql() -> str:
     secret_ids = ", ".join(q(i) for i in fx.SECRET_IDS)
     is_secret = f"(f.kind = 'secret' OR f.rule_id IN ({secret_ids}))"
     return with_f(f""",
-src AS (SELECT file, string_split({safe_text_sql('code')}, chr(10)) AS lines FROM {corpus_sql()} AS c),
+src AS (SELECT file, string_split({safe_text_sql('code')}, chr(10)) AS lines FROM {src_sql or corpus_sql()} AS c),
 p AS (
   SELECT f.file, f.rule_id, f.line, len(src.lines) AS n, src.lines[least(greatest(1, f.line), greatest(len(src.lines), 1))] AS orig,
     CASE WHEN {is_secret} THEN 'REPLACE' WHEN f.rule_id IN ('CONSOLE_LOG', 'SENSITIVE_DATA_LOG') THEN 'DELETE'
@@ -361,7 +367,7 @@ SELECT file, 'fix-' || rule_id || '-' || CAST(line AS VARCHAR) AS fix_id, rule_i
   description,
   CASE WHEN fix_type = 'DELETE' THEN greatest(1, line) <= n
        ELSE greatest(1, line) <= n AND regexp_matches(orig, re2_find) END AS applied
-FROM p WHERE fix_type IS NOT NULL""").replace("\n,\nsrc AS", ",\nsrc AS")
+FROM p WHERE fix_type IS NOT NULL""", findings=corpus_findings(src_sql)).replace("\n,\nsrc AS", ",\nsrc AS")
 
 
 # --------------------------------------------------------------- external
@@ -433,7 +439,7 @@ RULE = RULES_BY_ID
 
 
 # ------------------------------------------------------- applied fixes
-def _fixed_corpus_body(approve_all: bool) -> str:
+def _fixed_corpus_body(approve_all: bool, src_sql: str | None = None) -> str:
     """CTE chain ending in `fixed(file, code_fixed, n_fixes, n_applied)`; needs `f` (findings)."""
     secret_ids = ", ".join(q(i) for i in fx.SECRET_IDS)
     is_secret = f"(kind = 'secret' OR rule_id IN ({secret_ids}))"
@@ -461,7 +467,7 @@ def _fixed_corpus_body(approve_all: bool) -> str:
                f"WHEN rule_id = 'EMPTY_CATCH' THEN regexp_matches(orig, {catch}) "
                f"ELSE regexp_matches(orig, {debug}) END")
     return f""",
-src AS (SELECT file, {safe_text_sql('code')} AS t FROM {corpus_sql()} AS c),
+src AS (SELECT file, {safe_text_sql('code')} AS t FROM {src_sql or corpus_sql()} AS c),
 uf AS (SELECT * FROM f WHERE {fixable} AND {usable}),
 per_line AS (
   SELECT file, line, bool_or(rule_id IN ('CONSOLE_LOG', 'SENSITIVE_DATA_LOG')) AS del,
@@ -491,8 +497,9 @@ fixed AS (
 )"""
 
 
-def fixed_corpus_sql(approve_all: bool = False) -> str:
-    return with_f(_fixed_corpus_body(approve_all) + "\nSELECT file, code_fixed, n_fixes, n_applied FROM fixed")
+def fixed_corpus_sql(approve_all: bool = False, src_sql: str | None = None) -> str:
+    return with_f(_fixed_corpus_body(approve_all, src_sql) + "\nSELECT file, code_fixed, n_fixes, n_applied FROM fixed",
+                  findings=corpus_findings(src_sql))
 
 
 def before_after_sql() -> str:
