@@ -150,7 +150,7 @@ def explanation_values() -> str:
 
 def explain_findings_sql() -> str:
     return with_f(f"""SELECT f.file, f.rule_id, f.line, v.what, v.why, v.standard_name, v.cwe_name,
-  v.standard_url, v.fix_title, v.docs_url
+  v.standard_url, v.fix_title, CAST(v.docs_url AS VARCHAR) AS docs_url
 FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id""")
 
 
