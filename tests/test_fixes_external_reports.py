@@ -89,3 +89,22 @@ def test_prompt_gate(spark):
     df = spark.createDataFrame([("  short  ",), ("x" * 20,), ("y" * 1001,), (" " + "z" * 9 + "\n",)], "text string")
     got = [(r.ok, r.reason) for r in gt.prompt_gate(df).collect()]
     assert got == [(False, "too_short"), (True, None), (False, "too_long"), (False, "too_short")]
+
+
+def test_apply_insert_delete_replace_and_multi_file(spark):
+    fixes = [
+        {"fix_id": "a", "rule_id": "X", "fix_type": "INSERT", "line": 2, "find": None, "replace": None,
+         "insert_at": "ABOVE", "insert_content": "// above 2", "requires_confirmation": False, "description": ""},
+        {"fix_id": "b", "rule_id": "X", "fix_type": "INSERT", "line": 2, "find": None, "replace": None,
+         "insert_at": "END", "insert_content": "// below 2", "requires_confirmation": False, "description": ""},
+        {"fix_id": "c", "rule_id": "X", "fix_type": "DELETE", "line": 3, "find": None, "replace": None,
+         "insert_at": None, "insert_content": None, "requires_confirmation": False, "description": ""},
+        {"fix_id": "d", "rule_id": "X", "fix_type": "REPLACE", "line": 9, "find": "(?s)\\A(.*?)x", "replace": "$1y",
+         "insert_at": None, "insert_content": None, "requires_confirmation": False, "description": ""},
+    ]
+    schema = ("file long, code string, fx array<struct<fix_id string, rule_id string, fix_type string, line int, "
+              "find string, replace string, insert_at string, insert_content string, requires_confirmation boolean, "
+              "description string>>")
+    df = spark.createDataFrame([(1, "l1\nl2\nl3\nl4", fixes)], schema)
+    out = df.select(fx.apply_to_lines(F.split("code", "\n", -1), F.col("fx")).alias("t")).collect()[0].t
+    assert out == "l1\n// above 2\nl2\n// below 2\nl4"  # line 9 is out of range: no-op
