@@ -113,3 +113,17 @@ def test_one_sided_boundaries_equal_generic(spark):
     finally:
         dialect.ONE_SIDED_BOUNDARIES = True
     assert one == generic and len(one) > 0
+
+
+def test_null_and_empty_texts(spark):
+    from codesift.operators.context import scan_in_context
+    from codesift.operators.fixes import fixed_texts, plan_fixes
+    from codesift.operators.reports import diagnostics
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "eval(x);")], "file long, code string")
+    assert [(r.file, r.rule_id) for r in scan(df).collect()] == [(3, "EVAL_USAGE")]
+    assert scan_in_context(df).count() == 1
+    assert plan_fixes(df).count() == 0
+    fixed = {r.file: r.code_fixed for r in fixed_texts(df).collect()}
+    assert fixed == {1: None, 2: "", 3: "eval(x);"}
+    assert diagnostics(df).count() == 1
