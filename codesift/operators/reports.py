@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import decode_line, decode_rule
-from ..rules import DOMAIN_ORDER, SEVERITY_ORDER, Rule, rules_for
+from ..rules import SEVERITY_ORDER, Rule, rules_for
 from .knowledge import with_explanation
 from .scan import HITS, TEXT, rule_attr, spread, with_hits
-from .severity import rank
 
 ORDER = ("rule_seq", "line")
 
@@ -201,4 +200,3 @@ def listing(findings: DataFrame) -> DataFrame:
     return f.select(*[c for c in findings.columns], F.concat(head, F.coalesce(more, F.lit(""))).alias("entry"))
 
 
-DOMAINS = DOMAIN_ORDER

@@ -7,7 +7,7 @@ from ..knowledge_data import EXPLANATIONS, GUIDES
 from ..operators import fixes as fx
 from ..operators import reports as rp
 from ..operators.relations import EDGES, VERBS
-from ..rules import ALL_RULES, RULES_BY_ID
+from ..rules import ALL_RULES
 from ..sources.corpus import corpus_sql
 from .oracle_scan import context_sql, q, safe_text_sql, scan_sql
 
@@ -435,7 +435,6 @@ def sanitize_sql() -> str:
     return f"SELECT conv_id, turn, {_js_trim_sql('text')} AS sanitized FROM conversations"
 
 
-RULE = RULES_BY_ID
 
 
 # ------------------------------------------------------- applied fixes
