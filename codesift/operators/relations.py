@@ -71,7 +71,8 @@ def scope_ids(findings: DataFrame, scope: Sequence[str], order_cols=("rule_seq",
     """Distinct ids per scope with their first-seen position (input order)."""
     key = F.struct(*[F.col(c) for c in order_cols])
     return (findings.groupBy(*scope, "rule_id").agg(F.min(key).alias("_k"))
-            .withColumn("pos", F.row_number().over(Window.partitionBy(*scope).orderBy("_k")))
+            # rule_id breaks ties (external ids share rule_seq) so retries rank the same way
+            .withColumn("pos", F.row_number().over(Window.partitionBy(*scope).orderBy("_k", "rule_id")))
             .drop("_k"))
 
 

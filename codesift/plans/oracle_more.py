@@ -250,7 +250,7 @@ FROM (SELECT DISTINCT rule_id FROM f) d JOIN {edge_values()} ON d.rule_id = e.fr
 
 def _ids_cte() -> str:
     return """ids AS (
-  SELECT file, rule_id, CAST(row_number() OVER (PARTITION BY file ORDER BY min(rule_seq), min(line)) AS INTEGER) AS pos
+  SELECT file, rule_id, CAST(row_number() OVER (PARTITION BY file ORDER BY min(rule_seq), min(line), rule_id) AS INTEGER) AS pos
   FROM f GROUP BY file, rule_id
 )"""
 
