@@ -6,8 +6,8 @@ directories named `node_modules`; keep files ending in .ts .tsx .js .jsx
 
 Spark's file index hides every name that starts with `_` or `.`. Directories
 starting with `_` are therefore added as extra load roots (a `_` directory given
-as a root is read). Files whose own name starts with `_` or `.` stay hidden:
-a known gap, see README.
+as a root is read). Files whose own name starts with `_` or `.` are listed by
+name on the driver and read inside tasks.
 """
 
 from __future__ import annotations
@@ -30,25 +30,46 @@ def _fs(spark: SparkSession, root: str):
     return path.getFileSystem(conf), path
 
 
-def _underscore_dirs(spark: SparkSession, root: str) -> list[str]:
-    """Directories named `_*` below `root` (not inside skipped directories).
+def _walk(spark: SparkSession, root: str, extensions) -> tuple[list[str], list[str]]:
+    """(`_*` directories, hidden source files) below `root`, skipping `.*` and node_modules dirs.
 
-    Only directories are listed on the driver; file contents are read by tasks.
+    Only names are listed on the driver (as Spark's own file index does); the
+    file contents are read by tasks.
     """
     fs, path = _fs(spark, root)
-    out, todo = [], [path]
+    dirs, hidden, todo = [], [], [path]
     while todo:
         p = todo.pop()
         for st in fs.listStatus(p):
+            name = st.getPath().getName()
             if not st.isDirectory():
+                if name[:1] in ("_", ".") and any(name.endswith("." + e) for e in extensions):
+                    hidden.append(st.getPath().toString())
                 continue
-            name = st.getPath().getName()
             if name.startswith(".") or name == SKIP_DIR:
                 continue
             if name.startswith("_"):
-                out.append(st.getPath().toString())
+                dirs.append(st.getPath().toString())
             todo.append(st.getPath())
-    return out
+    return dirs, hidden
+
+
+def _read_files(it):
+    """mapInPandas body: read each listed file (UTF-8, bad bytes replaced) inside the task."""
+    from pyarrow import fs as pafs
+
+    for pdf in it:
+        codes = []
+        for uri in pdf["file"]:
+            u = uri
+            if u.startswith("file:") and not u.startswith("file://"):
+                u = "file://" + u[len("file:"):]
+            if u.startswith("s3a://"):
+                u = "s3://" + u[len("s3a://"):]
+            fsys, path = pafs.FileSystem.from_uri(u)
+            with fsys.open_input_stream(path) as fh:
+                codes.append(fh.read().decode("utf-8", errors="replace"))
+        yield pdf.assign(code=codes)
 
 
 def read_source_tree(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
@@ -56,7 +77,8 @@ def read_source_tree(spark: SparkSession, root: str, extensions=EXTENSIONS) -> D
     if not fs.exists(path):
         return spark.createDataFrame([], SCHEMA)
     roots = [fs.makeQualified(path).toString()]
-    roots += _underscore_dirs(spark, root)
+    under, hidden = _walk(spark, root, extensions)
+    roots += under
     glob = "*.{" + ",".join(extensions) + "}"
     df = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
           .option("pathGlobFilter", glob).load(roots)
@@ -65,4 +87,10 @@ def read_source_tree(spark: SparkSession, root: str, extensions=EXTENSIONS) -> D
     rel = F.substring(F.col("file"), len(base) + 2, 1 << 30)
     hidden_dir = rel.rlike(r"(^|/)(\.[^/]*|node_modules)/")
     # each file is reached from exactly one root (its nearest `_` ancestor or the main root)
-    return df.filter(~hidden_dir)
+    out = df.filter(~hidden_dir)
+    if hidden:
+        # files named `_*` / `.*` are invisible to Spark's file index; read them in tasks
+        n = max(1, min(len(hidden), spark.sparkContext.defaultParallelism))
+        listed = spark.createDataFrame([(h,) for h in hidden], "file string").repartition(n)
+        out = out.unionByName(listed.mapInPandas(_read_files, "file string, code string"))
+    return out

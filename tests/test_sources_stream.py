@@ -27,8 +27,14 @@ def test_source_tree(spark, scratch):
     _write(f"{root}/.git/hook.js", "eval(git);")
     _write(f"{root}/__tests__/t.test.js", "it('x', () => {});")
     _write(f"{root}/readme.md", "eval(doc)")
-    files = sorted(os.path.relpath(r.file.replace("file:", ""), root) for r in read_source_tree(spark, root).collect())
-    assert files == ["__tests__/t.test.js", "a.js", "lib/b.ts", "lib/c.d.ts"]
+    _write(f"{root}/_private.js", "eval(p);")
+    _write(f"{root}/lib/.hidden.ts", "eval(h);")
+    _write(f"{root}/lib/.js", "eval(j);")
+    _write(f"{root}/node_modules/_x.js", "eval(n);")
+    rows = read_source_tree(spark, root).collect()
+    files = sorted(os.path.relpath(r.file.replace("file:", ""), root) for r in rows)
+    assert files == ["__tests__/t.test.js", "_private.js", "a.js", "lib/.hidden.ts", "lib/.js", "lib/b.ts", "lib/c.d.ts"]
+    assert {r.code for r in rows if r.file.endswith("_private.js")} == {"eval(p);"}
     assert read_source_tree(spark, os.path.join(scratch, "missing")).count() == 0
 
 
