@@ -71,7 +71,7 @@ def scan_in_context(df: DataFrame, text_col: str = "code", id_cols: Sequence[str
     if not chosen:
         return empty_findings(df, id_cols)
     keep = [iterations_col] if iterations_col else []
-    hits = with_hits(spread(df, id_cols), text_col, id_cols, chosen, keep=keep)
+    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, chosen, keep=keep)
     text = F.col(TEXT)
     lines = F.when(F.size(HITS) > 0, F.split(text, "\n", -1))
     per_row = hits.select(

@@ -102,7 +102,7 @@ def _applied(lines: Column, fix) -> Column:
 
 
 def _planned(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[Rule]):
-    hits = with_hits(spread(df, id_cols), text_col, id_cols, rules)
+    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, rules)
     lines = F.when(F.size(HITS) > 0, F.split(F.col(TEXT), "\n", -1))
 
     def plan(h):

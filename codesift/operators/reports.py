@@ -103,7 +103,7 @@ def diagnostics(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] =
     """
     id_cols = list(id_cols)
     chosen = rules_for(domains=["Security"], rules=rules)
-    hits = with_hits(spread(df, id_cols), text_col, id_cols, chosen)
+    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, chosen)
     lines = F.when(F.size(HITS) > 0, F.split(F.col(TEXT), "\n", -1))
     p = hits.select(*id_cols, HITS, lines.alias("_lines"))
 

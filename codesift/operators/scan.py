@@ -12,6 +12,7 @@ the reference's report order).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,12 +58,21 @@ def _needle_test(r: Rule, text: Column, lower_text: Column | None) -> Column | N
     return out
 
 
-def spread(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+def _bytes(v: str) -> int:
+    """Parse a Spark byte-size setting ('134217728', '128m', '128MB', '1g')."""
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", str(v).lower())
+    if not m:
+        return 128 << 20
+    return int(m.group(1)) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m.group(2)]
+
+
+def spread(df: DataFrame, id_cols: Sequence[str], text_col: str | None = None) -> DataFrame:
     """Hash-spread inputs that have fewer partitions than the cluster has cores.
 
     Regex scanning is CPU-bound; a single small file would otherwise run in one
     task. Large inputs already have many partitions and are left alone (no
-    shuffle of the text). Hashing on the ids keeps retries deterministic.
+    shuffle of the text). The key is the ids plus a hash of the text: retries
+    are deterministic, and a hot id value still spreads evenly.
     """
     if df.isStreaming:
         return df  # micro-batches keep their own partitioning
@@ -73,10 +83,11 @@ def spread(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     if any(k in text for k in ("Aggregate", "Join", "Repartition", "Window", "Sort", "Expand")):
         return df  # already shuffled into spark.sql.shuffle.partitions parts
     size = int(str(plan.stats().sizeInBytes()))
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
     if size // max(split, 1) + 1 >= cores:
         return df  # enough file splits already; never shuffle big text for this
-    return df.repartition(cores, *[F.col(c) for c in id_cols])
+    key = [F.col(c) for c in id_cols] + ([F.xxhash64(F.col(text_col))] if text_col else [])
+    return df.repartition(cores, *key)
 
 
 def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[Rule],
@@ -143,7 +154,7 @@ def scan(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] = ("file"
     chosen = rules_for(domains=domains, kinds=kinds, min_severity=min_severity, rules=rules)
     if not chosen:
         return empty_findings(df, id_cols)
-    hits = with_hits(spread(df, id_cols), text_col, id_cols, chosen, prefilter=prefilter)
+    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, chosen, prefilter=prefilter)
     flat = explode_hits(hits, id_cols)
     return flat.select(*id_cols, *finding_columns(chosen, F.col("r"), F.col("line")))
 
