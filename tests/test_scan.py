@@ -127,3 +127,15 @@ def test_null_and_empty_texts(spark):
     fixed = {r.file: r.code_fixed for r in fixed_texts(df).collect()}
     assert fixed == {1: None, 2: "", 3: "eval(x);"}
     assert diagnostics(df).count() == 1
+
+
+def test_spread_balances_a_hot_id(spark):
+    from pyspark.sql import functions as F
+
+    from codesift.operators.scan import spread
+
+    df = spark.createDataFrame([(7, f"eval({i});") for i in range(4000)], "src long, code string")
+    spread_df = spread(df, ["src"], "code")
+    sizes = [r.n for r in spread_df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) == cores and max(sizes) < 2 * 4000 / cores
