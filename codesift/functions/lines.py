@@ -76,3 +76,14 @@ def js_trim(text: Column) -> Column:
     """Trim JavaScript whitespace and line terminators from both ends."""
     ws = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
     return F.regexp_replace(F.regexp_replace(text, f"\\A{ws}+", ""), f"{ws}+\\z", "")
+
+
+def js_length(text: Column) -> Column:
+    """Length in UTF-16 code units, as JavaScript counts (astral characters count 2)."""
+    return (F.length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def js_prefix(text: Column, n: int) -> Column:
+    """First `n` UTF-16 code units (JavaScript `substring(0, n)`); cheap on long texts."""
+    head = F.substring(text, 1, n)  # n code points cover at least n units
+    return F.decode(F.substring(F.encode(head, "UTF-16BE"), 1, 2 * n), "UTF-16BE")

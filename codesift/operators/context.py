@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import to_java
-from ..functions.lines import decode_line, decode_rule, line_window
+from ..functions.lines import decode_line, decode_rule, js_prefix, line_window
 from ..rules import Rule, rules_for
 from . import severity as sev
 from .scan import HITS, TEXT, empty_findings, finding_columns, spread, with_hits
@@ -77,7 +77,7 @@ def scan_in_context(df: DataFrame, text_col: str = "code", id_cols: Sequence[str
     per_row = hits.select(
         *id_cols, *keep, HITS,
         lines.alias("_lines"),
-        _rl(F.substring(text, 1, HEAD_CHARS), TEST_FILE).alias("_test_file"),
+        _rl(js_prefix(text, HEAD_CHARS), TEST_FILE).alias("_test_file"),
         (~_rl(F.array_join(F.slice(F.split(text, "\n", HEAD_LINES + 1), 1, HEAD_LINES), "\n"),
               NOT_PRODUCTION)).alias("in_production"),
     )

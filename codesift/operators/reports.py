@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lines import decode_line, decode_rule
+from ..functions.lines import decode_line, decode_rule, js_length, js_prefix
 from ..rules import SEVERITY_ORDER, Rule, rules_for
 from .knowledge import with_explanation
 from .scan import HITS, TEXT, rule_attr, spread, with_hits
@@ -85,8 +85,8 @@ def distinct_ids(findings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def labels(findings: DataFrame) -> DataFrame:
     """Row label, 3-letter domain badge and message preview (52 chars + ellipsis)."""
     msg = F.col("message")
-    preview = F.when(F.char_length(msg) > PREVIEW_CHARS,
-                     F.concat(F.substring(msg, 1, PREVIEW_CHARS), F.lit("…"))).otherwise(msg)
+    preview = F.when(js_length(msg) > PREVIEW_CHARS,
+                     F.concat(js_prefix(msg, PREVIEW_CHARS), F.lit("…"))).otherwise(msg)
     return findings.select(
         "*",
         F.format_string("[L%d]  %s", F.col("line"), F.col("rule_id")).alias("label"),

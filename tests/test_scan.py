@@ -139,3 +139,13 @@ def test_spread_balances_a_hot_id(spark):
     sizes = [r.n for r in spread_df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     cores = spark.sparkContext.defaultParallelism
     assert len(sizes) == cores and max(sizes) < 2 * 4000 / cores
+
+
+def test_js_units(spark):
+    from pyspark.sql import functions as F
+
+    from codesift.functions.lines import js_length, js_prefix
+
+    df = spark.createDataFrame([("a😀b",), ("abc",)], "s string")
+    got = [(r.n, r.p) for r in df.select(js_length(F.col("s")).alias("n"), js_prefix(F.col("s"), 3).alias("p")).collect()]
+    assert got == [(4, "a😀"), (3, "abc")]
