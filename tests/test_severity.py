@@ -79,3 +79,13 @@ def test_context_flags(spark):
     fb = "try {\n  eval(x);\n} catch (e) { log(e); }"
     r = [x for x in scan_in_context(code_df(spark, fb)).collect() if x.rule_id == "EVAL_USAGE"][0]
     assert r.has_fallback and r.severity_effective == "low"
+
+
+def test_iterations_column_feeds_loop_rule(spark):
+    code = "while (queue.length) {\n  await step();\n}"
+    df = spark.createDataFrame([(1, code, 5000), (2, code, 10), (3, code, None)], "file long, code string, it int")
+    rows = {r.file: r for r in scan_in_context(df, iterations_col="it").collect() if r.rule_id == "SEQUENTIAL_ASYNC"}
+    assert rows[1].severity_adjusted == "critical" and rows[2].severity_adjusted == "high"
+    assert rows[3].severity_adjusted == "high"
+    assert rows[1].severity_effective == "high"  # Scalability rows keep their raw severity on the editor path
+    assert rows[1].severity_note.startswith("Upgraded") and "1000" in rows[1].severity_note
