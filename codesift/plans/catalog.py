@@ -11,13 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..rules import (DEVOPS_RULES, QUALITY_RULES, SCALABILITY_RULES, SECRET_RULES, SECURITY_RULES,
-                     ALL_RULES, rules_for)
+from ..operators import fixes as fx
+from ..operators import gates as gt
+from ..operators import knowledge as kn
+from ..operators import relations as rel
+from ..operators import reports as rp
+from ..operators.context import scan_in_context
 from ..operators.scan import scan
+from ..rules import (ALL_RULES, DEVOPS_RULES, QUALITY_RULES, SCALABILITY_RULES, SECRET_RULES,
+                     SECURITY_RULES, rules_for)
 from ..session import read_table
+from ..sources import external as ext
 from ..sources.corpus import code_corpus, corpus_sql
+from . import oracle_more as om
 from .oracle_scan import context_sql, scan_sql
-from ..operators.context import scan_in_context
 
 SparkFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[SparkFn, str | None]] = {}
@@ -82,13 +89,6 @@ def q_documents_in_context(spark, sf):
 
 
 # ------------------------------------------------------------- everything else
-from ..operators import fixes as fx  # noqa: E402
-from ..operators import gates as gt  # noqa: E402
-from ..operators import knowledge as kn  # noqa: E402
-from ..operators import relations as rel  # noqa: E402
-from ..operators import reports as rp  # noqa: E402
-from ..sources import external as ext  # noqa: E402
-from . import oracle_more as om  # noqa: E402
 
 
 def corpus_findings(spark, sf):
