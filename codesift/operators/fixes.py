@@ -109,7 +109,7 @@ def _planned(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequen
         r = decode_rule(h)
         return fix_template(rule_attr(rules, r, "rule_id"), rule_attr(rules, r, "kind"), decode_line(h))
 
-    planned = hits.select(*id_cols, TEXT, lines.alias("_lines"),
+    planned = hits.select(*id_cols, TEXT, HITS, lines.alias("_lines"),
                           F.filter(F.transform(HITS, plan), lambda f: f.isNotNull()).alias("_fixes"))
     return planned
 
@@ -188,3 +188,34 @@ def before_after(before: DataFrame, after: DataFrame, id_cols: Sequence[str]) ->
     return j.select(*keys, bc.cast("bigint").alias("before"), ac.cast("bigint").alias("after"),
                     F.when(ac == 0, "fixed").when(bc == 0, "new")
                     .when(ac < bc, "reduced").when(ac == bc, "remaining").otherwise("increased").alias("status"))
+
+
+def fix_and_rescan(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] = ("file",),
+                   rules: Sequence[Rule] | None = None, approve_all: bool = False) -> DataFrame:
+    """F9 without a shuffle: scan, fix, scan the fixed text and compare, all inside the row.
+
+    Same output as `before_after(scan(df), scan(fixed), ids)`: per (ids, rule)
+    the findings before and after, and fixed/new/reduced/remaining/increased.
+    """
+    id_cols = list(id_cols)
+    rules = rules_for(rules=rules)
+    p = _planned(df, text_col, id_cols, rules)
+    usable = (F.col("_fixes") if approve_all
+              else F.filter("_fixes", lambda f: ~f["requires_confirmation"]))
+    usable = F.filter(usable, lambda f: f["fix_type"] != "MULTI_FILE")
+    fixed = p.select(*id_cols, F.col(HITS).alias("_before"),
+                     F.when(F.size(usable) > 0, apply_to_lines(F.col("_lines"), usable))
+                     .otherwise(F.col(TEXT)).alias("_fixed"))
+    again = with_hits(fixed, "_fixed", id_cols, rules, keep=["_before"])
+    rb = F.transform("_before", decode_rule)
+    ra = F.transform(HITS, decode_rule)
+    per_rule = F.transform(F.array_distinct(F.concat(rb, ra)), lambda r: F.struct(
+        r.alias("r"),
+        F.size(F.filter(rb, lambda x: x == r)).cast("bigint").alias("before"),
+        F.size(F.filter(ra, lambda x: x == r)).cast("bigint").alias("after")))
+    flat = (again.select(*id_cols, F.explode_outer(per_rule).alias("c")).filter(F.col("c").isNotNull()))
+    bc, ac = F.col("c.before"), F.col("c.after")
+    return flat.select(*id_cols, rule_attr(rules, F.col("c.r"), "rule_id").alias("rule_id"),
+                       bc.alias("before"), ac.alias("after"),
+                       F.when(ac == 0, "fixed").when(bc == 0, "new")
+                       .when(ac < bc, "reduced").when(ac == bc, "remaining").otherwise("increased").alias("status"))

@@ -92,10 +92,12 @@ def guide_ids_for_domain(spark: SparkSession, domain: str) -> DataFrame:
 
 
 def explanation_detail_rows(rule_ids: DataFrame, id_col: str = "rule_id") -> DataFrame:
-    """K7: (rule_id, section, pos, label, detail) rows of the explanation of each id."""
-    ex = F.broadcast(explanations(rule_ids.sparkSession))
-    ids = rule_ids.select(F.upper(F.col(id_col)).alias("rule_id")).distinct()
-    e = ids.join(ex, "rule_id", "inner")
+    """K7: (rule_id, section, pos, label, detail) rows of the explanation of each id.
+
+    The detail rows are cut from the 44-row dimension first; the found ids are
+    computed once and semi-joined (the findings under them are scanned once).
+    """
+    e = explanations(rule_ids.sparkSession)
     single = [
         e.select("rule_id", F.lit("what").alias("section"), F.lit(0).alias("pos"),
                  F.lit("What").alias("label"), F.col("what").alias("detail")),
@@ -115,10 +117,13 @@ def explanation_detail_rows(rule_ids: DataFrame, id_col: str = "rule_id") -> Dat
         F.col("s.title").alias("label"), F.col("s.description").alias("detail"))
     refs = e.select("rule_id", F.posexplode("refs").alias("pos", "r")).select(
         "rule_id", F.lit("ref").alias("section"), "pos", F.col("r.name").alias("label"), F.col("r.url").alias("detail"))
-    out = single[0]
+    details = single[0]
     for d in single[1:] + [risks, steps, refs]:
-        out = out.unionByName(d)
-    return out.select("rule_id", "section", F.col("pos").cast("int").alias("pos"), "label", "detail")
+        details = details.unionByName(d)
+    details = details.select("rule_id", "section", F.col("pos").cast("int").alias("pos"), "label", "detail")
+    ids = rule_ids.select(F.upper(F.col(id_col)).alias("rule_id")).distinct()
+    # ids has at most one row per distinct rule id; the details side is the fixed dimension
+    return F.broadcast(details).join(ids, "rule_id", "inner")
 
 
 def issue_sheet(findings: DataFrame) -> DataFrame:

@@ -77,12 +77,17 @@ def scope_ids(findings: DataFrame, scope: Sequence[str], order_cols=("rule_seq",
 
 
 def relationships_in_scope(ids: DataFrame, scope: Sequence[str], edge_df: DataFrame | None = None) -> DataFrame:
-    """Edges whose both ends are among the scope's ids, in edge-table order."""
+    """Edges whose both ends are among the scope's ids, in edge-table order.
+
+    The scope's id set rides along on each row (a window over the scope; at most
+    the rule vocabulary), so `ids` is read once.
+    """
     e = edge_df if edge_df is not None else edges(ids.sparkSession)
-    out = ids.select(*scope, F.col("rule_id").alias("from_id"), F.col("pos").alias("from_pos")).join(
-        F.broadcast(e), "from_id")
-    tos = ids.select(*scope, F.col("rule_id").alias("to_id"))
-    return out.join(tos, [*scope, "to_id"], "left_semi")
+    w = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
+    withset = ids.select(*scope, F.col("rule_id").alias("from_id"), F.col("pos").alias("from_pos"),
+                         F.collect_set("rule_id").over(w).alias("_present"))
+    out = withset.join(F.broadcast(e), "from_id").filter(F.array_contains("_present", F.col("to_id")))
+    return out.drop("_present")
 
 
 def _ordering_edges(e: DataFrame) -> DataFrame:

@@ -171,9 +171,7 @@ def q_fixed_corpus_approved(spark, sf):
 
 @register("before_after", om.before_after_sql())
 def q_before_after(spark, sf):
-    corpus = code_corpus(spark, sf)
-    fixed = fx.fixed_texts(corpus, "code", ["file"]).select("file", F.col("code_fixed").alias("code"))
-    return fx.before_after(scan(corpus, "code", ["file"]), scan(fixed, "code", ["file"]), ["file"])
+    return fx.fix_and_rescan(code_corpus(spark, sf), "code", ["file"])
 
 
 @register("external_api", om.external_api_sql())

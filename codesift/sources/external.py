@@ -74,15 +74,15 @@ def with_precedence(builtin: DataFrame, external: DataFrame, id_cols: Sequence[s
     ids = list(id_cols)
     api = external.filter(F.col(api_col).isNotNull())
     cli = external.filter(F.col(api_col).isNull() & F.col(cli_col).isNotNull())
-    covered = external.filter(F.col(api_col).isNotNull() | F.col(cli_col).isNotNull()).select(*ids)
-    sec = builtin.filter(F.col("kind") == "vulnerability")
-    rest = builtin.filter(F.col("kind") != "vulnerability")
-    kept = sec.join(covered, ids, "left_anti")
+    covered = (external.filter(F.col(api_col).isNotNull() | F.col(cli_col).isNotNull())
+               .select(*ids, F.lit(True).alias("_covered")))
     cols = builtin.columns
+    # one pass over the built-in findings: drop Security rows of covered files
+    kept = (builtin.join(covered, ids, "left")
+            .filter((F.col("kind") != "vulnerability") | F.col("_covered").isNull())
+            .select(*cols, F.lit(None).cast("int").alias("ext_pos")))
     ext = ingest_api(api, ids, api_col).unionByName(ingest_cli(cli, ids, cli_col))
-    return (kept.withColumn("ext_pos", F.lit(None).cast("int"))
-            .unionByName(ext.select(*cols, "ext_pos"))
-            .unionByName(rest.withColumn("ext_pos", F.lit(None).cast("int"))))
+    return kept.unionByName(ext.select(*cols, "ext_pos"))
 
 
 # ---------------------------------------------------------------------------

@@ -108,3 +108,11 @@ def test_apply_insert_delete_replace_and_multi_file(spark):
     df = spark.createDataFrame([(1, "l1\nl2\nl3\nl4", fixes)], schema)
     out = df.select(fx.apply_to_lines(F.split("code", "\n", -1), F.col("fx")).alias("t")).collect()[0].t
     assert out == "l1\n// above 2\nl2\n// below 2\nl4"  # line 9 is out of range: no-op
+
+
+def test_fix_and_rescan_equals_two_scans(spark):
+    df = code_df(spark, "console.log(1);\neval(x);\n// TODO a", "let q = 1;", "nothing here")
+    fixed = fx.fixed_texts(df).select("file", F.col("code_fixed").alias("code"))
+    two = {tuple(r) for r in fx.before_after(scan(df), scan(fixed), ["file"]).collect()}
+    one = {tuple(r) for r in fx.fix_and_rescan(df).collect()}
+    assert one == two and len(one) > 0
