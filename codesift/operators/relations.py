@@ -129,7 +129,7 @@ def _rounds(rows) -> int:
         return len(nodes)
 
 
-def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFrame:
+def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None, materialized: bool = False) -> DataFrame:
     """Topological order per scope, first in first out, ties by input order.
 
     Kahn's FIFO queue yields levels (longest path from a source) in order;
@@ -143,7 +143,8 @@ def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFrame
     rows = EDGES if edge_rows is None else edge_rows
     oe = F.broadcast(_ordering_edges(edges(spark, rows)))
     s = list(scope)
-    ids = materialize(ids) if not ids.isStreaming else ids
+    if not materialized:
+        ids = materialize(ids)  # read several times below; the scan under it runs once
     # edges with both ends present in the scope
     pe = (ids.select(*s, F.col("rule_id").alias("before")).join(oe, "before")
           .join(ids.select(*s, F.col("rule_id").alias("after")), [*s, "after"], "left_semi"))
@@ -193,7 +194,7 @@ def order_report(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFr
     rows = EDGES if edge_rows is None else edge_rows
     s = list(scope)
     ids = materialize(ids)
-    ordered = fix_order(ids, s, rows)
+    ordered = fix_order(ids, s, rows, materialized=True)
     rels = relationships_in_scope(ids, s, edges(spark, rows))
     rel_lines = (rels.groupBy(*s, "from_id")
                  .agg(F.array_sort(F.collect_list(F.struct(
