@@ -72,3 +72,18 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
 
     assert E.entry(spark).count() > 0
+
+
+def test_scan_tree(spark, scratch):
+    from codesift.plans.tree_scan import scan_tree
+
+    root = os.path.join(scratch, "proj")
+    _write(f"{root}/a.js", "eval(x);\nconsole.log(1);")
+    _write(f"{root}/b.ts", "let count = 1;")
+    findings, body, extra, gate = scan_tree(spark, root, "text", "high")
+    assert [r.rule_id for r in findings.collect()] == ["EVAL_USAGE"]
+    assert gate.collect()[0].exit_code == 1
+    assert extra.collect()[0].footer == "\nTotal: 1 issue(s) in 1 file(s)."
+    assert "[CRITICAL] L1: EVAL_USAGE" in body.collect()[0].block
+    _, _, _, gate_low = scan_tree(spark, root, "markdown", "bogus")
+    assert gate_low.collect()[0].exit_code == 0
