@@ -245,3 +245,18 @@ def q_pages_text_report(spark, sf):
 @register("documents_text_report", om.text_report_sql(_DOCS))
 def q_documents_text_report(spark, sf):
     return rp.text_report(scan(as_file_code(spark, sf, "documents", "doc_id", "text")))
+
+
+# ------------------------------------------------- repository scope (documents.source)
+def _doc_findings_by_source(spark, sf):
+    return scan(read_table(spark, sf, "documents"), "text", ["doc_id", "source"])
+
+
+@register("gate_per_source", om.gate_per_source_sql())
+def q_gate_per_source(spark, sf):
+    return rp.gate(_doc_findings_by_source(spark, sf), ["source"])
+
+
+@register("domain_counts_per_source", om.domain_counts_per_source_sql())
+def q_domain_counts_per_source(spark, sf):
+    return rp.domain_counts(_doc_findings_by_source(spark, sf), ["source"])

@@ -520,3 +520,17 @@ FROM b FULL OUTER JOIN a ON a.file = b.file AND a.rule_id = b.rule_id""")
 def markdown_header_sql() -> str:
     return with_f("""SELECT printf('# Scan report' || chr(10) || chr(10) || '**%d issue(s)** across **%d file(s)**' || chr(10),
   count(*), count(DISTINCT file)) AS header FROM f""")
+
+
+def _doc_findings_by_source() -> str:
+    return scan_sql("documents", "text", ["doc_id", "source"], ALL_RULES)
+
+
+def gate_per_source_sql() -> str:
+    return with_f("SELECT source, CAST(max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS INTEGER) AS exit_code "
+                  "FROM f GROUP BY source", findings=_doc_findings_by_source())
+
+
+def domain_counts_per_source_sql() -> str:
+    return with_f("SELECT source, domain, CAST(count(*) AS BIGINT) AS n, CAST(min(rule_seq) AS INTEGER) AS first_seq "
+                  "FROM f GROUP BY source, domain", findings=_doc_findings_by_source())
