@@ -260,3 +260,10 @@ def q_gate_per_source(spark, sf):
 @register("domain_counts_per_source", om.domain_counts_per_source_sql())
 def q_domain_counts_per_source(spark, sf):
     return rp.domain_counts(_doc_findings_by_source(spark, sf), ["source"])
+
+
+@register("severity_groups_effective", om.severity_groups_effective_sql())
+def q_severity_groups_effective(spark, sf):
+    """A1 over the editor path: vulnerability rows grouped by their context-adjusted severity."""
+    ctx = scan_in_context(code_corpus(spark, sf), "code", ["file"])
+    return rp.severity_groups(ctx.select(F.col("severity_effective").alias("severity")))

@@ -534,3 +534,12 @@ def gate_per_source_sql() -> str:
 def domain_counts_per_source_sql() -> str:
     return with_f("SELECT source, domain, CAST(count(*) AS BIGINT) AS n, CAST(min(rule_seq) AS INTEGER) AS first_seq "
                   "FROM f GROUP BY source, domain", findings=_doc_findings_by_source())
+
+
+def severity_groups_effective_sql() -> str:
+    ctx = context_sql(corpus_sql(), "code", ["file"], ALL_RULES)
+    return f"""WITH c AS ({ctx})
+SELECT severity_effective AS severity, CAST(count(*) AS BIGINT) AS n,
+  CAST(CASE severity_effective WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3
+       ELSE 4 END AS INTEGER) AS group_order
+FROM c GROUP BY severity_effective"""
