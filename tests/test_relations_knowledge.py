@@ -96,3 +96,17 @@ def test_guide_ids_by_domain(spark):
     dev = [r.rule_id for r in kn.guide_ids_for_domain(spark, "DevOps").orderBy("guide_pos").collect()]
     assert dev == ["UNHANDLED_PROMISE", "MISSING_TIMEOUT", "HARDCODED_IP", "SENSITIVE_DATA_LOG"]
     assert kn.guide_ids_for_domain(spark, "Nope").count() == 0
+
+
+def test_shallow_window_path_equals_reference(spark):
+    import random
+
+    rng = random.Random(5)
+    vocab = ["SEQUENTIAL_ASYNC", "N_PLUS_ONE", "SQL_INJECTION", "NO_INPUT_VALIDATION", "EVAL_USAGE", "CONSOLE_LOG",
+             "A", "B"]
+    edges = rel.EDGES + [("A", "N_PLUS_ONE", "DEPENDS_ON", 1, ""), ("B", "SQL_INJECTION", "BLOCKS", 1, "")]
+    assert rel._shallow(edges) is not None
+    scopes = {i: rng.sample(vocab, rng.randint(1, len(vocab))) for i in range(200)}
+    got = order(spark, scopes, edges)
+    for sc, ids in scopes.items():
+        assert got[sc] == kahn(ids, edges), (ids, got[sc])
