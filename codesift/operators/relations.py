@@ -144,6 +144,10 @@ def _shallow(rows) -> dict | None:
 
 
 def _fix_order_shallow(ids: DataFrame, scope: Sequence[str], preds: dict) -> DataFrame:
+    return _fix_order_shallow_with(ids, scope, preds).select(*scope, "rule_id", "pos", "rank")
+
+
+def _fix_order_shallow_with(ids: DataFrame, scope: Sequence[str], preds: dict) -> DataFrame:
     """Kahn order for depth-1 graphs with windows only (no join, no checkpoint).
 
     Level 0 = no predecessor present in the scope, in input order; level 1 after
@@ -154,7 +158,8 @@ def _fix_order_shallow(ids: DataFrame, scope: Sequence[str], preds: dict) -> Dat
     pred_map = F.create_map(*[x for a, v in preds.items() for x in (
         F.lit(a), F.array(*[F.struct(F.lit(b).alias("before"), F.lit(i).alias("edge_idx")) for b, i in v]))])
     empty = F.array().cast("array<struct<before:string,edge_idx:int>>")
-    x = ids.select(*s, "rule_id", "pos", F.collect_set("rule_id").over(w).alias("_present"))
+    x = ids if "_present" in ids.columns else ids.withColumn("_present", F.collect_set("rule_id").over(w))
+    x = x.select(*s, "rule_id", "pos", "_present")
     x = x.withColumn("_pp", F.filter(F.coalesce(pred_map[F.col("rule_id")], empty),
                                      lambda p: F.array_contains(F.col("_present"), p["before"])))
     x = x.withColumn("_lvl", F.when(F.size("_pp") > 0, 1).otherwise(0))
@@ -165,7 +170,7 @@ def _fix_order_shallow(ids: DataFrame, scope: Sequence[str], preds: dict) -> Dat
         "_pp", lambda p: F.struct(F.col("_rmap")[p["before"]].alias("r"), p["edge_idx"].alias("e")))))
     rank = F.row_number().over(w.orderBy("_lvl", F.coalesce(F.col("_last.r"), F.lit(0)),
                                          F.coalesce(F.col("_last.e"), F.lit(0)), "pos"))
-    return x.select(*s, "rule_id", "pos", rank.cast("int").alias("rank"))
+    return x.select(*s, "rule_id", "pos", "_present", rank.cast("int").alias("rank"))
 
 
 def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None, materialized: bool = False) -> DataFrame:
@@ -235,6 +240,27 @@ def order_report(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFr
     spark = ids.sparkSession
     rows = EDGES if edge_rows is None else edge_rows
     s = list(scope)
+    shallow = _shallow(rows)
+    if shallow is not None:
+        # one read of `ids`: ranks and in-scope edges come from the same window pass
+        out_map = {}
+        for i, (f, t, typ, _prio, reason) in enumerate(rows):
+            out_map.setdefault(f, []).append((i, t, typ, reason))
+        emap = F.create_map(*[x for f, v in out_map.items() for x in (F.lit(f), F.array(*[F.struct(
+            F.lit(i).alias("edge_idx"), F.lit(t).alias("to_id"), F.lit(typ).alias("rel_type"),
+            F.lit(reason).alias("reason")) for i, t, typ, reason in v]))])
+        w = Window.partitionBy(*s) if s else Window.partitionBy(F.lit(0))
+        present = ids.withColumn("_present", F.collect_set("rule_id").over(w))
+        x = _fix_order_shallow_with(present, s, shallow)
+        empty = F.array().cast("array<struct<edge_idx:int,to_id:string,rel_type:string,reason:string>>")
+        here = F.filter(F.coalesce(emap[F.col("rule_id")], empty),
+                        lambda e: F.array_contains(F.col("_present"), e["to_id"]))
+        rl = F.transform(here, lambda e: F.struct(e["edge_idx"].alias("edge_idx"), sentence(
+            F.col("rule_id"), e["to_id"], e["rel_type"], e["reason"]).alias("txt")))
+        items = x.select(*s, "rank", "rule_id", rl.alias("rl")).select(*s, "rank", F.concat_ws(
+            "\n", F.format_string("%d. **%s**", F.col("rank"), F.col("rule_id")),
+            F.array_join(F.transform("rl", lambda r: F.concat(F.lit("   - "), r["txt"])), "\n")).alias("item"))
+        return _assemble_report(items, s)
     ids = materialize(ids)
     ordered = fix_order(ids, s, rows, materialized=True)
     rels = relationships_in_scope(ids, s, edges(spark, rows))
@@ -247,6 +273,10 @@ def order_report(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFr
                  "\n", F.format_string("%d. **%s**", F.col("rank"), F.col("rule_id")),
                  F.array_join(F.transform(F.coalesce(F.col("rl"), F.array()), lambda r: F.concat(F.lit("   - "), r["txt"])),
                               "\n")).alias("item")))
+    return _assemble_report(items, s)
+
+
+def _assemble_report(items: DataFrame, s: list[str]) -> DataFrame:
     items = items.select(*s, "rank", F.regexp_replace("item", "\n$", "").alias("item"))
     per_scope = items.groupBy(*s).agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("its"),
                                       F.count(F.lit(1)).alias("n_ids"))

@@ -110,3 +110,11 @@ def test_shallow_window_path_equals_reference(spark):
     got = order(spark, scopes, edges)
     for sc, ids in scopes.items():
         assert got[sc] == kahn(ids, edges), (ids, got[sc])
+
+
+def test_order_report_deep_graph_path(spark):
+    edges = [("A", "B", "BLOCKS", 1, "a first"), ("B", "C", "BLOCKS", 1, "b first"), ("C", "Z", "RELATED_TO", 2, "z")]
+    assert rel._shallow(edges) is None
+    rep = rel.order_report(ids_df(spark, {1: ["C", "Z", "B", "A"]}), ["file"], edges).collect()[0].report
+    assert "1. **Z**\n2. **A**\n   - A blocks B: a first\n3. **B**\n   - B blocks C: b first\n4. **C**" in rep
+    assert rep.endswith("_4 issue(s) analysed._")
