@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codesift.llm import ann, linededup, mixing, topk
+from codesift.llm import ann, linededup, mixing, neardup, topk
 
 QUERIES = {
     "op1_exact_top_k": (topk.op1, topk.ORACLE),
+    "op6_near_duplicates": (neardup.op6, neardup.ORACLE),
     "op7_line_dedup": (linededup.op7, linededup.ORACLE),
     "op9_source_mixing": (mixing.op9, None),
     "op10_nearest_neighbours": (ann.op10, ann.ORACLE),
