@@ -93,20 +93,24 @@ NOT_ALNUM = np.ones(256, dtype=bool)
 NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def word_spans(texts: list[str | None], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all `texts`, one line feed after each, and where their words start and end."""
+    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], separators[data])).view(np.int8)))
+    return data, edge[0::2], edge[1::2]
+
+
 def word_hashes(texts: list[str | None], separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all `texts` (A-Z lower-cased), and the offsets of each text's words.
 
     The hash of a word is a polynomial over random byte codes modulo 2^64, taken as a difference of prefix sums,
     then mixed with the word's length. Equal words give equal hashes in every process. Null counts as empty.
     """
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    ends = np.cumsum(np.fromiter((len(b) + 1 for b in raw), dtype=np.int64, count=len(raw)))
-    sep = separators[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], sep)).view(np.int8)))
-    first, last = edge[0::2], edge[1::2]
+    data, first, last = word_spans(texts, separators)
     if not len(first):
-        return np.empty(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    ends = np.cumsum(np.fromiter((0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts)) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_CODE[_LOWER[data]] * _powers(_BASE, len(data)), out=sums[1:])
@@ -115,7 +119,7 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = SPACES) -> tup
     return out, np.concatenate(([0], np.searchsorted(first, ends)))
 
 
-def slices(texts: list[str | None], most_bytes: int = 4_000_000):
+def slices(texts: list[str | None], most_bytes: int = 2_000_000):
     """Index ranges of `texts` of a bounded size each (a longer text stands alone)."""
     start = size = 0
     for i, t in enumerate(texts):
