@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from codesift.llm import ann, linededup, mixing, neardup, topk, toxicity
+from codesift.llm import ann, linededup, mixing, neardup, tokencount, topk, toxicity, wfst
 
 QUERIES = {
     "op1_exact_top_k": (topk.op1, topk.ORACLE),
+    "op2_token_counts": (tokencount.op2, None),
     "op4_toxicity": (toxicity.op4, None),
+    "op5_sentencepiece": (wfst.op5, None),
     "op6_near_duplicates": (neardup.op6, neardup.ORACLE),
     "op7_line_dedup": (linededup.op7, linededup.ORACLE),
     "op9_source_mixing": (mixing.op9, None),
