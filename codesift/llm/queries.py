@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from codesift.llm import ann, linededup, mixing, neardup, tokencount, topk, toxicity, wfst
+from codesift.llm import (
+    ann,
+    htmlmain,
+    linededup,
+    mixing,
+    neardup,
+    secretscan,
+    tokencount,
+    topk,
+    toxicity,
+    wfst,
+)
 
 QUERIES = {
     "op1_exact_top_k": (topk.op1, topk.ORACLE),
     "op2_token_counts": (tokencount.op2, None),
+    "op3_secret_scan": (secretscan.op3, None),
     "op4_toxicity": (toxicity.op4, None),
     "op5_sentencepiece": (wfst.op5, None),
     "op6_near_duplicates": (neardup.op6, neardup.ORACLE),
     "op7_line_dedup": (linededup.op7, linededup.ORACLE),
+    "op8_html_main_text": (htmlmain.op8, None),
     "op9_source_mixing": (mixing.op9, None),
     "op10_nearest_neighbours": (ann.op10, ann.ORACLE),
 }
