@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from codesift.llm import (
     ann,
     htmlmain,
@@ -26,4 +27,5 @@ QUERIES = {
     "op8_html_main_text": (htmlmain.op8, None),
     "op9_source_mixing": (mixing.op9, None),
     "op10_nearest_neighbours": (ann.op10, ann.ORACLE),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codesift.llm.common import _LOWER, NOT_ALNUM, mix64, slices, stored, word_hashes, word_spans
 
@@ -258,22 +259,24 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     return handed, curve
 
 
-def score(docs: DataFrame, model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score) of every row of `docs`; the score is between 0 and 1."""
+def with_score(docs: DataFrame, model, text: str = "text") -> DataFrame:
+    """`docs` with `__score`, between 0 and 1, for every row."""
     handed, curve = model
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             found = [np.empty(0)]
             for a, b in slices(texts):
                 words = Words(texts[a:b])
                 x = features(words, evidence(handed.value, words))
                 found.append(1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -500, 500))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], ["k", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(np.concatenate(found))], [*batch.schema.names[:-1], "__score"]
+            )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double")
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    return docs.withColumn("__in", F.col(text)).mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:
@@ -281,8 +284,13 @@ def held_out(key: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(k, score), learned from the labelled rows that are not held out."""
-    return score(docs, train(docs, labels, ~held_out(F.col("doc_id"))))
+    """`docs` with `__score`, learned from the labelled rows that are not held out."""
+    return with_score(docs, train(docs, labels, ~held_out(F.col("doc_id"))))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without the rows that score `threshold` or more."""
+    return score_documents(docs, labels).where(F.col("__score") < threshold).drop("__score")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -290,9 +298,10 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, table(spark, sf_dir, "labels"))
+    score = F.col("__score")
     return scored.select(
-        F.col("k").alias("doc_id"),
-        held_out(F.col("k")).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        score.alias("score"),
+        (score >= THRESHOLD).cast("int").alias("predicted"),
     )
