@@ -32,24 +32,23 @@ def match_skeleton(text: Column, java_pattern: str) -> Column:
 LINE_BITS = 32
 
 
-def skeleton_codes(skeleton: Column, tag: int) -> Column:
-    """Distinct match lines of one rule, encoded `tag << 32 | line`, ascending.
+def skeleton_codes_sql(column: str, tag: int) -> str:
+    """SQL text: distinct match lines of one rule, encoded `tag << 32 | line`, ascending.
 
     Line of a match = newlines before its start + 1. In the skeleton the
     prefix before the k-th mark holds k-1 marks and the newlines, so
     line_k = length(prefix_k) - k + 2. One mark (the common case) needs no
     lambda; several marks take one lambda call per mark, never per line.
+    SQL text keeps plan building cheap: one parse for all rules instead of
+    hundreds of calls into the JVM for each.
     """
-    off = tag << LINE_BITS
-    n_marks = F.length(skeleton) - F.length(F.replace(skeleton, F.lit(MARK), F.lit("")))
-    one = F.array((F.length(F.substring_index(skeleton, MARK, 1)) + F.lit(1 + off)).cast("bigint"))
-    many = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), n_marks),
-        lambda k: (F.length(F.call_function("substring_index", skeleton, F.lit(MARK), k))
-                   - k + F.lit(2 + off)).cast("bigint")))
-    return (F.when(n_marks == 0, F.array().cast("array<bigint>"))
-            .when(n_marks == 1, one)
-            .otherwise(many))
+    off, mark = tag << LINE_BITS, "chr(1)"
+    n_marks = f"(length({column}) - length(replace({column}, {mark}, '')))"
+    one = f"array(CAST(length(substring_index({column}, {mark}, 1)) + {off + 1}L AS BIGINT))"
+    many = (f"array_distinct(transform(sequence(1, {n_marks}), k -> "
+            f"CAST(length(substring_index({column}, {mark}, k)) - k + {off + 2}L AS BIGINT)))")
+    return (f"CASE WHEN {column} IS NULL OR {n_marks} = 0 THEN CAST(array() AS ARRAY<BIGINT>) "
+            f"WHEN {n_marks} = 1 THEN {one} ELSE {many} END")
 
 
 def decode_rule(code: Column) -> Column:
@@ -72,10 +71,14 @@ def line_window(lines: Column, line: Column, before: int = 4, after: int = 5) ->
     return F.array_join(F.slice(lines, start, length), "\n")
 
 
+# JavaScript's white space and line terminators.
+JS_BLANKS = ("\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+             + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(text: Column) -> Column:
-    """Trim JavaScript whitespace and line terminators from both ends."""
-    ws = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-    return F.regexp_replace(F.regexp_replace(text, f"\\A{ws}+", ""), f"{ws}+\\z", "")
+    """Trim JavaScript whitespace and line terminators from both ends (one linear pass)."""
+    return F.btrim(text, F.lit(JS_BLANKS))
 
 
 def js_length(text: Column) -> Column:

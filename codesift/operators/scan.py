@@ -12,7 +12,6 @@ the reference's report order).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dialect import java_pattern
-from ..functions.lines import decode_line, decode_rule, match_skeleton, safe_text, skeleton_codes
+from ..functions.lines import decode_line, decode_rule, match_skeleton, safe_text, skeleton_codes_sql
 from ..rules import ALL_RULES, SEVERITY_RANK, Rule, rules_for
 
 RULE_SEQ = {r.rule_id: i for i, r in enumerate(ALL_RULES)}
@@ -36,6 +35,7 @@ FINDING_FIELDS = [
 ]
 FINDING_COLUMNS = [f.name for f in FINDING_FIELDS]
 
+SCAN_PARTITIONS = "spark.codesift.scanPartitions"
 TEXT = "_text"
 HITS = "_hits"
 
@@ -58,36 +58,23 @@ def _needle_test(r: Rule, text: Column, lower_text: Column | None) -> Column | N
     return out
 
 
-def _bytes(v: str) -> int:
-    """Parse a Spark byte-size setting ('134217728', '128m', '128MB', '1g')."""
-    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", str(v).lower())
-    if not m:
-        return 128 << 20
-    return int(m.group(1)) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m.group(2)]
+def spread(df: DataFrame, id_cols: Sequence[str], text_col: str | None = None,
+           partitions: int | None = None) -> DataFrame:
+    """Hash-spread a table over `partitions` tasks; by default it keeps the partitions of its files.
 
-
-def spread(df: DataFrame, id_cols: Sequence[str], text_col: str | None = None) -> DataFrame:
-    """Hash-spread inputs that have fewer partitions than the cluster has cores.
-
-    Regex scanning is CPU-bound; a single small file would otherwise run in one
-    task. Large inputs already have many partitions and are left alone (no
-    shuffle of the text). The key is the ids plus a hash of the text: retries
-    are deterministic, and a hot id value still spreads evenly.
+    Regex scanning is CPU-bound, so a table in few unsplittable files may want
+    more tasks than files. That is the caller's decision: the argument, or the
+    session setting `spark.codesift.scanPartitions`. Nothing depends on sizes
+    or on the shape of the plan. The key is the ids plus a hash of the text:
+    retries are deterministic, and a hot id value still spreads evenly.
     """
-    if df.isStreaming:
-        return df  # micro-batches keep their own partitioning
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    if any(k in text for k in ("Aggregate", "Join", "Repartition", "Window", "Sort", "Expand")):
-        return df  # already shuffled into spark.sql.shuffle.partitions parts
-    size = int(str(plan.stats().sizeInBytes()))
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
-    if size // max(split, 1) + 1 >= cores:
-        return df  # enough file splits already; never shuffle big text for this
+    if partitions is None:
+        setting = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+        partitions = int(setting) if setting else None
+    if df.isStreaming or not partitions:
+        return df
     key = [F.col(c) for c in id_cols] + ([F.xxhash64(F.col(text_col))] if text_col else [])
-    return df.repartition(cores, *key)
+    return df.repartition(partitions, *key)
 
 
 def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[Rule],
@@ -112,8 +99,8 @@ def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Seque
         gate = text.rlike(pat) if test is None else (test & text.rlike(pat))
         skels.append(F.when(gate, match_skeleton(text, pat)).otherwise(F.lit("")).alias(f"_s{j}"))
     step = base.select(*cols, TEXT, *skels)
-    per_rule = [skeleton_codes(F.col(f"_s{j}"), j) for j in range(len(rules))]
-    return step.select(*cols, TEXT, F.flatten(F.array(*per_rule)).alias(HITS))
+    per_rule = ", ".join(skeleton_codes_sql(f"_s{j}", j) for j in range(len(rules)))
+    return step.select(*cols, TEXT, F.expr(f"flatten(array({per_rule}))").alias(HITS))
 
 
 def rule_attr(rules: Sequence[Rule], pos: Column, attr: str) -> Column:
@@ -144,7 +131,7 @@ def empty_findings(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
 
 def scan(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] = ("file",),
          rules: Sequence[Rule] | None = None, domains=None, kinds=None,
-         min_severity: str | None = None, prefilter: bool = True) -> DataFrame:
+         min_severity: str | None = None, prefilter: bool = True, partitions: int | None = None) -> DataFrame:
     """Findings of `rules` (default: all 45) over `df[text_col]`.
 
     `min_severity` keeps findings whose raw severity ranks at least that high
@@ -154,7 +141,7 @@ def scan(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] = ("file"
     chosen = rules_for(domains=domains, kinds=kinds, min_severity=min_severity, rules=rules)
     if not chosen:
         return empty_findings(df, id_cols)
-    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, chosen, prefilter=prefilter)
+    hits = with_hits(spread(df, id_cols, text_col, partitions), text_col, id_cols, chosen, prefilter=prefilter)
     flat = explode_hits(hits, id_cols)
     return flat.select(*id_cols, *finding_columns(chosen, F.col("r"), F.col("line")))
 

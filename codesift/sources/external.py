@@ -11,16 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.severity import normalise
-from ..session import read_table
+from ..session import materialize, read_table
 
 # Defaults for absent fields.
 DEFAULT_RULE = "unknown"
 DEFAULT_MESSAGE = "Vulnerability detected"
+MAX_LINE = 2**31 - 1
 
 API_SCHEMA = T.StructType([T.StructField("results", T.ArrayType(T.StructType([
     T.StructField("rule_id", T.StringType()), T.StructField("message", T.StringType()),
@@ -41,7 +42,8 @@ def _as_findings(rows: DataFrame, id_cols, rule, message, severity, line) -> Dat
         F.coalesce(rule, F.lit(DEFAULT_RULE)).alias("rule_id"),
         normalise(severity).alias("severity"),
         F.coalesce(message, F.lit(DEFAULT_MESSAGE)).alias("message"),
-        F.coalesce(line, F.lit(0)).cast("int").alias("line"),
+        # line numbers beyond an int stop at its largest value
+        F.least(F.greatest(F.coalesce(line, F.lit(0)), F.lit(-MAX_LINE)), F.lit(MAX_LINE)).cast("int").alias("line"),
         F.lit(-1).alias("rule_seq"),
         F.col("_pos").cast("int").alias("ext_pos"),
     )
@@ -63,25 +65,43 @@ def ingest_cli(df: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFram
     return _as_findings(e, id_cols, r["check_id"], r["extra"]["message"], r["extra"]["severity"], r["start"]["line"])
 
 
+def parsed_or_null(json_col: str) -> Column:
+    """The JSON text if it is a JSON object, else null (a scanner's error output, cut text, blanks)."""
+    v = F.try_parse_json(F.col(json_col))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.col(json_col))
+
+
+def coverage(external: DataFrame, id_cols: Sequence[str], api_col: str = "api_json",
+             cli_col: str = "cli_json") -> DataFrame:
+    """One row per file that an external scanner covers: its ids, and the API text or else the CLI text.
+
+    A result that cannot be parsed covers nothing, so the next source counts.
+    Of several parsed results of one source for a file, the first in text order
+    counts, whatever the order of rows.
+    """
+    best = external.groupBy(*id_cols).agg(F.min(parsed_or_null(api_col)).alias(api_col),
+                                          F.min(parsed_or_null(cli_col)).alias(cli_col))
+    return (best.filter(F.col(api_col).isNotNull() | F.col(cli_col).isNotNull())
+            .withColumn(cli_col, F.when(F.col(api_col).isNull(), F.col(cli_col))))
+
+
 def with_precedence(builtin: DataFrame, external: DataFrame, id_cols: Sequence[str],
                     api_col: str = "api_json", cli_col: str = "cli_json") -> DataFrame:
-    """D10, whole-file: API result if present, else CLI result, else built-in Security rows.
+    """D10, whole-file: a parsed API result, else a parsed CLI result, else built-in Security rows.
 
-    `external` has one row per file (ids, api_json, cli_json). A covered file may
-    have zero results, so coverage comes from the file list, not the findings.
-    Non-Security built-in findings are always kept.
+    `external` has rows (ids, api_json, cli_json). A covered file may have zero
+    results, so coverage comes from the files, not the findings. Non-Security
+    built-in findings are always kept. `external` is read once:
+    its one row per covered file is checkpointed.
     """
     ids = list(id_cols)
-    api = external.filter(F.col(api_col).isNotNull())
-    cli = external.filter(F.col(api_col).isNull() & F.col(cli_col).isNotNull())
-    covered = (external.filter(F.col(api_col).isNotNull() | F.col(cli_col).isNotNull())
-               .select(*ids, F.lit(True).alias("_covered")))
+    covered = materialize(coverage(external, ids, api_col, cli_col))
     cols = builtin.columns
-    # one pass over the built-in findings: drop Security rows of covered files
-    kept = (builtin.join(covered, ids, "left")
-            .filter((F.col("kind") != "vulnerability") | F.col("_covered").isNull())
-            .select(*cols, F.lit(None).cast("int").alias("ext_pos")))
-    ext = ingest_api(api, ids, api_col).unionByName(ingest_cli(cli, ids, cli_col))
+    vulnerability = F.col("kind") == "vulnerability"
+    marked = builtin.join(covered.select(*ids, F.lit(True).alias("_covered")), ids, "left")
+    kept = marked.filter(~vulnerability | F.col("_covered").isNull()).select(
+        *cols, F.lit(None).cast("int").alias("ext_pos"))
+    ext = ingest_api(covered, ids, api_col).unionByName(ingest_cli(covered, ids, cli_col))
     return kept.unionByName(ext.select(*cols, "ext_pos"))
 
 

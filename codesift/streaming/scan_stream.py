@@ -36,8 +36,8 @@ def start_findings_stream(findings: DataFrame, sink_dir: str, checkpoint_dir: st
 
 def stream_table_findings(spark: SparkSession, sf_dir: str, table: str, text_col: str,
                           id_cols: Sequence[str]) -> DataFrame:
-    """Run the streaming scan over one table's parquet file to completion and
-    return the appended findings (read back from the sink).
+    """Run the streaming scan over one table (a file, or a folder of part files)
+    to completion and return the appended findings (read back from the sink).
 
     Sink and stream checkpoint live in a fresh folder under the shared
     checkpoint directory, so a restarted query resumes exactly once.
@@ -49,8 +49,8 @@ def stream_table_findings(spark: SparkSession, sf_dir: str, table: str, text_col
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{table}-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
     src = (spark.readStream.format("parquet").schema(schema)
-           .option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 1)
-           .load(sf_dir))
+           # a pattern that only the table matches: a plain path would have to be a folder
+           .load(f"{sf_dir.rstrip('/')}/[{table[0]}]{table[1:]}.parquet"))
     q = start_findings_stream(scan(src, text_col, id_cols), f"{base}/out", f"{base}/ckpt", trigger_once=True)
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
