@@ -61,7 +61,7 @@ def dedup_lines(
     at = F.struct(F.col("k").isNull().alias("none"), "k", "row", "pos")
     lines = stored(lines.select(F.xxhash64("text").alias("line"), "site", at.alias("at")))
     gone = (
-        lines.join(spread_lines(lines, min_sites), "line")
+        lines.join(stored(spread_lines(lines, min_sites)), "line")
         .where(F.col("at") != F.col("first"))
         .groupBy(F.col("at.row").alias("__row"))
         .agg(F.collect_set("at.pos").alias("__gone"))
