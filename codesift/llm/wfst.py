@@ -50,11 +50,13 @@ class Transducer:
         self.solved: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.allowed: dict[int, bool] = {}
-        # The last two characters of a place bound the lengths of the arcs into it.
-        lengths: dict[str, set[int]] = {}
-        for name in p.ids:
-            lengths.setdefault(name[-2:], set()).add(len(name))
-        self.lengths = {c: sorted(n | lengths.get(c[-1], set()), reverse=True) for c, n in lengths.items()}
+        # The piece transducer's arcs into each place of a text, longest first.
+        import ahocorasick
+
+        self.arcs = ahocorasick.Automaton()
+        for name, i in p.ids.items():
+            self.arcs.add_word(name, (i, len(name)))
+        self.arcs.make_automaton()
         self.spelled = [self._spelled(i) for i in range(len(p.names))]
 
     def _spelled(self, i: int) -> bytes:
@@ -84,37 +86,44 @@ class Transducer:
         ok = self.merges("".join(names)) == names
         if len(self.allowed) >= 4 * REMEMBERED:
             self.allowed.clear()
-        self.allowed[left << 32 | right] = ok
+        self.allowed[(left + 1) * len(self.names) + right] = ok
         return ok
 
-    def solve(self, text: str) -> tuple[int, ...]:
-        """The shortest path of a chunk's lattice, as piece ids."""
-        ids, lengths, bpe, allowed, weights = self.ids, self.lengths, self.bpe, self.allowed, self.weight
+    def merged(self, text: str) -> tuple[list[int], list[int]]:
+        """BPE: for each place, the last piece of the one path of finite weight into it, and where that piece starts."""
+        allowed, size, n = self.allowed, len(self.names), len(text)
+        # A character that no piece spells leaves its place as it is here: free, one character long.
+        piece, start = [FREE] * (n + 1), list(range(-1, n))
+        for last, (arc, length) in self.arcs.iter(text):
+            if piece[last + 1] == FREE:
+                at = last + 1 - length
+                ok = allowed.get((piece[at] + 1) * size + arc)
+                if ok or ok is None and self.allow(piece[at], arc):
+                    piece[last + 1], start[last + 1] = arc, at
+        return piece, start
+
+    def cheapest(self, text: str) -> tuple[list[int], list[int]]:
+        """Unigram: the same for the path of least weight; a tie keeps the longer last piece."""
         n = len(text)
-        # The best path into each place: its weight, its last piece, and where that starts.
-        weight, piece, start = [0.0] * (n + 1), [FREE] * (n + 1), [0] * (n + 1)
+        into: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for last, arc in self.arcs.iter(text):
+            into[last].append(arc)
+        weight, piece, start = [0.0] * (n + 1), [FREE] * (n + 1), list(range(-1, n))
         for end in range(1, n + 1):
-            best, last = float("inf"), FREE
-            for length in lengths.get(text[max(0, end - 2) : end]) or (1,):  # longest arcs first; a tie keeps the longer
-                at = end - length
-                if at < 0:
-                    continue
-                arc = ids.get(text[at:end])
-                if arc is None:
-                    continue
-                if bpe:
-                    left = piece[at]
-                    ok = allowed.get(left << 32 | arc)
-                    if ok or ok is None and self.allow(left, arc):
-                        best, last, start[end] = 0.0, arc, at
-                        break
-                elif weight[at] + weights[arc] < best:
-                    best, last, start[end] = weight[at] + weights[arc], arc, at
-            if text[end - 1] not in ids:  # byte fallback, or the unknown piece
-                other = 0.0 if bpe else weight[end - 1] + self.unknown_weight
+            best = float("inf")
+            for arc, length in into[end - 1]:
+                other = weight[end - length] + self.weight[arc]
                 if other < best:
-                    best, last, start[end] = other, FREE, end - 1
-            weight[end], piece[end] = best, last
+                    best, piece[end], start[end] = other, arc, end - length
+            if text[end - 1] not in self.ids and weight[end - 1] + self.unknown_weight < best:
+                best, piece[end], start[end] = weight[end - 1] + self.unknown_weight, FREE, end - 1
+            weight[end] = best
+        return piece, start
+
+    def solve(self, text: str) -> tuple[int, ...]:
+        """The shortest path of a chunk's lattice, as piece ids."""
+        n = len(text)
+        piece, start = self.merged(text) if self.bpe else self.cheapest(text)
         out: list[int] = []
         end = n
         while end:
