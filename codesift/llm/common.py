@@ -45,6 +45,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `rows` whose `k` may be in `keys`: all that are, and few others while the bitmap is not full.
+
+    The bitmap has 2^23 bits, one hash a key, in at most 131,072 rows of 64 bits; that bounds its broadcast.
+    """
+    place = F.pmod(F.xxhash64(F.lit(5), "k"), F.lit(1 << 23))
+    bit = F.expr("shiftleft(1L, CAST(__at & 63 AS INT))")
+    bits = keys.select(place.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
+    marked = rows.withColumn("__at", place).withColumn("__w", F.shiftright("__at", 6)).join(F.broadcast(bits), "__w")
+    return marked.where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def words(text):
     """Column: the words of a text; null and empty give an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), 1)
@@ -77,7 +89,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), kept for a process up to 8 M."""
     kept = _kept_powers.get(int(base))
     if kept is None or len(kept) < n:
-        kept = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        kept = np.full(max(n, 1 << 21), base, dtype=np.uint64)
         kept[0] = 1
         with np.errstate(over="ignore"):
             kept = np.multiply.accumulate(kept)
@@ -119,7 +131,7 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = SPACES) -> tup
     return out, np.concatenate(([0], np.searchsorted(first, ends)))
 
 
-def slices(texts: list[str | None], most_bytes: int = 2_000_000):
+def slices(texts: list[str | None], most_bytes: int = 1_000_000):
     """Index ranges of `texts` of a bounded size each (a longer text stands alone)."""
     start = size = 0
     for i, t in enumerate(texts):

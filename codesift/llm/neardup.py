@@ -1,18 +1,22 @@
 """MinHash near-dedup by bottom-k sketches from one hash function.
 
-A document is the set of its distinct word shingles, as 64-bit hashes. Its sketch is the `K` smallest of them.
+A document is the set of its distinct word shingles, as 64-bit hashes. Its sketch is the `K` smallest of them, or the
+whole set up to `WHOLE` shingles: a set that is similar enough to one of at most K has no more.
 
 1. Texts with the same word sequence are one class; its smallest document stands for it.
-2. Inverted lists: a sketch value with the classes that retain it. Two sets of the wanted similarity share at least
-   `SHARE` of their retained values but for a chance under 1e-11, so a class enters only the lists of its rarest
-   `s - ceil(SHARE * s) + 1` values; two classes above the share meet in one of these. Lists of one are left out, and
-   passages of many documents, being frequent, are seldom among the rarest.
+2. Inverted lists: a retained value with the classes that retain it. Two whole sets share `percent` of the larger one
+   at least; two sketches of K share `SHARE` of K but for a chance of about 1e-9. So a class enters only the lists of its
+   rarest `s - needed + 1` values, in the order of frequency, and two classes that share enough meet in one of these.
+   Lists of one are left out, and passages of many documents, being frequent, are seldom among the rarest.
 3. Star: in each list every class meets the list's centre only, the class whose values are the most shared. This
    takes a group of thousands of near copies to one component without its pairs.
-4. Rest: classes of one list that are still in different components meet each other. A join on the value does that,
-   so a long list is split between tasks by Spark's skew handling.
-5. Pairs are kept if their sizes allow the similarity and the union sketch (the `K` smallest of both sketches)
-   estimates it to be `SHARE` at least; then the exact Jaccard of the full sets decides.
+4. Rest: classes of one list that are still in different components meet each other, if what each has left from the
+   value on, in the order of frequency, is as much as the pair has to share. Members of the centre's component need
+   not meet each other, and a class that is too unlike the centre has too little left to meet anything through what
+   it shares with it, so a large group's pairs are not formed. A join on the value makes the others; a long list is
+   split between tasks by Spark's skew handling.
+5. Pairs are kept if their sizes allow the similarity and the union sketch (the `UNION` smallest of both sketches)
+   estimates it to be `LIKELY` at least; then the exact Jaccard of the full sets decides.
 6. Components of the confirmed links, by smallest label with pointer jumping.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are their own
@@ -31,10 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codesift.llm.common import _MULT, mix64, slices, stored, word_hashes
+from codesift.llm.common import _MULT, maybe_in, mix64, slices, stored, word_hashes
 
-K = 64
-SHARE = 0.375
+#: Values of a sketch, the largest set that is kept whole, and the share of K that two similar sketches have in common.
+K, WHOLE, SHARE = 160, 200, 0.6
+#: Values of the union sketch (by 31 bits of their hashes), and the common share of them that a likely pair has.
+UNION, LIKELY = 64, 0.4
 
 
 def shingle_hashes(texts: list[str | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -58,9 +64,10 @@ def shingle_hashes(texts: list[str | None], width: int) -> Iterator[tuple[np.nda
                 yield words[lo:hi], h
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+    """Arrays of unsigned values as lists of the signed ones with the same bits."""
     ends = np.cumsum([0, *(len(x) for x in parts)]).astype(np.int32)
-    values = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
+    values = np.concatenate([np.empty(0, parts[0].dtype if parts else kind), *parts]).view(kind)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
@@ -73,18 +80,40 @@ def _sequence(words: np.ndarray) -> bytes | None:
         return np.array((mix64(words ^ place).sum(), mix64(words * _MULT + place).sum()), np.uint64).tobytes()
 
 
+def _pieces(batches, rows: int = 500):
+    """Batches cut to a bounded number of rows, so a task holds few texts and sets at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _sequences(width: int):
+    def run(batches):
+        for batch in _pieces(batches):
+            sizes, seqs = [], []
+            for words, grams in shingle_hashes(batch.column(1).to_pylist(), width):
+                sizes.append(len(grams))
+                seqs.append(_sequence(words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary())], ["id", "n", "seq"]
+            )
+
+    return run
+
+
 def _sketches(width: int):
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes, keys, parts = [], [], []
-            for words, grams in shingle_hashes(texts, width):
+        for batch in _pieces(batches):
+            sizes, seqs, parts, short = [], [], [], []
+            for words, grams in shingle_hashes(batch.column(1).to_pylist(), width):
+                values = np.sort(mix64(grams))
                 sizes.append(len(grams))
-                keys.append(_sequence(words))
-                parts.append(np.sort(mix64(grams))[:K])
+                seqs.append(_sequence(words))
+                parts.append(values[: len(values) if len(values) <= WHOLE else K])
+                short.append(np.unique(values[:UNION] >> np.uint64(33)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(parts)],
-                ["id", "n", "seq", "sketch"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(seqs, pa.binary()), _lists(parts), _lists(short, np.int32)],
+                ["id", "n", "seq", "sketch", "low"],
             )
 
     return run
@@ -92,7 +121,7 @@ def _sketches(width: int):
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):  # a batch of sets for each bounded part of a batch of texts
                 found = list(shingle_hashes(texts[a:b], width))
@@ -128,40 +157,58 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n, comp) for every row of `docs` with its key as `id`: set size and smallest reachable key."""
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "id long, n long, seq binary, sketch array<long>"
-    rows = stored(body.mapInArrow(_sketches(width), schema).withColumn("cls", F.xxhash64("seq")))
+    rows = body.mapInArrow(_sequences(width), "id long, n long, seq binary")
+    rows = stored(rows.withColumn("cls", F.xxhash64("seq")))
     linkable = rows.where(F.col("id").isNotNull() & F.col("seq").isNotNull())
     # One class for each word sequence, with its smallest document.
+    sketched = body.mapInArrow(_sketches(width), "id long, n long, seq binary, sketch array<long>, low array<int>")
     classes = stored(
-        linkable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        sketched.where(F.col("id").isNotNull() & F.col("seq").isNotNull())
+        .groupBy(F.xxhash64("seq").alias("cls"))
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("low").alias("low"))
     )
-    posted = classes.select("cls", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    shared = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # Whole sets and sketches of K have lists of their own; a class between K and WHOLE is in both.
+    whole = classes.where(F.col("n") <= WHOLE).select("cls", F.lit(True).alias("w"), F.explode("sketch").alias("v"))
+    cut = classes.where(F.col("n") > K).select("cls", F.lit(False).alias("w"), F.explode(F.slice("sketch", 1, K)).alias("v"))
+    posted = whole.union(cut).repartition("w", "v")  # one shuffle for the counts and the lists
+    shared = posted.groupBy("w", "v").agg(F.count("cls").alias("df")).where("df > 1")
+    met = posted.join(shared, ["w", "v"]).join(classes.select("cls", "n"), "cls")
     # Lists of one are left out, but count among the rarest values of their class.
-    own = Window.partitionBy("cls")
-    placed = posted.join(shared, "v").select(
+    own = Window.partitionBy("cls", "w")
+    s = F.when(F.col("w"), F.col("n")).otherwise(K)
+
+    def need(n: Column, m: Column) -> Column:
+        """How many values of a list's kind sets of n and m have in common if they are similar enough."""
+        return F.when(F.col("w"), F.ceil((n + m) * percent / (100 + percent))).otherwise(int(K * SHARE))
+
+    placed = met.select(
         "*",
-        (F.row_number().over(own.orderBy("df", "v")) + F.col("s") - F.count("*").over(own)).alias("place"),
+        (F.row_number().over(own.orderBy("df", "v")) + s - F.count("*").over(own)).alias("place"),
         F.sum("df").over(own).alias("centrality"),
     )
-    prefix = F.col("s") - F.ceil(F.col("s") * SHARE) + 1
-    lists = stored(placed.where(F.col("place") <= prefix).select("v", "cls", "n", "centrality"))
+    # From its place on, a class has `left` values; the fewest that any partner asks for is with the smallest one.
+    ahead = placed.withColumn("left", s - F.col("place") + 1).withColumn("low", F.ceil(F.col("n") * percent / 100))
+    lists = stored(ahead.where(F.col("left") >= need(F.col("n"), F.col("low"))).select("w", "v", "cls", "n", "left", "centrality"))
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, those whose estimate and then whose full sets are similar enough."""
-        a = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"), F.col("rep").alias("ra"))
-        b = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"), F.col("rep").alias("rb"))
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-        common = F.size(F.array_intersect(F.array_intersect(union, "sa"), "sb"))
+        pairs = stored(pairs)
+        some = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        low = stored(classes.select("cls", "low", "n", "rep").join(some, "cls", "left_semi"))
+        a = low.select(F.col("cls").alias("a"), F.col("low").alias("la"), F.col("n").alias("na"), F.col("rep").alias("ra"))
+        b = low.select(F.col("cls").alias("b"), F.col("low").alias("lb"), F.col("n").alias("nb"), F.col("rep").alias("rb"))
+        union = F.slice(F.array_sort(F.array_union("la", "lb")), 1, UNION)
+        common = F.size(F.array_intersect(F.array_intersect(union, "la"), "lb"))
         likely = stored(
-            pairs.join(a, "a").join(b, "b").where(common >= F.size(union) * SHARE).select("a", "b", "na", "nb", "ra", "rb")
+            pairs.join(a, "a").join(b, "b").where(common >= F.size(union) * LIKELY).select("a", "b", "na", "nb", "ra", "rb")
         )
         # A class's set is made once, from its smallest document's text, for the classes in a likely pair.
-        wanted = likely.select(F.col("ra").alias("id")).union(likely.select(F.col("rb").alias("id"))).distinct()
-        made = body.join(wanted, "id").mapInArrow(_sets(width), "seq binary, grams array<long>")
+        wanted = likely.select(F.col("ra").alias("k")).union(likely.select(F.col("rb").alias("k"))).distinct()
+        texts = maybe_in(body.withColumnRenamed("id", "k"), wanted).join(wanted, "k")
+        made = texts.mapInArrow(_sets(width), "seq binary, grams array<long>")
         sets = stored(made.select(F.xxhash64("seq").alias("cls"), "grams").dropDuplicates(["cls"]))
         both = likely.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(
             sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b"
@@ -169,25 +216,33 @@ def near_duplicates(
         inter = F.size(F.array_intersect("ga", "gb")).cast("long")
         return both.where(inter * 100 >= (F.col("na") + F.col("nb") - inter) * percent).select("a", "b")
 
-    centre = lists.groupBy("v").agg(F.max(F.struct("centrality", "cls", "n")).alias("c"))
+    centre = lists.groupBy("w", "v").agg(F.max(F.struct("centrality", "cls", "n")).alias("c"))
     star = stored(
-        lists.join(centre, "v")
+        lists.join(centre, ["w", "v"])
         .where((F.col("c.cls") != F.col("cls")) & fits(F.col("n"), F.col("c.n")))
         .select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"))
         .distinct()
     )
     star_links = stored(confirmed(star))
-    # Classes of one list in different components, by a join of the list with itself.
+    # Classes of one list in different components, by a join of those beside the centre's with all.
     split = lists.join(components(star_links).withColumnRenamed("id", "cls"), "cls", "left")
     split = split.withColumn("comp", F.coalesce("comp", "cls"))
-    open_lists = split.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    split = stored(split.join(open_lists, "v", "left_semi").select("v", "cls", "n", "comp"))
-    x = split.select("v", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = split.select("v", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    about = split.groupBy("w", "v").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n"),
+        F.max(F.struct("centrality", "cls", "n", "comp")).alias("c"),
+    )
+    opened = about.where("lo <> hi").select("w", "v", "least_n", F.col("c.comp").alias("main"))
+    split = stored(split.join(opened, ["w", "v"]).select("w", "v", "cls", "n", "left", "comp", "least_n", "main"))
+    smallest_n = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
+    beside = split.where((F.col("comp") != F.col("main")) & (F.col("left") >= need(F.col("n"), smallest_n)))
+    x = beside.select("w", "v", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("left").alias("ea"), F.col("comp").alias("ca"))
+    y = split.select("w", "v", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("left").alias("eb"), F.col("comp").alias("cb"))
     rest = (
-        x.join(y, "v")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-        .select("a", "b")
+        x.join(y, ["w", "v"])
+        .where((F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
+        .where(F.least("ea", "eb") >= need(F.col("na"), F.col("nb")))
+        .where(F.col("w") | (F.greatest("na", "nb") > WHOLE))  # two whole sets meet in the lists of whole sets
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from codesift.llm.common import _LOWER, NOT_ALNUM, mix64, slices, stored, word_hashes, word_spans
+from codesift.llm.common import _LOWER, NOT_ALNUM, maybe_in, mix64, slices, stored, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 CALIBRATION = 10_000
@@ -228,18 +228,6 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 5
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of `rows` whose `k` may be in `keys`: all that are, and few others while the bitmap is not full.
-
-    The bitmap has 2^23 bits, one hash a key, in at most 131,072 rows of 64 bits; that bounds its broadcast.
-    """
-    place = F.pmod(F.xxhash64(F.lit(5), "k"), F.lit(1 << 23))
-    bit = F.expr("shiftleft(1L, CAST(__at & 63 AS INT))")
-    bits = keys.select(place.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
-    marked = rows.withColumn("__at", place).withColumn("__w", F.shiftright("__at", 6)).join(F.broadcast(bits), "__w")
-    return marked.where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "toxic"):
     """Tables and curve from the labelled rows of `docs` whose key satisfies `learn` (a column over `key`)."""
     taught = labels.select(F.col(key).alias("k"), F.col(label).cast("long").alias("toxic")).where("toxic in (0, 1) and k is not null")
