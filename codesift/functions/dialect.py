@@ -194,3 +194,7 @@ def to_re2(src: str, flags: str = "") -> str:
 
 def java_pattern(rule) -> str:
     return to_java(rule.safe_pattern or rule.pattern, rule.flags)
+
+
+def java_skip(rule) -> str | None:
+    return to_java(rule.skip_pattern, rule.flags) if rule.skip_pattern else None

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "\u0001"  # inserted before each match start; never left in the input
+STEPPED = "\u0003"  # ends a match; no rule's match starts with it
 SUBST = "\u0002"  # the input's own U+0001 become this (same class for every rule)
 
 
@@ -18,14 +19,19 @@ def safe_text(text: Column) -> Column:
     return F.translate(text, MARK, SUBST)
 
 
-def match_skeleton(text: Column, java_pattern: str) -> Column:
+def match_skeleton(text: Column, java_pattern: str, java_skip: str | None = None) -> Column:
     """Newlines and match marks of `text`, everything else dropped.
 
     One linear pass of the rule's regex (a real find loop: matches are
     non-overlapping, left to right, over the whole text), then one pass that
-    keeps only newline and mark characters.
+    keeps only newline and mark characters. Runs of `java_skip` are stepped
+    over: they get an empty pair of marks, which goes before the last pass.
     """
-    marked = F.regexp_replace(text, F.lit(java_pattern), F.lit(MARK + "$0"))
+    if java_skip is None:
+        marked = F.regexp_replace(text, F.lit(java_pattern), F.lit(MARK + "$0"))
+    else:
+        either = F.regexp_replace(text, F.lit(f"({java_pattern})|({java_skip})"), F.lit(f"{MARK}$1{STEPPED}$2"))
+        marked = F.replace(either, F.lit(MARK + STEPPED), F.lit(""))
     return F.regexp_replace(marked, F.lit(f"[^\n{MARK}]+"), F.lit(""))
 
 

@@ -97,19 +97,21 @@ def _applied(lines: Column, fix) -> Column:
     in_range = idx <= n
     return (F.when(fix["fix_type"] == "REPLACE", in_range & (_replaced(orig, fix) != orig))
             .when(fix["fix_type"] == "DELETE", in_range)
-            .when(fix["fix_type"] == "INSERT", fix["insert_content"].isNotNull() & (F.length(fix["insert_content"]) > 0))
+            .when(fix["fix_type"] == "INSERT",
+                  in_range & fix["insert_content"].isNotNull() & (F.length(fix["insert_content"]) > 0))
             .otherwise(F.lit(False)))
 
 
 def _planned(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[Rule]):
-    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, rules)
-    lines = F.when(F.size(HITS) > 0, F.split(F.col(TEXT), "\n", -1))
+    # Matching runs on the safe text; lines and corrected texts come from the text as it is.
+    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, rules, keep=[text_col])
+    lines = F.when(F.size(HITS) > 0, F.split(F.col(text_col), "\n", -1))
 
     def plan(h):
         r = decode_rule(h)
         return fix_template(rule_attr(rules, r, "rule_id"), rule_attr(rules, r, "kind"), decode_line(h))
 
-    planned = hits.select(*id_cols, TEXT, HITS, lines.alias("_lines"),
+    planned = hits.select(*id_cols, F.col(text_col).alias(TEXT), HITS, lines.alias("_lines"),
                           F.filter(F.transform(HITS, plan), lambda f: f.isNotNull()).alias("_fixes"))
     return planned
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,23 +110,21 @@ def _rounds(rows) -> int:
         elif typ == "CAUSED_BY":
             succ.setdefault(t, []).append(f)
     nodes = set(succ) | {t for v in succ.values() for t in v}
-    depth: dict[str, int] = {}
-    state: dict[str, int] = {}
-
-    def dfs(n):
-        if state.get(n) == 1:
-            raise ValueError("cycle")
-        if state.get(n) == 2:
-            return depth[n]
-        state[n] = 1
-        depth[n] = 1 + max((dfs(m) for m in succ.get(n, [])), default=-1)
-        state[n] = 2
-        return depth[n]
-
-    try:
-        return max((dfs(n) for n in nodes), default=0)
-    except ValueError:
-        return len(nodes)
+    waiting = {n: 0 for n in nodes}
+    for targets in succ.values():
+        for t in targets:
+            waiting[t] += 1
+    level, rounds, done = [n for n, k in waiting.items() if not k], 0, 0
+    while level:  # one layer of the graph at a time: no recursion, whatever its depth
+        done += len(level)
+        after = []
+        for n in level:
+            for t in succ.get(n, []):
+                waiting[t] -= 1
+                if not waiting[t]:
+                    after.append(t)
+        level, rounds = after, rounds + bool(after)
+    return rounds if done == len(nodes) else len(nodes)
 
 
 def _shallow(rows) -> dict | None:
@@ -143,6 +141,13 @@ def _shallow(rows) -> dict | None:
     return preds
 
 
+def _literal_map(entries: dict, empty: Column) -> Column:
+    """A map literal; with no entries still a map of the right type."""
+    if not entries:
+        return F.map_from_arrays(F.array(F.lit("")), F.array(empty))
+    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+
+
 def _fix_order_shallow(ids: DataFrame, scope: Sequence[str], preds: dict) -> DataFrame:
     return _fix_order_shallow_with(ids, scope, preds).select(*scope, "rule_id", "pos", "rank")
 
@@ -155,9 +160,9 @@ def _fix_order_shallow_with(ids: DataFrame, scope: Sequence[str], preds: dict) -
     """
     s = list(scope)
     w = Window.partitionBy(*s) if s else Window.partitionBy(F.lit(0))
-    pred_map = F.create_map(*[x for a, v in preds.items() for x in (
-        F.lit(a), F.array(*[F.struct(F.lit(b).alias("before"), F.lit(i).alias("edge_idx")) for b, i in v]))])
     empty = F.array().cast("array<struct<before:string,edge_idx:int>>")
+    pred_map = _literal_map({a: F.array(*[F.struct(F.lit(b).alias("before"), F.lit(i).alias("edge_idx"))
+                                          for b, i in v]) for a, v in preds.items()}, empty)
     x = ids if "_present" in ids.columns else ids.withColumn("_present", F.collect_set("rule_id").over(w))
     x = x.select(*s, "rule_id", "pos", "_present")
     x = x.withColumn("_pp", F.filter(F.coalesce(pred_map[F.col("rule_id")], empty),
@@ -246,13 +251,13 @@ def order_report(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFr
         out_map = {}
         for i, (f, t, typ, _prio, reason) in enumerate(rows):
             out_map.setdefault(f, []).append((i, t, typ, reason))
-        emap = F.create_map(*[x for f, v in out_map.items() for x in (F.lit(f), F.array(*[F.struct(
+        empty = F.array().cast("array<struct<edge_idx:int,to_id:string,rel_type:string,reason:string>>")
+        emap = _literal_map({f: F.array(*[F.struct(
             F.lit(i).alias("edge_idx"), F.lit(t).alias("to_id"), F.lit(typ).alias("rel_type"),
-            F.lit(reason).alias("reason")) for i, t, typ, reason in v]))])
+            F.lit(reason).alias("reason")) for i, t, typ, reason in v]) for f, v in out_map.items()}, empty)
         w = Window.partitionBy(*s) if s else Window.partitionBy(F.lit(0))
         present = ids.withColumn("_present", F.collect_set("rule_id").over(w))
         x = _fix_order_shallow_with(present, s, shallow)
-        empty = F.array().cast("array<struct<edge_idx:int,to_id:string,rel_type:string,reason:string>>")
         here = F.filter(F.coalesce(emap[F.col("rule_id")], empty),
                         lambda e: F.array_contains(F.col("_present"), e["to_id"]))
         rl = F.transform(here, lambda e: F.struct(e["edge_idx"].alias("edge_idx"), sentence(

@@ -69,8 +69,16 @@ def summary(findings: DataFrame, severity_col: str = "severity") -> DataFrame:
     return agg.select(total.alias("total"), crit.alias("critical"), text.alias("summary"))
 
 
-def gate(findings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Exit code 1 when any finding is critical, else 0 (per scope, or one row)."""
+def gate(findings: DataFrame, scope: Sequence[str] = (), scopes: DataFrame | None = None) -> DataFrame:
+    """Exit code 1 when any finding is critical, else 0 (per scope, or one row).
+
+    `scopes` lists all scopes (e.g. the scanned files), so that clean ones pass
+    with 0 instead of being absent.
+    """
+    if scope and scopes is not None:
+        found = gate(findings, scope)
+        return (scopes.select(*scope).distinct().join(found, list(scope), "left")
+                .select(*scope, F.coalesce("exit_code", F.lit(0)).cast("int").alias("exit_code")))
     crit = F.max(F.when(F.col("severity") == "critical", 1).otherwise(0))
     if scope:
         return findings.groupBy(*scope).agg(F.coalesce(crit, F.lit(0)).cast("int").alias("exit_code"))
@@ -116,7 +124,7 @@ def diagnostics(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] =
         msg = F.when(kind == "secret", F.format_string("%s detected, use an environment variable", rid)) \
             .otherwise(F.format_string("%s (%s)", rule_attr(chosen, r, "message"), rid))
         return F.struct(rid.alias("rule_id"), ln.alias("line"), idx.cast("int").alias("line_index"),
-                        F.char_length(F.get(F.col("_lines"), clip)).cast("int").alias("end_col"),
+                        js_length(F.get(F.col("_lines"), clip)).alias("end_col"),
                         level.alias("level"), msg.alias("diag_message"))
 
     out = p.select(*id_cols, F.transform(HITS, diag).alias("_d"))

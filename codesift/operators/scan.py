@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dialect import java_pattern
+from ..functions.dialect import java_pattern, java_skip
 from ..functions.lines import decode_line, decode_rule, match_skeleton, safe_text, skeleton_codes_sql
 from ..rules import ALL_RULES, SEVERITY_RANK, Rule, rules_for
 
@@ -93,11 +93,12 @@ def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Seque
         lower_text = F.col("_lower")
     skels = []
     for j, r in enumerate(rules):
-        pat = java_pattern(r)
+        pat, skip = java_pattern(r), java_skip(r)
         # cheap literal test, then a find-first; the marking pass only runs on rows that match
         test = _needle_test(r, text, lower_text) if prefilter else None
-        gate = text.rlike(pat) if test is None else (test & text.rlike(pat))
-        skels.append(F.when(gate, match_skeleton(text, pat)).otherwise(F.lit("")).alias(f"_s{j}"))
+        found = text.rlike(pat if skip is None else skip)  # a match begins with its opener
+        gate = found if test is None else (test & found)
+        skels.append(F.when(gate, match_skeleton(text, pat, skip)).otherwise(F.lit("")).alias(f"_s{j}"))
     step = base.select(*cols, TEXT, *skels)
     per_rule = ", ".join(skeleton_codes_sql(f"_s{j}", j) for j in range(len(rules)))
     return step.select(*cols, TEXT, F.expr(f"flatten(array({per_rule}))").alias(HITS))

@@ -104,7 +104,13 @@ _on_findings("domain_counts", om.domain_counts_sql(), rp.domain_counts)
 _on_findings("totals", om.totals_sql(), rp.totals)
 _on_findings("per_file_counts", om.per_file_counts_sql(), rp.per_file_counts)
 _on_findings("summary", om.summary_sql(), rp.summary)
-_on_findings("gate_per_file", om.gate_per_file_sql(), lambda f: rp.gate(f, ["file"]))
+
+
+@register("gate_per_file", om.gate_per_file_sql())
+def q_gate_per_file(spark, sf):
+    return rp.gate(corpus_findings(spark, sf), ["file"], scopes=code_corpus(spark, sf))
+
+
 _on_findings("gate", om.gate_sql(), rp.gate)
 _on_findings("distinct_ids_per_file", om.distinct_ids_sql(), lambda f: rp.distinct_ids(f, ["file"]))
 _on_findings("labels", om.labels_sql(), rp.labels)
@@ -254,7 +260,7 @@ def _doc_findings_by_source(spark, sf):
 
 @register("gate_per_source", om.gate_per_source_sql())
 def q_gate_per_source(spark, sf):
-    return rp.gate(_doc_findings_by_source(spark, sf), ["source"])
+    return rp.gate(_doc_findings_by_source(spark, sf), ["source"], scopes=read_table(spark, sf, "documents"))
 
 
 @register("domain_counts_per_source", om.domain_counts_per_source_sql())
@@ -267,3 +273,20 @@ def q_severity_groups_effective(spark, sf):
     """A1 over the editor path: vulnerability rows grouped by their context-adjusted severity."""
     ctx = scan_in_context(code_corpus(spark, sf), "code", ["file"])
     return rp.severity_groups(ctx.select(F.col("severity_effective").alias("severity")))
+
+
+# ------------------------------------------------- editor path: adjusted severity
+def effective_findings(spark, sf):
+    """Corpus findings whose severity is the context-adjusted one, as the editor shows them."""
+    ctx = scan_in_context(code_corpus(spark, sf), "code", ["file"])
+    return ctx.withColumn("severity", F.col("severity_effective")).select(
+        "file", "kind", "domain", "rule_id", "severity", "message", "line", "rule_seq")
+
+
+for _name, _sql, _fn in [
+    ("summary_effective", om.summary_sql, rp.summary),
+    ("listing_effective", om.listing_sql, rp.listing),
+    ("domain_report_effective", om.domain_report_sql, lambda f: rp.domain_report(f, ["file"])),
+    ("issue_sheets_effective", om.issue_sheets_sql, kn.issue_sheet),
+]:
+    register(_name, _sql(om.effective_findings()))(lambda spark, sf, fn=_fn: fn(effective_findings(spark, sf)))

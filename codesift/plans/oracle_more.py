@@ -62,8 +62,8 @@ def per_file_counts_sql() -> str:
     return with_f("SELECT file, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY file")
 
 
-def summary_sql() -> str:
-    return with_f("""SELECT total, critical,
+def summary_sql(findings: str | None = None) -> str:
+    return with_f(findings=findings, body="""SELECT total, critical,
   CASE WHEN total = 0 THEN 'No issues detected.'
        WHEN critical > 0 THEN printf('%d issue(s), %d critical.', total, critical)
        ELSE printf('%d issue(s).', total) END AS summary
@@ -72,8 +72,8 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS total,
 
 
 def gate_per_file_sql() -> str:
-    return with_f("SELECT file, CAST(max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS INTEGER) AS exit_code "
-                  "FROM f GROUP BY file")
+    return with_f(f"""SELECT c.file, CAST(coalesce(max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END), 0) AS INTEGER)
+  AS exit_code FROM (SELECT DISTINCT file FROM {corpus_sql()} AS s) c LEFT JOIN f ON f.file = c.file GROUP BY c.file""")
 
 
 def gate_sql() -> str:
@@ -154,18 +154,18 @@ def explain_findings_sql() -> str:
 FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id""")
 
 
-def domain_report_sql() -> str:
+def domain_report_sql(findings: str | None = None) -> str:
     item = ("concat_ws(chr(10), printf('[%s] L%d: %s', upper(severity), line, rule_id), '  ' || message, "
             "CASE WHEN ex_id IS NOT NULL THEN concat_ws(chr(10), '  What: ' || what, '  Why:  ' || why, "
             "CASE WHEN n_steps > 0 THEN '  Fix:  ' || fix_title END, '  Ref:  ' || standard_url) END)")
-    return with_f(f"""SELECT file, domain, CAST(count(*) AS BIGINT) AS n, CAST(min(rule_seq) AS INTEGER) AS first_seq,
+    return with_f(findings=findings, body=f"""SELECT file, domain, CAST(count(*) AS BIGINT) AS n, CAST(min(rule_seq) AS INTEGER) AS first_seq,
   printf('--- %s (%d) ---', domain, count(*)) || {NL} || string_agg({item}, {NL} || {NL} {_item_order(item)}) AS section
 FROM (SELECT * FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id) x
 GROUP BY file, domain""")
 
 
-def listing_sql() -> str:
-    return with_f(f"""SELECT f.*, printf('[%s][%s] L%d: %s (%s)', domain, upper(severity), line, message, rule_id)
+def listing_sql(findings: str | None = None) -> str:
+    return with_f(findings=findings, body=f"""SELECT f.*, printf('[%s][%s] L%d: %s (%s)', domain, upper(severity), line, message, rule_id)
   || coalesce(CASE WHEN v.ex_id IS NOT NULL THEN {NL} || '  Fix: ' || coalesce(v.fix_title, '') || {NL}
   || '  Ref: ' || coalesce(v.docs_url, v.standard_url) END, '') AS entry
 FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id""")
@@ -214,12 +214,12 @@ FROM {values(detail_rows(), ['rule_id', 'section', 'pos', 'label', 'detail'])}
 WHERE v.rule_id IN (SELECT upper(rule_id) FROM f)""")
 
 
-def issue_sheets_sql() -> str:
+def issue_sheets_sql(findings: str | None = None) -> str:
     grows = [(g["rule_id"], g["problem"], g["explanation"], "; ".join(g["steps"]), g["minutes"], g["confidence"])
              for g in GUIDES]
     gv = values(grows, ["g_id", "problem", "gexpl", "steps", "minutes", "confidence"]).replace(" AS v(", " AS g(")
     head = "printf('[%s] %s, line %d, %s', upper(f.severity), f.rule_id, f.line, f.domain)"
-    return with_f(f"""SELECT f.*,
+    return with_f(findings=findings, body=f"""SELECT f.*,
   CASE WHEN v.ex_id IS NOT NULL THEN 'explanation' WHEN g.g_id IS NOT NULL THEN 'guide' ELSE 'none' END AS sheet_source,
   CASE WHEN v.ex_id IS NOT NULL THEN concat_ws(chr(10), {head}, f.message, 'What: ' || v.what, 'Why: ' || v.why,
             'Fix: ' || v.fix_title, 'Standard: ' || v.standard_name)
@@ -527,8 +527,9 @@ def _doc_findings_by_source() -> str:
 
 
 def gate_per_source_sql() -> str:
-    return with_f("SELECT source, CAST(max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS INTEGER) AS exit_code "
-                  "FROM f GROUP BY source", findings=_doc_findings_by_source())
+    return with_f("""SELECT d.source, CAST(coalesce(max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END), 0) AS INTEGER)
+  AS exit_code FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN f ON f.source = d.source GROUP BY d.source""",
+                  findings=_doc_findings_by_source())
 
 
 def domain_counts_per_source_sql() -> str:
@@ -543,3 +544,10 @@ SELECT severity_effective AS severity, CAST(count(*) AS BIGINT) AS n,
   CAST(CASE severity_effective WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3
        ELSE 4 END AS INTEGER) AS group_order
 FROM c GROUP BY severity_effective"""
+
+
+def effective_findings() -> str:
+    """The corpus findings of the editor path: severity is the context-adjusted one."""
+    ctx = context_sql(corpus_sql(), "code", ["file"], ALL_RULES)
+    return (f"SELECT file, kind, domain, rule_id, severity_effective AS severity, message, line, rule_seq "
+            f"FROM ({ctx}) e")

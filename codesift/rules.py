@@ -27,6 +27,10 @@ class Rule:
     # used when the original backtracks badly in Java. JS dialect plus
     # possessive quantifiers, which the Java side understands.
     safe_pattern: str | None = None
+    # What to step over when the pattern fails at an opener: the run up to the
+    # bracket that the opener and all further openers in the run share, so none
+    # of them can match either. Keeps texts full of unclosed openers linear.
+    skip_pattern: str | None = None
     # Literal substrings of which at least one must occur for any match;
     # lets the scan skip the regex on most texts. Compared on lower-cased
     # text when the rule is case-insensitive.
@@ -38,8 +42,8 @@ SEVERITY_ORDER = ["critical", "high", "medium", "low"]
 DOMAIN_ORDER = ["Security", "Quality", "DevOps", "Scalability"]
 
 
-def _r(rule_id, domain, kind, severity, pattern, flags="", message="", safe=None, needles=()):
-    return Rule(rule_id, domain, kind, severity, pattern, flags, message, safe, tuple(needles))
+def _r(rule_id, domain, kind, severity, pattern, flags="", message="", safe=None, needles=(), skip=None):
+    return Rule(rule_id, domain, kind, severity, pattern, flags, message, safe, skip, tuple(needles))
 
 
 # ---------------------------------------------------------------------------
@@ -50,6 +54,7 @@ SECURITY_RULES = [
     _r("SQL_INJECTION", "Security", "vulnerability", "critical",
        r"""['"`][^'"`\r\n]*\b(?:SELECT|INSERT|UPDATE|DELETE|DROP|WHERE|FROM|UNION)\b[^'"`\r\n]*['"`]\s*\+""", "i",
        "SQL text is concatenated with a value; bind parameters instead",
+       safe=r"""['"`](?=[^'"`\r\n]*+['"`]\s*+\+)[^'"`\r\n]*\b(?:SELECT|INSERT|UPDATE|DELETE|DROP|WHERE|FROM|UNION)\b[^'"`\r\n]*+['"`]\s*+\+""",
        needles=(("+",), ("select", "insert", "update", "delete", "drop", "where", "from", "union"))),
     _r("EVAL_USAGE", "Security", "vulnerability", "critical",
        r"""\beval\s*\(""", "",
@@ -68,13 +73,15 @@ SECURITY_RULES = [
        "Math.random() is predictable; use a crypto RNG for secrets", needles=("Math.random",)),
     _r("PATH_TRAVERSAL", "Security", "vulnerability", "high",
        r"""(?:readFile|writeFile|createReadStream|readFileSync)\s*\([^)]*(?:req\.|params\.|query\.|body\.)""", "i",
-       "file path comes from request data", needles=("readfile", "writefile", "createreadstream")),
+       "file path comes from request data", skip=r"""(?:readFile|writeFile|createReadStream|readFileSync)\s*+\([^)]*+""",
+       needles=("readfile", "writefile", "createreadstream")),
     _r("JWT_INSECURE", "Security", "vulnerability", "critical",
        r"""\bjwt\.decode\s*\(""", "",
        "jwt.decode() does not check the signature; use jwt.verify()", needles=("jwt.decode",)),
     _r("NOSQL_INJECTION", "Security", "vulnerability", "high",
        r"""(?:findOne|find|updateOne|deleteOne)\s*\(\s*\{[^}]*(?:req\.body|req\.params|req\.query)""", "i",
-       "query object takes request fields unchecked", needles=("req.",)),
+       "query object takes request fields unchecked", skip=r"""(?:findOne|find|updateOne|deleteOne)\s*+\(\s*+\{[^}]*+""",
+       needles=("req.",)),
     _r("DEBUG_ENABLED", "Security", "vulnerability", "medium",
        r"""(?:debug|DEBUG)\s*[:=]\s*true(?!\s*&&|\s*\|\|)""", "",
        "debug flag is hard-wired on", needles=("debug", "DEBUG")),
@@ -86,16 +93,19 @@ SECURITY_RULES = [
        "outgoing request URL comes from the caller", needles=("req.",)),
     _r("CORS_ALL_ORIGINS", "Security", "vulnerability", "high",
        r"""cors\s*\(\s*\{[^}]*origin\s*:\s*['"`]\*['"`]""", "",
-       "CORS allows every origin", needles=("cors",)),
+       "CORS allows every origin", skip=r"""cors\s*+\(\s*+\{[^}]*+""",
+       needles=("cors",)),
     _r("COOKIE_INSECURE", "Security", "vulnerability", "high",
        r"""res\.cookie\s*\(\s*['"][^'"]+['"]\s*,\s*[^,)]+\s*\)(?!\s*;?\s*\/\/)""", "",
-       "cookie set without options such as httpOnly", needles=("res.cookie",)),
+       "cookie set without options such as httpOnly", safe=r"""res\.cookie\s*+\(\s*+['"][^'"]++['"]\s*+,[^,)]++\)(?!\s*+(?:;\s*+)?\/\/)""",
+       needles=("res.cookie",)),
     _r("OPEN_REDIRECT", "Security", "vulnerability", "medium",
        r"""res\.redirect\s*\(\s*req\.""", "",
        "redirect target comes from the request", needles=("res.redirect",)),
     _r("SENSITIVE_DATA_LOG", "Security", "vulnerability", "high",
        r"""console\.\w+\s*\([^)]*(?:password|passwd|secret|token|apiKey|api_key)[^)]*\)""", "i",
-       "a credential is written to the log", needles=("console.",)),
+       "a credential is written to the log", skip=r"""console\.\w++\s*+\([^)]*+""",
+       needles=("console.",)),
     _r("DANGEROUS_HTML", "Security", "vulnerability", "high",
        r"""dangerouslySetInnerHTML\s*=\s*\{\s*\{\s*__html\s*:\s*(?!.*DOMPurify)""", "",
        "dangerouslySetInnerHTML without sanitising", needles=("dangerouslySetInnerHTML",)),
@@ -104,7 +114,9 @@ SECURITY_RULES = [
 QUALITY_RULES = [
     _r("EMPTY_CATCH", "Quality", "quality", "high",
        r"""catch\s*\([^)]*\)\s*\{\s*(?:\/\/[^\n]*)?\s*\}""", "",
-       "catch block swallows the error", needles=("catch",)),
+       "catch block swallows the error", safe=r"""catch\s*+\([^)]*+\)\s*+\{\s*+(?:\/\/(?:[^\n]*[^\s])?\s*+)?\}""",
+       skip=r"""catch\s*+\([^)]*+""",
+       needles=("catch",)),
     _r("CONSOLE_LOG", "Quality", "quality", "low",
        r"""\bconsole\s*\.\s*(?:log|debug|info)\s*\(""", "",
        "console output left in code", needles=("console",)),
@@ -149,7 +161,9 @@ DEVOPS_RULES = [
        "blocking file call", needles=("fs.",)),
     _r("MISSING_TIMEOUT", "DevOps", "devops", "medium",
        r"""\bawait\s+fetch\s*\(\s*[^,)]+\s*\)(?!\s*\/\*[^*]*timeout)""", "",
-       "fetch() without a timeout", needles=("fetch",)),
+       "fetch() without a timeout", safe=r"""\bawait\s++fetch\s*+\([^,)]++\)(?!\s*+\/\*[^*]*timeout)""",
+       skip=r"""\bawait\s++fetch\s*+\([^,)]*+""",
+       needles=("fetch",)),
     _r("NO_INPUT_VALIDATION", "DevOps", "devops", "high",
        r"""\breq\.(?:body|params|query)\b""", "",
        "request input used without a schema check", needles=("req.",)),
@@ -158,10 +172,14 @@ DEVOPS_RULES = [
 SCALABILITY_RULES = [
     _r("SEQUENTIAL_ASYNC", "Scalability", "scalability", "high",
        r"""\bfor\s*(?:Of|In)?\s*(?:await\s*)?\([^)]*\)\s*\{[^}]*\bawait\b|\bwhile\s*\([^)]*\)\s*\{[^}]*\bawait\b""", "",
-       "await inside a loop serialises the calls", needles=(("await",), ("for", "while"))),
+       "await inside a loop serialises the calls", safe=r"""\bfor\s*+(?:Of|In)?\s*+(?:await\s*+)?\([^)]*+\)\s*+\{[^}]*\bawait\b|\bwhile\s*+\([^)]*+\)\s*+\{[^}]*\bawait\b""",
+       skip=r"""\bfor\s*+(?:Of|In)?\s*+(?:await\s*+)?\([^)]*+|\bwhile\s*+\([^)]*+""",
+       needles=(("await",), ("for", "while"))),
     _r("N_PLUS_ONE", "Scalability", "scalability", "high",
        r"""\bfor\s*(?:Of|In)?\s*(?:await\s*)?\([^)]*\)\s*\{[^}]*\b(?:db\.|query\s*\(|findOne|findAll|find\s*\()""", "",
-       "one query per loop iteration", needles=(("for",), ("db.", "query", "findOne", "findAll", "find"))),
+       "one query per loop iteration", safe=r"""\bfor\s*+(?:Of|In)?\s*+(?:await\s*+)?\([^)]*+\)\s*+\{[^}]*\b(?:db\.|query\s*+\(|findOne|findAll|find\s*+\()""",
+       skip=r"""\bfor\s*+(?:Of|In)?\s*+(?:await\s*+)?\([^)]*+""",
+       needles=(("for",), ("db.", "query", "findOne", "findAll", "find"))),
     _r("NO_PAGINATION", "Scalability", "scalability", "medium",
        r"""['"`]SELECT\s+\*\s+FROM\s+\w+(?:\s+WHERE[^'"`]*)?['"`](?![^'"`,;]*\bLIMIT\b)""", "i",
        "SELECT * without LIMIT", needles=(("select",), ("from",))),
@@ -170,7 +188,9 @@ SCALABILITY_RULES = [
        "forEach nested in forEach", needles=(".forEach(",)),
     _r("STRING_CONCAT_LOOP", "Scalability", "scalability", "medium",
        r"""\bfor\b[^{]*\{[^}]*\+=\s*['"`][^'"`]*['"`]|\bfor\b[^{]*\{[^}]*\+=\s*\w+""", "",
-       "string built with += in a loop", needles=(("+=",), ("for",))),
+       "string built with += in a loop", safe=r"""\bfor\b[^{]*+\{[^}]*\+=\s*+['"`][^'"`]*+['"`]|\bfor\b[^{]*+\{[^}]*\+=\s*+\w+""",
+       skip=r"""\bfor\b[^{]*+""",
+       needles=(("+=",), ("for",))),
     _r("UNBOUNDED_CACHE", "Scalability", "scalability", "medium",
        r"""\bnew\s+Map\s*\(\s*\)\s*;|new\s+Set\s*\(\s*\)\s*;""", "",
        "Map/Set cache without a size bound", needles=("new",)),

@@ -16,10 +16,9 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.driver.memory", "6g")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codesift-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codesift-test-ckpt-"))
     yield s
 
 

@@ -80,7 +80,7 @@ def test_reports(spark):
 def test_diagnostics(spark):
     d = rp.diagnostics(code_df(spark, "x\n  eval(a);", 'const password = "hunter22";')).collect()
     ev = [r for r in d if r.rule_id == "EVAL_USAGE"][0]
-    assert (ev.line_index, ev.end_col, ev.level) == (1, 10, "Warning") or ev.level == "Error"
+    assert (ev.line_index, ev.end_col, ev.level) == (1, 10, "Error")
     pw = [r for r in d if r.rule_id == "PASSWORD"][0]
     assert pw.level == "Error"
 
