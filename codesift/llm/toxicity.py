@@ -11,7 +11,7 @@ length-normalised difference and by how its strongest words stand out (`FEATURES
 them into a score; it is fitted on a sample of at most about `CALIBRATION` labelled rows, each scored without its own
 counts. The counts themselves cover every labelled row.
 
-The model's size is fixed: gram counts are folded into tables of `BUCKETS` cells by a hash, so a broadcast is some 50 MB
+The model's size is fixed: gram counts are folded into tables of `BUCKETS` cells by a hash, so a broadcast is some 80 MB
 whatever the corpus holds; two grams that share a cell share their counts.
 
 Defined cases: null and empty texts, and texts without words, are scored from the empty features (near the share of
