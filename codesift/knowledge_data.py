@@ -343,6 +343,29 @@ def _g(rule_id, domain, severity, minutes, confidence, problem, explanation, ste
 # Fixed values per guide: id, guide domain, severity, minutes, confidence,
 # related ids, gains and env vars. Order is the reference's guide order.
 # ---------------------------------------------------------------------------
+# The documentation link of an explanation's example, where it has one.
+DOCS_URLS = {
+    "SQL_INJECTION": "https://cheatsheetseries.owasp.org/cheatsheets/SQL_Injection_Prevention_Cheat_Sheet.html",
+    "EVAL_USAGE": "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Reference/Global_Objects/eval#never_use_eval!",
+    "XSS_INNER_HTML": "https://cheatsheetseries.owasp.org/cheatsheets/Cross_Site_Scripting_Prevention_Cheat_Sheet.html",
+    "WEAK_CRYPTO": "https://cheatsheetseries.owasp.org/cheatsheets/Password_Storage_Cheat_Sheet.html",
+    "COMMAND_INJECTION": "https://cheatsheetseries.owasp.org/cheatsheets/OS_Command_Injection_Defense_Cheat_Sheet.html",
+    "INSECURE_RANDOM": "https://nodejs.org/api/crypto.html#cryptorandombytessize-callback",
+    "PATH_TRAVERSAL": "https://cheatsheetseries.owasp.org/cheatsheets/File_Upload_Cheat_Sheet.html",
+    "PASSWORD": "https://12factor.net/config",
+    "AWS_ACCESS_KEY": "https://docs.aws.amazon.com/IAM/latest/UserGuide/best-practices.html",
+    "OPENAI_API_KEY": "https://platform.openai.com/docs/quickstart",
+    "GITHUB_TOKEN": "https://docs.github.com/en/authentication/keeping-your-account-and-data-secure/"
+                    "managing-your-personal-access-tokens",
+    "GENERIC_SECRET": "https://12factor.net/config",
+    "DB_URL": "https://12factor.net/backing-services",
+    "PRIVATE_KEY": "https://cheatsheetseries.owasp.org/cheatsheets/Cryptographic_Storage_Cheat_Sheet.html",
+    "NOSQL_INJECTION": "https://cheatsheetseries.owasp.org/cheatsheets/Injection_Prevention_Cheat_Sheet.html",
+    "JWT_INSECURE": "https://cheatsheetseries.owasp.org/cheatsheets/JSON_Web_Token_for_Java_Cheat_Sheet.html",
+}
+for _e in EXPLANATIONS:
+    _e["example"]["docs_url"] = DOCS_URLS.get(_e["rule_id"])
+
 GUIDES = [
     _g("SQL_INJECTION", "Security", "Critical", 5, "CRITICAL",
        "SQL built by concatenation", "Bind values as parameters.",

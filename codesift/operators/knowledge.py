@@ -91,6 +91,13 @@ def guide_ids_for_domain(spark: SparkSession, domain: str) -> DataFrame:
     return g.select("rule_id", "guide_domain", "guide_pos")
 
 
+def guide_coverage(findings: DataFrame) -> DataFrame:
+    """K5: all guide ids in guide order, with the number of findings of each (0 if none)."""
+    counts = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return (guide_ids_for_domain(findings.sparkSession, None).join(counts, "rule_id", "left")
+            .select("rule_id", "guide_domain", "guide_pos", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_findings")))
+
+
 def explanation_detail_rows(rule_ids: DataFrame, id_col: str = "rule_id") -> DataFrame:
     """K7: (rule_id, section, pos, label, detail) rows of the explanation of each id.
 
@@ -110,6 +117,18 @@ def explanation_detail_rows(rule_ids: DataFrame, id_col: str = "rule_id") -> Dat
         e.select("rule_id", F.lit("example").alias("section"), F.lit(1).alias("pos"),
                  F.lit("good").alias("label"), F.col("example.good").alias("detail")),
     ]
+    # rows that only some explanations have: the standard's page and the documentation link
+    single += [
+        e.where(F.length("standard.url") > 0).select(
+            "rule_id", F.lit("standard_url").alias("section"), F.lit(0).alias("pos"),
+            F.col("standard.name").alias("label"), F.col("standard.url").alias("detail")),
+        e.where(F.col("example.docs_url").isNotNull()).select(
+            "rule_id", F.lit("docs").alias("section"), F.lit(0).alias("pos"),
+            F.lit("Docs").alias("label"), F.col("example.docs_url").alias("detail")),
+    ]
+    examples = e.select("rule_id", F.explode("steps").alias("s")).where(F.length("s.example") > 0).select(
+        "rule_id", F.lit("step_example").alias("section"), F.col("s.order").alias("pos"),
+        F.col("s.title").alias("label"), F.col("s.example").alias("detail"))
     risks = e.select("rule_id", F.posexplode("risks").alias("pos", "detail")).select(
         "rule_id", F.lit("risk").alias("section"), "pos", F.lit("Risk").alias("label"), "detail")
     steps = e.select("rule_id", F.explode("steps").alias("s")).select(
@@ -118,7 +137,7 @@ def explanation_detail_rows(rule_ids: DataFrame, id_col: str = "rule_id") -> Dat
     refs = e.select("rule_id", F.posexplode("refs").alias("pos", "r")).select(
         "rule_id", F.lit("ref").alias("section"), "pos", F.col("r.name").alias("label"), F.col("r.url").alias("detail"))
     details = single[0]
-    for d in single[1:] + [risks, steps, refs]:
+    for d in single[1:] + [risks, steps, examples, refs]:
         details = details.unionByName(d)
     details = details.select("rule_id", "section", F.col("pos").cast("int").alias("pos"), "label", "detail")
     ids = rule_ids.select(F.upper(F.col(id_col)).alias("rule_id")).distinct()

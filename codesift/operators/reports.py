@@ -138,13 +138,17 @@ def _sorted_items(item: Column, order: Sequence[str] = ORDER) -> Column:
 
 
 def json_report(findings: DataFrame, file_cols: Sequence[str] = ("file",)) -> DataFrame:
-    """One JSON document per file with findings: {file, issues: [...]} in report order."""
+    """One JSON document per file with findings: {file, issues: [...]} in report order.
+
+    Each issue carries its whole explanation (null if there is none).
+    """
+    # the issue's own fields order the list; a rule's explanation follows from its id
     issue = F.struct("rule_seq", "line", F.col("rule_id").alias("id"), "domain", "severity",
-                     F.col("rule_id").alias("title"), "message")
-    per = findings.groupBy(*file_cols).agg(F.array_sort(F.collect_list(issue)).alias("issues"))
+                     F.col("rule_id").alias("title"), "message", "explanation")
+    per = with_explanation(findings).groupBy(*file_cols).agg(F.array_sort(F.collect_list(issue)).alias("issues"))
     issues = F.transform("issues", lambda i: i.dropFields("rule_seq"))
-    return per.select(*file_cols, F.to_json(F.struct(*[F.col(c) for c in file_cols], issues.alias("issues")))
-                      .alias("json"))
+    document = F.struct(*[F.col(c) for c in file_cols], issues.alias("issues"))
+    return per.select(*file_cols, F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def text_report(findings: DataFrame, file_cols: Sequence[str] = ("file",)) -> DataFrame:
@@ -178,9 +182,19 @@ def markdown_header(findings: DataFrame, file_cols: Sequence[str] = ("file",)) -
                                     F.col("n_findings"), F.col("n_files")).alias("header"))
 
 
-def domain_report(findings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Per (scope, domain) a section `--- Domain (n) ---` with each finding and,
+def domain_report_header(findings: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The head of a scope's domain report, with its total."""
+    per = findings.groupBy(*scope).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return per.select(*scope, "n", F.format_string("Findings report\nTotal: %d issue(s)", F.col("n")).alias("header"))
+
+
+def domain_report(findings: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Per (scope, domain); a scope (a file, a source) bounds the section, so it must be given.
+
+    Per (scope, domain) a section `--- Domain (n) ---` with each finding and,
     when an explanation exists, what / why / first step / reference."""
+    if not scope:
+        raise ValueError("give the columns of the scope: one text per domain of everything has no bound")
     f = with_explanation(findings)
     ex = F.col("explanation")
     detail = F.when(ex.isNotNull(), F.concat_ws(

@@ -83,7 +83,7 @@ def explain(rule_id: Column, original: Column, adjusted: Column, in_test=None, i
     iters = F.coalesce(iterations, F.lit(0)) if iterations is not None else F.lit(0)
     reasons = F.concat_ws(
         ", ",
-        F.when(_b(in_test), F.lit("issue is in test code")),
+        F.when(_b(in_test), F.lit("found in test code")),
         F.when(_b(in_loop) & ~_b(loop_bounded), F.lit("inside a loop with no bound")),
         F.when(iters > ITERATIONS_LIMIT, F.lit("loop may run more than 1000 times")),
         F.when(_b(has_fallback), F.lit("a fallback handles failure")),

@@ -119,6 +119,8 @@ _on_findings("text_totals", om.text_totals_sql(), rp.text_totals)
 _on_findings("markdown_report", om.markdown_report_sql(), rp.markdown_report)
 _on_findings("json_report", om.json_report_sql(), rp.json_report)
 _on_findings("domain_report", om.domain_report_sql(), lambda f: rp.domain_report(f, ["file"]))
+_on_findings("domain_report_header", om.domain_report_header_sql(), lambda f: rp.domain_report_header(f, ["file"]))
+_on_findings("guide_coverage", om.guide_coverage_sql(), kn.guide_coverage)
 _on_findings("listing", om.listing_sql(), rp.listing)
 _on_findings("explain_findings", om.explain_findings_sql(), lambda f: kn.with_explanation(f).select(
     "file", "rule_id", "line", "explanation.what", "explanation.why",

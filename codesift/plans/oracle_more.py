@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from ..functions.dialect import to_re2
 from ..knowledge_data import EXPLANATIONS, GUIDES
 from ..operators import fixes as fx
@@ -134,10 +136,24 @@ FROM f GROUP BY file""")
 
 
 def json_report_sql() -> str:
-    return with_f("""SELECT file, CAST(to_json({'file': file, 'issues': list(
-    {'line': line, 'id': rule_id, 'domain': domain, 'severity': severity, 'title': rule_id, 'message': message}
-    ORDER BY rule_seq, line, rule_id, domain, severity, message)}) AS VARCHAR) AS json
-FROM f GROUP BY file""")
+    rows = [(e["rule_id"], json.dumps({k: e[k] for k in ("what", "why", "risks", "standard", "example", "steps", "refs")},
+                                      ensure_ascii=False, separators=(",", ":"))) for e in EXPLANATIONS]
+    return with_f(f"""SELECT file, CAST(to_json({{'file': file, 'issues': list(
+    {{'line': line, 'id': rule_id, 'domain': domain, 'severity': severity, 'title': rule_id, 'message': message,
+     'explanation': CAST(ex_json AS JSON)}}
+    ORDER BY rule_seq, line, rule_id, domain, severity, message)}}) AS VARCHAR) AS json
+FROM (SELECT f.*, v.ex_json FROM f LEFT JOIN {values(rows, ["ex_id", "ex_json"])} ON upper(f.rule_id) = v.ex_id) x
+GROUP BY file""")
+
+
+def domain_report_header_sql() -> str:
+    return with_f(f"""SELECT file, CAST(count(*) AS BIGINT) AS n,
+  printf('Findings report' || {NL} || 'Total: %d issue(s)', count(*)) AS header FROM f GROUP BY file""")
+
+
+def guide_coverage_sql() -> str:
+    return with_f(f"""SELECT v.g_id AS rule_id, v.guide_domain, CAST(v.guide_pos AS INTEGER) AS guide_pos,
+  (SELECT CAST(count(*) AS BIGINT) FROM f WHERE f.rule_id = v.g_id) AS n_findings FROM {guide_values()}""")
 
 
 def explanation_values() -> str:
@@ -204,6 +220,11 @@ def detail_rows():
                 (rid, "example", 0, "bad", e["example"]["bad"]), (rid, "example", 1, "good", e["example"]["good"])]
         out += [(rid, "risk", i, "Risk", r) for i, r in enumerate(e["risks"])]
         out += [(rid, "step", s["order"], s["title"], s["description"]) for s in e["steps"]]
+        if e["standard"]["url"]:
+            out.append((rid, "standard_url", 0, e["standard"]["name"], e["standard"]["url"]))
+        if e["example"]["docs_url"]:
+            out.append((rid, "docs", 0, "Docs", e["example"]["docs_url"]))
+        out += [(rid, "step_example", s["order"], s["title"], s["example"]) for s in e["steps"] if s["example"]]
         out += [(rid, "ref", i, r["name"], r["url"]) for i, r in enumerate(e["refs"])]
     return out
 

@@ -134,7 +134,7 @@ def severity_sql_columns(iterations: str = "NULL") -> str:
     rank = lambda c: (f"(CASE {c} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 "
                       f"WHEN 'critical' THEN 3 ELSE 0 END)")
     reasons = ("concat_ws(', ', "
-               f"CASE WHEN {b('in_test')} THEN 'issue is in test code' END, "
+               f"CASE WHEN {b('in_test')} THEN 'found in test code' END, "
                f"CASE WHEN {unbounded} THEN 'inside a loop with no bound' END, "
                f"CASE WHEN {it} > {sev.ITERATIONS_LIMIT} THEN 'loop may run more than 1000 times' END, "
                f"CASE WHEN {b('has_fallback')} THEN 'a fallback handles failure' END, "
