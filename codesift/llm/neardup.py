@@ -5,7 +5,7 @@ whole set up to `WHOLE` shingles: a set that is similar enough to one of at most
 
 1. Texts with the same word sequence are one class; its smallest document stands for it.
 2. Inverted lists: a retained value with the classes that retain it. Two whole sets share `percent` of the larger one
-   at least; two sketches of K share `SHARE` of K but for a chance of about 1e-9. So a class enters only the lists of its
+   at least; of two sketches of K, as many as `DEVIATIONS` below the mean, but for a chance of about 1e-9. So a class enters only the lists of its
    rarest `s - needed + 1` values, in the order of frequency, and two classes that share enough meet in one of these.
    Lists of one are left out, and passages of many documents, being frequent, are seldom among the rarest.
 3. Star: in each list every class meets the list's centre only, the class whose values are the most shared. This
@@ -37,8 +37,9 @@ from pyspark.sql.window import Window
 
 from codesift.llm.common import _MULT, maybe_in, mix64, slices, stored, word_hashes
 
-#: Values of a sketch, the largest set that is kept whole, and the share of K that two similar sketches have in common.
-K, WHOLE, SHARE = 160, 200, 0.6
+#: Values of a sketch, the largest set that is kept whole, and the standard deviations by which two sketches of similar
+#: sets may have less in common than expected.
+K, WHOLE, DEVIATIONS = 160, 200, 7.0
 #: Values of the union sketch (by 31 bits of their hashes), and the common share of them that a likely pair has.
 UNION, LIKELY = 64, 0.4
 
@@ -179,7 +180,10 @@ def near_duplicates(
 
     def need(n: Column, m: Column) -> Column:
         """How many values of a list's kind sets of n and m have in common if they are similar enough."""
-        return F.when(F.col("w"), F.ceil((n + m) * percent / (100 + percent))).otherwise(int(K * SHARE))
+        common = (n + m) * percent / (100 + percent)
+        share = F.least(common / F.greatest(n, m), F.lit(1.0))  # of the larger set; the smaller one's is no less
+        sketched = F.floor(share * K - F.sqrt(share * (1 - share) * K) * DEVIATIONS)
+        return F.when(F.col("w"), F.ceil(common)).otherwise(sketched)
 
     placed = met.select(
         "*",
@@ -234,7 +238,9 @@ def near_duplicates(
     opened = about.where("lo <> hi").select("w", "v", "least_n", F.col("c.comp").alias("main"))
     split = stored(split.join(opened, ["w", "v"]).select("w", "v", "cls", "n", "left", "comp", "least_n", "main"))
     smallest_n = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
-    beside = split.where((F.col("comp") != F.col("main")) & (F.col("left") >= need(F.col("n"), smallest_n)))
+    # Of a sketch, less is asked for by smaller and by larger partners; of a whole set, by smaller ones.
+    fewest = need(F.col("n"), F.when(F.col("w"), smallest_n).otherwise(F.ceil(F.col("n") * percent / 100)))
+    beside = split.where((F.col("comp") != F.col("main")) & (F.col("left") >= fewest))
     x = beside.select("w", "v", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("left").alias("ea"), F.col("comp").alias("ca"))
     y = split.select("w", "v", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("left").alias("eb"), F.col("comp").alias("cb"))
     rest = (
