@@ -80,6 +80,25 @@ def test_extract_frames(spark, monkeypatch):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    monkeypatch.setattr(htmlmain, "GROUP", 8)
+    notice = "<div>This offer is void where the law of the land forbids it</div>"
+    page = "<body>{}<p>{}</p></body>"
+    said = [" ".join(f"w{i}x{k}" for k in range(9)) for i in range(130)]
+    rows = [(i, f"http://big.org/{i}", page.format(notice if i in (3, 64, 129) else "", said[i])) for i in range(130)]
+    # two pages are not enough, and a page with an article counts by what stands outside of it
+    rows += [(200 + i, f"http://two.org/{i}", page.format(notice, said[i])) for i in range(2)]
+    rows += [(300, "http://mix.org/a", page.format(notice, said[0])), (301, "http://mix.org/b", page.format(notice, said[1]))]
+    rows += [(302, "http://mix.org/c", f"{notice}<article>{said[2]}</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (htmlmain.BROADCAST_HOSTS, -1):
+        monkeypatch.setattr(htmlmain, "BROADCAST_HOSTS", most)
+        got = {r.id: r.text for r in extract(df).collect()}
+        assert len(got) == len(rows) and all(got[i] == said[i] for i in range(130))
+        assert got[200] == f"This offer is void where the law of the land forbids it\n{said[0]}"
+        assert [got[i] for i in (300, 301, 302)] == said[:3]
+
+
 MIX = "doc_id long, text string, source string, size string, target string"
 
 
