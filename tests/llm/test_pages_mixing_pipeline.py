@@ -99,6 +99,21 @@ def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
         assert [got[i] for i in (300, 301, 302)] == said[:3]
 
 
+def test_common_phrases_and_copies_stay(spark):
+    said = [f"{w} waited at the end of the road and on the other hand of {w}" for w in "abcdef"]
+    odd = [f"<body><p>{x}</p></body>" for x in said]
+    assert main_texts(odd) == said
+    copies = ["<body><p>one text on every copy</p><p>and a second paragraph of it</p></body>"] * 5
+    assert main_texts(copies) == ["one text on every copy\nand a second paragraph of it"] * 5
+    menu = "<ul><li>Home</li><li>News</li><li>About us</li></ul>"
+    long = " ".join(f"t{k}" for k in range(20))
+    pages = [f"<body>{menu}<p>{x}</p><p>{long}{end}</p></body>" for x, end in zip(said, ["", " more", "<br>more", "", "", ""])]
+    assert main_texts(pages) == [said[0], f"{said[1]}\n{long} more", f"{said[2]}\n{long} more", *said[3:]]
+    rows = [(i, f"http://a.org/{i}", p) for i, p in enumerate(odd)] + [(10 + i, f"http://b.org/{i}", p) for i, p in enumerate(copies)]
+    got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(said)) | {10 + i: "one text on every copy\nand a second paragraph of it" for i in range(5)}
+
+
 MIX = "doc_id long, text string, source string, size string, target string"
 
 
