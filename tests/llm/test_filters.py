@@ -198,3 +198,30 @@ def test_secret_scan_with_given_labels_and_nothing_to_learn(leaks, spark):
     few = secretscan.scan(leaks.where("doc_id % 5 = 3 and doc_id < 400")).collect()
     assert {r.score for r in few} <= {0.0, 1.0}
     assert secretscan.scan(spark.createDataFrame([], SECRET)).count() == 0
+
+
+def test_short_and_url_secrets_are_candidates(leaks, spark):
+    odd = {
+        1001: ("password='hunter2!x'", "hunter2!x"), 1002: ('pwd = "k9$z"', "k9$z"), 1003: ("api_key: 'ab:12#cd%34'", "ab:12#cd%34"),
+        1004: ('"client_secret" => "s3!t"', "s3!t"), 1005: ("PASSWORD=tiny7", "tiny7"), 1006: ('secret ="x1y2"', "x1y2"),
+        1007: ("see postgres://admin:pa55w0rdx@db.host.net/main now", "pa55w0rdx"), 1008: ("ftp://u:q!9@h.org", "q!9"),
+    }
+    rows = [(i, f"the {t} end", None, "", "") for i, (t, _) in odd.items()] + [(1100, "the password is here and author: anna", None, "", "")]
+    found = secretscan.candidates(spark.createDataFrame(rows, SECRET))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, []).append(r.value)
+    assert all(v in got[i] for i, (_, v) in odd.items()) and 1100 not in got
+    mail = [(i, f"the mail a{i}.bcdefghij@mail.host.net", None, "", "") for i in range(2)] + rows
+    labels = secretscan.weak_labels(secretscan.with_features(secretscan.candidates(spark.createDataFrame(mail, SECRET)), [])).collect()
+    assert {(r.id, r.label) for r in labels if r.id in (0, 1, 1007)} == {(0, 0), (1, 0), (1007, 1)}
+    hit = {(r.id, r.value) for r in secretscan.scan(leaks.union(spark.createDataFrame(rows * 10, SECRET))).collect() if r.is_secret}
+    assert {(i, v) for i, (_, v) in odd.items()} <= hit
+
+
+def test_coverage_is_by_all_words(spark):
+    docs = spark.createDataFrame([("lorema ipsumo dolora rare",)] * 3 + [("once",)], "text string")
+    assert {r.w for r in secretscan.dictionary(docs).collect()} == {"lorema", "ipsumo", "dolora", "rare"}
+    found = spark.createDataFrame([("xxLoremaIPSUMO9rarely", "", "", "", ""), ("9f8e7d", "", "", "", "")], "value string, word string, before string, after string, path string")
+    got = {r.value: r.coverage for r in secretscan.with_features(found, secretscan.dictionary(docs)).collect()}
+    assert got == {"xxLoremaIPSUMO9rarely": 16 / 21, "9f8e7d": 0.0}
