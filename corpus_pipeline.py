@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from codesift.llm import linededup, mixing, neardup, toxicity, wfst
 from codesift.llm.common import stored, table
 
-#: A document is rejected as toxic at this score.
-REJECT = 0.5
+#: A document is rejected as toxic at this score, the one at which op4_toxicity predicts 1.
+REJECT = toxicity.THRESHOLD
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

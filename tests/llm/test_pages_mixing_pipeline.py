@@ -208,3 +208,10 @@ def test_pipeline_on_odd_documents(spark):
     for rows in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             rows = spark.createDataFrame(stage(spark, rows, SF).collect(), stage(spark, rows, SF).schema)
+
+
+def test_the_toxicity_stage_drops_what_op4_predicts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, 0.29), (2, 0.3), (3, 0.4), (4, 0.5)], "doc_id long, given double")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score_documents", lambda d, _: d.withColumn("__score", F.col("given")))
+    assert [r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, "").collect()] == [1]
