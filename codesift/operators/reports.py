@@ -9,6 +9,8 @@ domain-of-a-scope's) findings, never the whole table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +79,11 @@ def gate(findings: DataFrame, scope: Sequence[str] = (), scopes: DataFrame | Non
     """
     if scope and scopes is not None:
         found = gate(findings, scope)
-        return (scopes.select(*scope).distinct().join(found, list(scope), "left")
-                .select(*scope, F.coalesce("exit_code", F.lit(0)).cast("int").alias("exit_code")))
+        listed = scopes.select(*scope).distinct().alias("s")
+        same = reduce(and_, [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scope])
+        return (listed.join(found.alias("f"), same, "left")
+                .select(*[F.col(f"s.{c}") for c in scope],
+                        F.coalesce("f.exit_code", F.lit(0)).cast("int").alias("exit_code")))
     crit = F.max(F.when(F.col("severity") == "critical", 1).otherwise(0))
     if scope:
         return findings.groupBy(*scope).agg(F.coalesce(crit, F.lit(0)).cast("int").alias("exit_code"))

@@ -89,3 +89,11 @@ def test_partitions_are_the_caller_s(spark):
     assert spread(df, ["SortKey"], "code", partitions=4).rdd.getNumPartitions() == 4
     spark.conf.unset(SCAN_PARTITIONS)
     assert spread(df, ["SortKey"], "code").rdd.getNumPartitions() == 1
+
+
+def test_a_null_scope_keeps_its_critical_finding(spark):
+    scopes = spark.createDataFrame([(None, "a"), ("s", "a"), ("t", None)], "source string, file string")
+    found = spark.createDataFrame([(None, "a", "critical"), ("t", None, "critical"), ("s", "a", "low")], "source string, file string, severity string")
+    got = {(r.source, r.file): r.exit_code for r in reports.gate(found, ["source", "file"], scopes=scopes).collect()}
+    assert got == {(None, "a"): 1, ("s", "a"): 0, ("t", None): 1}
+    assert {(r.source, r.exit_code) for r in reports.gate(found, ["source"], scopes=scopes).collect()} == {(None, 1), ("s", 0), ("t", 1)}
