@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from codesift.llm import (
     ann,
+    fim,
     htmlmain,
     linededup,
     mixing,
@@ -27,5 +28,6 @@ QUERIES = {
     "op8_html_main_text": (htmlmain.op8, None),
     "op9_source_mixing": (mixing.op9, None),
     "op10_nearest_neighbours": (ann.op10, ann.ORACLE),
+    "op11_fill_in_middle": (fim.op11, fim.ORACLE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
