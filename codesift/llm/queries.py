@@ -15,6 +15,7 @@ from codesift.llm import (
     topk,
     toxicity,
     wfst,
+    winnow,
 )
 
 QUERIES = {
@@ -29,5 +30,6 @@ QUERIES = {
     "op9_source_mixing": (mixing.op9, None),
     "op10_nearest_neighbours": (ann.op10, ann.ORACLE),
     "op11_fill_in_middle": (fim.op11, fim.ORACLE),
+    "op13_decontamination": (winnow.op13, winnow.ORACLE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
