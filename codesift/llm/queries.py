@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from codesift.llm import (
     ann,
+    centroids,
     fim,
     htmlmain,
     linededup,
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_source_mixing": (mixing.op9, None),
     "op10_nearest_neighbours": (ann.op10, ann.ORACLE),
     "op11_fill_in_middle": (fim.op11, fim.ORACLE),
+    "op12_centroid_clusters": (centroids.op12, centroids.ORACLE),
     "op13_decontamination": (winnow.op13, winnow.ORACLE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
