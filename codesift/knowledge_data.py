@@ -374,7 +374,8 @@ GUIDES = [
     _g("XSS", "Security", "Critical", 5, "CRITICAL",
        "Markup built from user input", "Write text, or sanitise markup.",
        ["Prefer textContent", "Sanitise required HTML", "Test with script payloads"],
-       related=["DANGEROUS_HTML", "NO_INPUT_VALIDATION"]),
+       related=["DANGEROUS_HTML", "NO_INPUT_VALIDATION"],
+       bad="banner.innerHTML = '<b>' + nickname + '</b>';", good="banner.textContent = nickname;"),
     _g("DANGEROUS_HTML", "Security", "Critical", 5, "CRITICAL",
        "Raw HTML rendered in React", "Sanitise before rendering.",
        ["Use text where possible", "Wrap with DOMPurify.sanitize", "Test with XSS payloads"],
@@ -384,7 +385,7 @@ GUIDES = [
        ["Use execFile or spawn", "Pass an argument array", "Allow-list inputs"],
        related=["NO_INPUT_VALIDATION"]),
     _g("AWS_ACCESS_KEY", "Security", "Critical", 10, "CRITICAL",
-       "AWS credentials in code", "Load credentials from the environment or a role.",
+       "Cloud key pair kept in the source", "Load credentials from the environment or a role.",
        ["Deactivate the key", "Read keys from the environment", "Scan history for more keys"],
        related=["PASSWORD", "API_KEY"], env_var="AWS_ACCESS_KEY_ID, AWS_SECRET_ACCESS_KEY"),
     _g("PASSWORD", "Security", "Critical", 3, "CRITICAL",
@@ -394,7 +395,7 @@ GUIDES = [
     _g("API_KEY", "Security", "Critical", 5, "CRITICAL",
        "API key in code", "Read it from configuration.",
        ["Move to an env var", "Revoke the key"],
-       env_var="API_KEY"),
+       env_var="API_KEY", bad='const api_key = "q7w8...";\ncall(api_key);', good="const api_key = process.env.API_KEY;\ncall(api_key);"),
     _g("CONSOLE_LOG", "Quality", "Medium", 2, "HIGH",
        "console output in code", "Use a leveled logger.",
        ["Replace with a logger", "Drop debug output"],
@@ -433,7 +434,7 @@ GUIDES = [
        ["Add .catch", "Or use try/await"],
        related=["EMPTY_CATCH"]),
     _g("MISSING_TIMEOUT", "DevOps", "High", 3, "HIGH",
-       "Request without timeout", "Abort after a deadline.",
+       "Outgoing call that may wait forever", "Abort after a deadline.",
        ["Add AbortSignal.timeout", "Retry with backoff"]),
     _g("HARDCODED_IP", "DevOps", "Medium", 3, "HIGH",
        "Address in code", "Read it from configuration.",
@@ -443,3 +444,9 @@ GUIDES = [
        ["Delete the statement", "Add redaction"],
        related=["CONSOLE_LOG", "DEBUG_ENABLED"]),
 ]
+
+# A guide without a code pair of its own shows that of the explanation of its id.
+_PAIRS = {e["rule_id"]: e["example"] for e in EXPLANATIONS}
+for _guide in GUIDES:
+    if _guide["bad"] is None and _guide["rule_id"] in _PAIRS:
+        _guide["bad"], _guide["good"] = _PAIRS[_guide["rule_id"]]["bad"], _PAIRS[_guide["rule_id"]]["good"]

@@ -102,16 +102,16 @@ def _applied(lines: Column, fix) -> Column:
             .otherwise(F.lit(False)))
 
 
-def _planned(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[Rule]):
+def _planned(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Sequence[Rule], keep: Sequence[str] = ()):
     # Matching runs on the safe text; lines and corrected texts come from the text as it is.
-    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, rules, keep=[text_col])
+    hits = with_hits(spread(df, id_cols, text_col), text_col, id_cols, rules, keep=[text_col, *keep])
     lines = F.when(F.size(HITS) > 0, F.split(F.col(text_col), "\n", -1))
 
     def plan(h):
         r = decode_rule(h)
         return fix_template(rule_attr(rules, r, "rule_id"), rule_attr(rules, r, "kind"), decode_line(h))
 
-    planned = hits.select(*id_cols, F.col(text_col).alias(TEXT), HITS, lines.alias("_lines"),
+    planned = hits.select(*id_cols, *keep, F.col(text_col).alias(TEXT), HITS, lines.alias("_lines"),
                           F.filter(F.transform(HITS, plan), lambda f: f.isNotNull()).alias("_fixes"))
     return planned
 
@@ -158,17 +158,45 @@ def apply_to_lines(lines: Column, fixes: Column) -> Column:
     return F.array_join(F.flatten(new), "\n")
 
 
+def _with_approved(df: DataFrame, approved: DataFrame, text_col: str, id_cols: list[str], rules: Sequence[Rule]) -> DataFrame:
+    """`df` with `_approved`, the confirmed fix ids of each text.
+
+    Only ids that a fix of the text can have count (a known rule, one of the text's lines), so the list of a text is
+    bounded by its own lines, whatever else was approved.
+    """
+    named = approved.select(*id_cols, "fix_id", F.regexp_extract("fix_id", r"^fix-(.+)-(\d{1,9})$", 1).alias("_rule"),
+                            F.regexp_extract("fix_id", r"^fix-(.+)-(\d{1,9})$", 2).try_cast("int").alias("_line"))
+    named = named.filter(F.col("_rule").isin([r.rule_id for r in rules]) & F.col("_line").isNotNull()).distinct()
+    counts = df.select(*id_cols, F.size(F.split(text_col, "\n", -1)).alias("_n")).groupBy(*id_cols).agg(F.max("_n").alias("_n"))
+    same = None
+    for c in id_cols:
+        one = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        same = one if same is None else same & one
+    possible = named.alias("a").join(counts.alias("b"), same & (F.col("a._line") <= F.col("b._n")), "left_semi")
+    lists = possible.groupBy(*id_cols).agg(F.collect_set("fix_id").alias("_approved"))
+    return df.alias("a").join(lists.alias("b"), same, "left").select("a.*", "b._approved")
+
+
 def fixed_texts(df: DataFrame, text_col: str = "code", id_cols: Sequence[str] = ("file",),
-                rules: Sequence[Rule] | None = None, approve_all: bool = False) -> DataFrame:
-    """The corrected corpus: (ids, code_fixed, n_fixes, n_applied). Row-local, no shuffle.
+                rules: Sequence[Rule] | None = None, approve_all: bool = False,
+                approved: DataFrame | None = None) -> DataFrame:
+    """The corrected corpus: (ids, code_fixed, n_fixes, n_applied). Row-local; a shuffle only to meet `approved`.
 
-    F8: fixes that need confirmation are applied only with `approve_all`.
+    F8: fixes that need confirmation are applied only with `approve_all`, or
+    if their (ids, fix_id) is in `approved`.
     """
     id_cols = list(id_cols)
     rules = rules_for(rules=rules)
-    p = _planned(df, text_col, id_cols, rules)
-    usable = (F.col("_fixes") if approve_all
-              else F.filter("_fixes", lambda f: ~f["requires_confirmation"]))
+    confirmed = ["_approved"] if approved is not None and not approve_all else []
+    if confirmed:
+        df = _with_approved(df, approved, text_col, id_cols, rules)
+    p = _planned(df, text_col, id_cols, rules, keep=confirmed)
+    if approve_all:
+        usable = F.col("_fixes")
+    elif confirmed:
+        usable = F.filter("_fixes", lambda f: ~f["requires_confirmation"] | F.coalesce(F.array_contains("_approved", f["fix_id"]), F.lit(False)))
+    else:
+        usable = F.filter("_fixes", lambda f: ~f["requires_confirmation"])
     usable = F.filter(usable, lambda f: f["fix_type"] != "MULTI_FILE")
     out = p.select(*id_cols, TEXT, "_lines", usable.alias("_use"))
     return out.select(

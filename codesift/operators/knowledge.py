@@ -145,20 +145,92 @@ def explanation_detail_rows(rule_ids: DataFrame, id_col: str = "rule_id") -> Dat
     return F.broadcast(details).join(ids, "rule_id", "inner")
 
 
+# Rulers and headings of the issue sheet.
+EDGE, BAR = "=" * 66, "-" * 66
+SHEET_TITLE, SHEET_FOOT = "ISSUE DETAIL", "Apply the planned fix, or follow the steps above."
+
+
+def _indented(text: Column, by: int) -> Column:
+    """Every line of a text, pushed in by `by` blanks."""
+    pad = " " * by
+    return F.concat(F.lit(pad), F.replace(text, F.lit("\n"), F.lit("\n" + pad)))
+
+
+def _section(title: str, body: Column, ruled: bool = False) -> Column:
+    """A heading, its lines and a blank line, after a ruler if asked for; null if the body is null."""
+    head = ([BAR, ""] if ruled else []) + [f"  {title}"]
+    return F.concat(F.lit("\n".join(head) + "\n"), body, F.lit("\n"))
+
+
+def _joined(items: Column, one) -> Column:
+    """The items of a list as lines; null for an empty or missing list."""
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, one), "\n"))
+
+
+def _given(text: Column, shown: Column) -> Column:
+    """`shown` if `text` is neither null nor empty."""
+    return F.when(F.length(text) > 0, shown)
+
+
+def _number(x: Column) -> Column:
+    """A number without a fraction that is zero."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def _explained(ex: Column, message: Column) -> list[Column]:
+    step = lambda s: F.concat_ws(
+        "\n", F.format_string("  %d. %s", s["order"], s["title"]), F.concat(F.lit("     "), s["description"]),
+        _given(s["example"], F.concat(F.lit("     > "), s["example"])), F.lit(""))
+    standard = F.concat_ws("\n", F.concat(F.lit("  "), ex["standard"]["name"]), F.concat(F.lit("  "), ex["standard"]["cwe_name"]),
+                           _given(ex["standard"]["url"], F.concat(F.lit("  "), ex["standard"]["url"])))
+    n_steps = F.size(ex["steps"]).cast("string")
+    return [
+        _section("PROBLEM", F.concat(F.lit("  "), message)),
+        _section("WHAT IS IT", _indented(ex["what"], 2)),
+        _section("WHY IT MATTERS", _indented(ex["why"], 2)),
+        _section("RISKS", _joined(ex["risks"], lambda r: F.concat(F.lit("  * "), r))),
+        _section("VULNERABLE CODE", _indented(ex["example"]["bad"], 4), ruled=True),
+        _section("SECURE ALTERNATIVE", _indented(ex["example"]["good"], 4)),
+        F.when(F.size(ex["steps"]) > 0, F.concat(
+            F.lit(f"{BAR}\n\n  HOW TO FIX ("), n_steps, F.lit(" steps)\n\n"), _joined(ex["steps"], step))),
+        _section("STANDARD", standard, ruled=True),
+        _section("REFERENCES", _joined(ex["refs"], lambda r: F.concat(F.lit("  * "), r["name"], F.lit(": "), r["url"]))),
+        _section("OFFICIAL DOCS", _given(ex["example"]["docs_url"], F.concat(F.lit("  "), ex["example"]["docs_url"]))),
+    ]
+
+
+def _guided(g: Column) -> list[Column]:
+    numbered = F.transform(g["steps"], lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), s))
+    facts = F.concat_ws(
+        "\n", F.format_string("  Est. fix time: %d min, confidence: %s", g["minutes"], g["confidence"]),
+        _given(g["env_var"], F.concat(F.lit("  Env var needed: "), g["env_var"])),
+        F.when(g["gain_ms"] != 0, F.concat(F.lit("  Performance gain: ~"), _number(g["gain_ms"]), F.lit("ms"))),
+        F.when(F.size(g["related"]) > 0, F.concat(F.lit("  Related: "), F.array_join(g["related"], ", "))))
+    return [
+        _section("PROBLEM", F.concat(_indented(g["problem"], 2), F.lit("\n\n"), _indented(g["explanation"], 2))),
+        _section("VULNERABLE CODE", _given(g["bad"], _indented(g["bad"], 4)), ruled=True),
+        _section("SECURE ALTERNATIVE", _given(g["good"], _indented(g["good"], 4))),
+        F.when(F.size(g["steps"]) > 0, F.concat(F.lit(f"{BAR}\n\n  HOW TO FIX\n\n"), F.array_join(numbered, "\n"), F.lit("\n"))),
+        F.concat(F.lit(f"{BAR}\n\n"), facts, F.lit("\n")),
+    ]
+
+
 def issue_sheet(findings: DataFrame) -> DataFrame:
-    """K8: one text per finding: explanation if any, else guide, else a generic line."""
+    """K8: one text per finding: its explanation if there is one, else its guide, else a generic line.
+
+    The whole of the explanation: what, why, risks, bad and good code, every
+    step with its example, standard, references and documentation; or of the
+    guide: problem, code pair, numbered steps, time, confidence, environment
+    variable, gain and related ids. Lists and links that are empty have no section.
+    """
     f = with_guide(with_explanation(findings))
     ex, g = F.col("explanation"), F.col("guide")
-    head = F.format_string("[%s] %s, line %d, %s", F.upper(F.col("severity")), F.col("rule_id"),
-                           F.col("line"), F.col("domain"))
-    from_ex = F.concat_ws("\n", head, F.col("message"),
-                          F.concat(F.lit("What: "), ex["what"]), F.concat(F.lit("Why: "), ex["why"]),
-                          F.concat(F.lit("Fix: "), F.get(ex["steps"], 0)["title"]),
-                          F.concat(F.lit("Standard: "), ex["standard"]["name"]))
-    from_guide = F.concat_ws("\n", head, g["problem"], g["explanation"],
-                             F.concat(F.lit("Steps: "), F.array_join(g["steps"], "; ")),
-                             F.format_string("Fix time: %d min, confidence %s", g["minutes"], g["confidence"]))
-    generic = F.concat_ws("\n", head, F.col("message"), F.format_string("No guide for %s.", F.col("rule_id")))
+    head = F.concat(F.lit(f"{EDGE}\n  {SHEET_TITLE}\n{EDGE}\n\n"), F.format_string(
+        "  [%s]  %s, line %d, %s\n", F.upper(F.col("severity")), F.col("rule_id"), F.col("line"), F.col("domain")))
+    generic = _section("PROBLEM", F.concat(F.lit("  "), F.col("message"), F.format_string(
+        "\n\n  No guide for \"%s\".\n  Look the issue type up in a public security guide.", F.col("rule_id"))))
+    foot = F.lit(f"{EDGE}\n  {SHEET_FOOT}\n{EDGE}")
     source = F.when(ex.isNotNull(), "explanation").when(g.isNotNull(), "guide").otherwise("none")
-    sheet = F.when(ex.isNotNull(), from_ex).when(g.isNotNull(), from_guide).otherwise(generic)
-    return f.select(*[c for c in findings.columns], source.alias("sheet_source"), sheet.alias("sheet"))
+    body = (F.when(ex.isNotNull(), F.concat_ws("\n", *_explained(ex, F.col("message"))))
+            .when(g.isNotNull(), F.concat_ws("\n", *_guided(g))).otherwise(generic))
+    return f.select(*[c for c in findings.columns], source.alias("sheet_source"), F.concat_ws("\n", head, body, foot).alias("sheet"))

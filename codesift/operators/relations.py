@@ -1,7 +1,13 @@
 """Relationships between rule ids and the fix order.
 
 Scope is a set of columns (a file, a repository, or nothing = whole corpus).
-The edge table is small and fixed-size, so it is broadcast.
+The shipped edge table is small and fixed-size, so it is broadcast. A caller's
+edges may be a DataFrame of any size (columns as in EDGE_SCHEMA): they are
+joined without a hint, so Spark broadcasts them only if they are small.
+With the shipped edges and a given scope, windows over the scope do the work
+(a scope holds at most the rule vocabulary); without a scope, or with a
+DataFrame of edges, it is done by joins and by ranks over sorted partitions, so
+no task holds a whole scope.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .ranking import rank_in_groups
 
 # ---------------------------------------------------------------------------
 # Edges (from, to, type, priority) in table order; the reasons
@@ -62,32 +69,50 @@ def sentence(from_id, to_id, rel_type, reason):
 
 
 def relationships_from(ids: DataFrame, id_col: str = "rule_id", edge_df: DataFrame | None = None) -> DataFrame:
-    """G1: outgoing edges of each id (inner join to the broadcast edge table)."""
-    e = edge_df if edge_df is not None else edges(ids.sparkSession)
-    return ids.join(F.broadcast(e), ids[id_col] == e["from_id"], "inner")
+    """G1: outgoing edges of each id (inner join; the shipped edges are broadcast)."""
+    e = edge_df if edge_df is not None else F.broadcast(edges(ids.sparkSession))
+    return ids.join(e, ids[id_col] == e["from_id"], "inner")
 
 
 def scope_ids(findings: DataFrame, scope: Sequence[str], order_cols=("rule_seq", "line")) -> DataFrame:
     """Distinct ids per scope with their first-seen position (input order)."""
     key = F.struct(*[F.col(c) for c in order_cols])
+    if not scope:  # one scope of everything: its distinct ids are ranked over sorted partitions
+        first = findings.groupBy("rule_id").agg(F.min(key).alias("_k"))
+        return rank_in_groups(first, [], ["_k", "rule_id"], "pos").select("rule_id", F.col("pos").cast("int").alias("pos"))
     return (findings.groupBy(*scope, "rule_id").agg(F.min(key).alias("_k"))
             # rule_id breaks ties (external ids share rule_seq) so retries rank the same way
             .withColumn("pos", F.row_number().over(Window.partitionBy(*scope).orderBy("_k", "rule_id")))
             .drop("_k"))
 
 
-def relationships_in_scope(ids: DataFrame, scope: Sequence[str], edge_df: DataFrame | None = None) -> DataFrame:
+def relationships_in_scope(ids: DataFrame, scope: Sequence[str], edge_df: DataFrame | None = None,
+                           materialized: bool = False) -> DataFrame:
     """Edges whose both ends are among the scope's ids, in edge-table order.
 
-    The scope's id set rides along on each row (a window over the scope; at most
-    the rule vocabulary), so `ids` is read once.
+    With the shipped edges and a scope, the scope's id set rides along on each
+    row (a window over the scope; at most the rule vocabulary), so `ids` is read
+    once. Otherwise two joins: the edges of each id, then those whose other end
+    is an id of the scope too; `ids` is checkpointed for that.
     """
-    e = edge_df if edge_df is not None else edges(ids.sparkSession)
-    w = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
-    withset = ids.select(*scope, F.col("rule_id").alias("from_id"), F.col("pos").alias("from_pos"),
-                         F.collect_set("rule_id").over(w).alias("_present"))
-    out = withset.join(F.broadcast(e), "from_id").filter(F.array_contains("_present", F.col("to_id")))
-    return out.drop("_present")
+    s = list(scope)
+    if s and edge_df is None:
+        withset = ids.select(*s, F.col("rule_id").alias("from_id"), F.col("pos").alias("from_pos"),
+                             F.collect_set("rule_id").over(Window.partitionBy(*s)).alias("_present"))
+        out = withset.join(F.broadcast(edges(ids.sparkSession)), "from_id")
+        return out.filter(F.array_contains("_present", F.col("to_id"))).drop("_present")
+    held = ids if materialized else materialize(ids.select(*s, "rule_id", "pos"))
+    e = edge_df if edge_df is not None else F.broadcast(edges(ids.sparkSession))
+    out = held.select(*s, F.col("rule_id").alias("from_id"), F.col("pos").alias("from_pos")).join(e, "from_id")
+    return out.alias("a").join(held.alias("b"), _in_scope(s, "to_id"), "left_semi")
+
+
+def _in_scope(s: Sequence[str], id_col: str) -> Column:
+    """Join condition: `a`'s id column is `b`'s rule id, in the same scope (a null scope is one of its own)."""
+    out = F.col(f"a.{id_col}") == F.col("b.rule_id")
+    for c in s:
+        out = out & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return out
 
 
 def _ordering_edges(e: DataFrame) -> DataFrame:
@@ -186,10 +211,16 @@ def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None, materialized
     dequeued, then by edge order. Each round ranks one level with a join and
     a window; rounds = longest path of the fixed edge graph. A scope with
     unranked ids (a cycle) keeps its input order.
-    Input: (scope..., rule_id, pos). Output adds `rank`.
+    Input: (scope..., rule_id, pos). Output adds `rank`. `edge_rows` is a list
+    of edges or a DataFrame of them; a DataFrame, and no scope, take the way of
+    `_fix_order_table`.
     """
     spark = ids.sparkSession
+    if isinstance(edge_rows, DataFrame):
+        return _fix_order_table(ids, scope, edge_rows, materialized)
     rows = EDGES if edge_rows is None else edge_rows
+    if not scope:
+        return _fix_order_table(ids, scope, edges(spark, rows), materialized)
     shallow = _shallow(rows)
     if shallow is not None:  # the shipped table: one window pass
         return _fix_order_shallow(ids, scope, shallow)
@@ -240,11 +271,87 @@ def fix_order(ids: DataFrame, scope: Sequence[str], edge_rows=None, materialized
                       F.when(F.col("_cyc").isNull(), F.col("rank")).otherwise(F.col("pos")).cast("int").alias("rank"))
 
 
+def _fix_order_table(ids: DataFrame, scope: Sequence[str], edge_df: DataFrame, materialized: bool = False) -> DataFrame:
+    """G4 with edges as a table of any size, and scopes of any size.
+
+    Kahn's queue, a level at a time. A level's nodes are dequeued in an order
+    `at`; each lowers the count of its successors. A successor that comes to 0
+    joins the next level, placed by its last predecessor's `at` and that edge's
+    index: the rows are sorted by them over range partitions, and the place in
+    this sort is the new `at`. Levels follow each other, so (level, at) is the
+    queue's order and is turned into ranks at the end. What never comes to 0
+    lies on or behind a cycle: its scope keeps its input order. There is a round
+    for each level, that is for each step of the longest path; every round's
+    tables are checkpointed.
+    """
+    s = list(scope)
+    ids = ids if materialized else materialize(ids.select(*s, "rule_id", "pos"))
+    out_of = ids.select(*s, F.col("rule_id").alias("before")).join(_ordering_edges(edge_df), "before")
+    inner = materialize(out_of.alias("a").join(ids.alias("b"), _in_scope(s, "after"), "left_semi"))
+    blocked = inner.groupBy(*s, F.col("after").alias("rule_id")).agg(F.count(F.lit(1)).alias("left"))
+    base = materialize(ids.alias("a").join(blocked.alias("b"), _in_scope(s, "rule_id"), "left").select("a.*", "b.left"))
+    at = F.col("pos").cast("long").alias("at")
+    frontier = base.where("left IS NULL").select(*s, "rule_id", "pos", F.lit(0).alias("level"), at)
+    waiting = base.where("left IS NOT NULL").select(*s, "rule_id", "pos", "left")
+    levels, level = [frontier], 0
+    while not (frontier.isEmpty() or waiting.isEmpty()):
+        level += 1
+        done = inner.alias("a").join(frontier.alias("b"), _in_scope(s, "before"))
+        last = F.max(F.struct("b.at", "a.edge_idx")).alias("last")
+        hits = done.groupBy(*(F.col(f"a.{c}") for c in s), F.col("a.after").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"), last)
+        met = waiting.alias("a").join(hits.alias("b"), _in_scope(s, "rule_id"), "left")
+        lowered = materialize(met.select(*(F.col(f"a.{c}") for c in [*s, "rule_id", "pos"]),
+                                         (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), "last"))
+        # what comes to 0 in this round has its last predecessor in this round's frontier
+        ready = lowered.where("left = 0").repartitionByRange(*s, "last").sortWithinPartitions(*s, "last")
+        frontier = materialize(ready.select(*s, "rule_id", "pos", F.lit(level).alias("level"), F.monotonically_increasing_id().alias("at")))
+        waiting = lowered.where("left > 0").drop("last")
+        levels.append(frontier)
+    rows = waiting.select(*s, "rule_id", "pos", F.lit(level).alias("level"), at)  # on or behind a cycle
+    cyclic = rows.select(*s).distinct().withColumn("_cyclic", F.lit(True)) if s else None
+    as_given = F.col("_cyclic").isNotNull() if s else F.lit(not waiting.isEmpty())
+    for f in levels:
+        rows = rows.unionByName(f)
+    if s:
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in s]
+        rows = rows.alias("a").join(cyclic.alias("b"), same, "left").select("a.*", "b._cyclic")
+    placed = rows.select(*s, "rule_id", "pos", F.when(as_given, 0).otherwise(F.col("level")).alias("level"),
+                           F.when(as_given, F.col("pos").cast("long")).otherwise(F.col("at")).alias("at"))
+    ranked = rank_in_groups(placed, s, ["level", "at"], "rank")
+    return ranked.select(*s, "rule_id", "pos", F.col("rank").cast("int").alias("rank"))
+
+
+def order_report_rows(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFrame:
+    """G6 as rows (scope..., rank, item): numbered ids with their in-scope edges, for scopes of any size.
+
+    A scope's items in the order of `rank`, between the report's head and its
+    count, are the report (`sinks.order_report_lines` writes them in order).
+    """
+    s = list(scope)
+    table = edge_rows if isinstance(edge_rows, DataFrame) else edges(ids.sparkSession, edge_rows)
+    held = materialize(ids.select(*s, "rule_id", "pos"))
+    ordered = _fix_order_table(held, s, table, materialized=True)
+    rels = relationships_in_scope(held, s, table, materialized=True)
+    text = sentence(F.col("from_id"), F.col("to_id"), F.col("rel_type"), F.col("reason"))
+    lines = rels.groupBy(*s, F.col("from_id").alias("rule_id")).agg(
+        F.array_sort(F.collect_list(F.struct("edge_idx", text.alias("txt")))).alias("rl"))
+    met = ordered.alias("a").join(lines.alias("b"), _in_scope(s, "rule_id"), "left")
+    below = F.transform("b.rl", lambda r: F.concat(F.lit("\n   - "), r["txt"]))
+    item = F.concat(F.format_string("%d. **%s**", F.col("a.rank"), F.col("a.rule_id")), F.coalesce(F.array_join(below, ""), F.lit("")))
+    return met.select(*(F.col(f"a.{c}") for c in s), F.col("a.rank"), item.alias("item"))
+
+
 def order_report(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> DataFrame:
-    """One report text per scope: numbered ids with their in-scope edges and a count."""
+    """One report text per scope: numbered ids with their in-scope edges and a count.
+
+    A scope's text is one value, so scopes should be bounded; for a scope of
+    everything `order_report_rows` gives the same as rows.
+    """
+    s = list(scope)
+    if isinstance(edge_rows, DataFrame) or not s:
+        return _assemble_report(order_report_rows(ids, s, edge_rows), s)
     spark = ids.sparkSession
     rows = EDGES if edge_rows is None else edge_rows
-    s = list(scope)
     shallow = _shallow(rows)
     if shallow is not None:
         # one read of `ids`: ranks and in-scope edges come from the same window pass

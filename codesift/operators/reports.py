@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import decode_line, decode_rule, js_length, js_prefix
 from ..rules import SEVERITY_ORDER, Rule, rules_for
+from ..session import materialize
 from .knowledge import with_explanation
+from .ranking import rank_in_groups
 from .scan import HITS, TEXT, rule_attr, spread, with_hits
 
 ORDER = ("rule_seq", "line")
@@ -42,6 +44,15 @@ def severity_groups(findings: DataFrame, scope: Sequence[str] = ()) -> DataFrame
             .withColumn("group_order", _sev_order(F.col("severity")).cast("int")))
 
 
+def severity_members(findings: DataFrame, order: Sequence[str] = ("file", *ORDER)) -> DataFrame:
+    """A1 with its members: the findings, each with its group's place and its own `rank` in the group, in input order.
+
+    The groups are four hot keys, so the ranks come from sorted partitions, not from a window per severity.
+    """
+    placed = materialize(findings.withColumn("group_order", _sev_order(F.col("severity")).cast("int")))  # the scan runs once
+    return rank_in_groups(placed, ["group_order"], list(order))
+
+
 def domain_counts(findings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """A2: count per domain; `first_seq` gives first-seen order."""
     return findings.groupBy(*scope, "domain").agg(

@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fix_table as ft
 from ..operators import fixes as fx
 from ..operators import gates as gt
 from ..operators import knowledge as kn
 from ..operators import relations as rel
 from ..operators import reports as rp
+from ..operators import sinks as sk
 from ..operators.context import scan_in_context
 from ..operators.scan import scan
 from ..rules import (ALL_RULES, DEVOPS_RULES, QUALITY_RULES, SCALABILITY_RULES, SECRET_RULES,
@@ -23,6 +25,8 @@ from ..rules import (ALL_RULES, DEVOPS_RULES, QUALITY_RULES, SCALABILITY_RULES,
 from ..session import read_table
 from ..sources import external as ext
 from ..sources.corpus import code_corpus, corpus_sql
+from ..sources.fix_list import approvals_of, fix_list
+from . import oracle_fixes as of
 from . import oracle_more as om
 from .oracle_scan import context_sql, scan_sql
 
@@ -100,6 +104,7 @@ def _on_findings(name, sql, fn):
 
 
 _on_findings("severity_groups", om.severity_groups_sql(), rp.severity_groups)
+_on_findings("severity_members", om.severity_members_sql(), rp.severity_members)
 _on_findings("domain_counts", om.domain_counts_sql(), rp.domain_counts)
 _on_findings("totals", om.totals_sql(), rp.totals)
 _on_findings("per_file_counts", om.per_file_counts_sql(), rp.per_file_counts)
@@ -118,6 +123,9 @@ _on_findings("text_report", om.text_report_sql(), rp.text_report)
 _on_findings("text_totals", om.text_totals_sql(), rp.text_totals)
 _on_findings("markdown_report", om.markdown_report_sql(), rp.markdown_report)
 _on_findings("json_report", om.json_report_sql(), rp.json_report)
+for _fmt, _sql in [("text", om.text_report_file_sql()), ("markdown", om.markdown_report_file_sql()), ("listing", om.listing_file_sql()),
+                   ("domain", om.domain_report_file_sql())]:
+    _on_findings(f"{_fmt}_report_file", _sql, lambda f, fmt=_fmt: sk.written(f.sparkSession, f, fmt))
 _on_findings("domain_report", om.domain_report_sql(), lambda f: rp.domain_report(f, ["file"]))
 _on_findings("domain_report_header", om.domain_report_header_sql(), lambda f: rp.domain_report_header(f, ["file"]))
 _on_findings("guide_coverage", om.guide_coverage_sql(), kn.guide_coverage)
@@ -177,6 +185,28 @@ def q_fixed_corpus_approved(spark, sf):
     return fx.fixed_texts(code_corpus(spark, sf), "code", ["file"], approve_all=True)
 
 
+@register("fix_table_texts", of.fix_table_texts_sql())
+def q_fix_table_texts(spark, sf):
+    """F4-F8 with an outside list of fixes: literal and regex finds, inserts, approvals, refused rows."""
+    listed = fix_list(spark, sf)
+    done = ft.apply_fixes(code_corpus(spark, sf), listed, approved=approvals_of(listed))
+    return done.texts.select("file", "code_fixed", "n_applied")
+
+
+@register("fix_table_statuses", of.fix_table_statuses_sql())
+def q_fix_table_statuses(spark, sf):
+    listed = fix_list(spark, sf)
+    return ft.apply_fixes(code_corpus(spark, sf), listed, approved=approvals_of(listed)).statuses
+
+
+@register("fixed_corpus_some_approved", of.some_approved_sql())
+def q_fixed_corpus_some_approved(spark, sf):
+    """F8: of the fixes that need confirmation only those on an outside list of approvals."""
+    plan = fx.plan_fixes(code_corpus(spark, sf), "code", ["file"])
+    approved = plan.where("requires_confirmation AND (file + line) % 2 = 0").select("file", "fix_id")
+    return fx.fixed_texts(code_corpus(spark, sf), "code", ["file"], approved=approved)
+
+
 @register("before_after", om.before_after_sql())
 def q_before_after(spark, sf):
     return fx.fix_and_rescan(code_corpus(spark, sf), "code", ["file"])
@@ -199,6 +229,12 @@ def q_scan_with_external(spark, sf):
     return ext.with_precedence(corpus_findings(spark, sf), ext.external_fixture(spark, sf), ["file"])
 
 
+@register("scan_with_odd_external", of.odd_precedence_sql())
+def q_scan_with_odd_external(spark, sf):
+    """D10 over results of every shape: what is no usable result falls back to the next source."""
+    return ext.with_precedence(corpus_findings(spark, sf), ext.odd_external_fixture(spark, sf), ["file"])
+
+
 @register("prompt_gate", om.prompt_gate_sql())
 def q_prompt_gate(spark, sf):
     return gt.prompt_gate(read_table(spark, sf, "conversations"), "text")
@@ -217,6 +253,16 @@ def q_stream_scan_documents(spark, sf):
     return stream_table_findings(spark, sf, "documents", "text", ["doc_id"])
 
 
+@register("rescan_documents", scan_sql("""(
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 5 = 0 THEN text || chr(10) || 'eval(added);' ELSE text END AS text
+  FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 <> 0)""", "text", ["doc_id"], ALL_RULES))
+def q_rescan_documents(spark, sf):
+    """Documents arrive twice, some changed or withdrawn; only what holds now is left."""
+    from ..streaming.rescan import rescanned_documents
+
+    return rescanned_documents(spark, sf)
+
+
 _on_findings("markdown_header", om.markdown_header_sql(), rp.markdown_header)
 
 

@@ -51,6 +51,60 @@ def severity_groups_sql() -> str:
 FROM f GROUP BY severity""")
 
 
+def severity_members_sql() -> str:
+    place = "CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS INTEGER)"
+    return with_f(f"""SELECT f.*, {place} AS group_order,
+  row_number() OVER (PARTITION BY severity ORDER BY file, rule_seq, line) AS rank FROM f""")
+
+
+def _numbered_lines(parts: str, findings: str | None = None) -> str:
+    """Report lines from rows (part, grp, place, item..., text), texts split at line breaks."""
+    return with_f(findings=findings, body=f""",
+parts AS ({parts}),
+ordered AS (SELECT text, row_number() OVER (ORDER BY part, g1, g2, place, i1, i2, i3, i4) AS o FROM parts),
+cut AS (SELECT o, unnest(string_split(text, {NL})) AS text, generate_subscripts(string_split(text, {NL}), 1) AS k FROM ordered)
+SELECT row_number() OVER (ORDER BY o, k) AS n, text FROM cut""").replace("\n,\nparts AS", ",\nparts AS")
+
+
+_NO_KEY = "NULL AS g1, NULL AS g2, 0 AS place, NULL AS i1, NULL AS i2, NULL AS i3, NULL AS i4"
+_FILE_KEY = "file AS g1, NULL AS g2, {} AS place, NULL AS i1, NULL AS i2, NULL AS i3, NULL AS i4"
+_ITEM_KEY = "file AS g1, NULL AS g2, 1 AS place, rule_seq AS i1, line AS i2, NULL AS i3, NULL AS i4"
+
+
+def text_report_file_sql() -> str:
+    return _numbered_lines(f"""
+  SELECT 1 AS part, {_FILE_KEY.format(0)}, {NL} || printf('=== %s (%d issue(s)) ===', CAST(file AS VARCHAR), count(*)) AS text FROM f GROUP BY file
+  UNION ALL SELECT 1, {_ITEM_KEY}, printf('  [%s] L%d: %s — %s', upper(severity), line, rule_id, message) FROM f
+  UNION ALL SELECT 2, {_NO_KEY}, {NL} || printf('Total: %d issue(s) in %d file(s).', count(*), count(DISTINCT file)) FROM f""")
+
+
+def markdown_report_file_sql() -> str:
+    return _numbered_lines(f"""
+  SELECT 0 AS part, {_NO_KEY}, printf('# Scan report' || {NL} || {NL} || '**%d issue(s)** across **%d file(s)**' || {NL},
+         count(*), count(DISTINCT file)) AS text FROM f
+  UNION ALL SELECT DISTINCT 1, {_FILE_KEY.format(0)}, '## `' || CAST(file AS VARCHAR) || '`' FROM f
+  UNION ALL SELECT 1, {_ITEM_KEY}, printf('- **[%s] L%d** `%s` — %s', upper(severity), line, rule_id, message) FROM f
+  UNION ALL SELECT DISTINCT 1, {_FILE_KEY.format(2)}, '' FROM f""")
+
+
+def listing_file_sql() -> str:
+    return _numbered_lines(f"""
+  SELECT 1 AS part, {_ITEM_KEY}, {_listing_entry()} AS text FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id
+  UNION ALL SELECT 2, {_NO_KEY}, {NL} || printf('Total: %d issue(s).', count(*)) FROM f""")
+
+
+def domain_report_file_sql() -> str:
+    item = ("concat_ws(chr(10), printf('[%s] L%d: %s', upper(severity), line, rule_id), '  ' || message, "
+            "CASE WHEN ex_id IS NOT NULL THEN concat_ws(chr(10), '  What: ' || what, '  Why:  ' || why, "
+            "CASE WHEN n_steps > 0 THEN '  Fix:  ' || fix_title END, '  Ref:  ' || standard_url) END, '')")
+    bar = "repeat('=', 60)"
+    return _numbered_lines(f"""
+  SELECT 0 AS part, {_NO_KEY}, concat_ws({NL}, {bar}, 'Findings report', printf('Total: %d issue(s)', count(*)), {bar}, '') AS text FROM f
+  UNION ALL SELECT 1, min(rule_seq), NULL, 0, NULL, NULL, NULL, NULL, printf('--- %s (%d) ---', domain, count(*)) FROM f GROUP BY domain
+  UNION ALL SELECT 1, min(rule_seq) OVER (PARTITION BY domain), NULL, 1, file, rule_seq, line, NULL, {item}
+  FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id""")
+
+
 def domain_counts_sql() -> str:
     return with_f("SELECT domain, CAST(count(*) AS BIGINT) AS n, CAST(min(rule_seq) AS INTEGER) AS first_seq "
                   "FROM f GROUP BY domain")
@@ -180,10 +234,14 @@ FROM (SELECT * FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.e
 GROUP BY file, domain""")
 
 
-def listing_sql(findings: str | None = None) -> str:
-    return with_f(findings=findings, body=f"""SELECT f.*, printf('[%s][%s] L%d: %s (%s)', domain, upper(severity), line, message, rule_id)
+def _listing_entry() -> str:
+    return f"""printf('[%s][%s] L%d: %s (%s)', domain, upper(severity), line, message, rule_id)
   || coalesce(CASE WHEN v.ex_id IS NOT NULL THEN {NL} || '  Fix: ' || coalesce(v.fix_title, '') || {NL}
-  || '  Ref: ' || coalesce(v.docs_url, v.standard_url) END, '') AS entry
+  || '  Ref: ' || coalesce(v.docs_url, v.standard_url) END, '')"""
+
+
+def listing_sql(findings: str | None = None) -> str:
+    return with_f(findings=findings, body=f"""SELECT f.*, {_listing_entry()} AS entry
 FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id""")
 
 
@@ -235,19 +293,58 @@ FROM {values(detail_rows(), ['rule_id', 'section', 'pos', 'label', 'detail'])}
 WHERE v.rule_id IN (SELECT upper(rule_id) FROM f)""")
 
 
+def _sheet_bodies() -> tuple[list[tuple], list[tuple]]:
+    """(id, text before the message, text after it) of explanations, and (id, text) of guides, line by line."""
+    bar = ["-" * 66, ""]
+    push = lambda text, n: [" " * n + x for x in text.split("\n")]
+    explained, guided = [], []
+    for e in EXPLANATIONS:
+        lines = ["", "  WHAT IS IT", *push(e["what"], 2), "", "  WHY IT MATTERS", *push(e["why"], 2), ""]
+        if e["risks"]:
+            lines += ["  RISKS", *(f"  * {r}" for r in e["risks"]), ""]
+        lines += [*bar, "  VULNERABLE CODE", *push(e["example"]["bad"], 4), "", "  SECURE ALTERNATIVE", *push(e["example"]["good"], 4), ""]
+        if e["steps"]:
+            lines += [*bar, f"  HOW TO FIX ({len(e['steps'])} steps)", ""]
+            for s in e["steps"]:
+                lines += [f"  {s['order']}. {s['title']}", f"     {s['description']}"]
+                lines += [f"     > {s['example']}"] if s["example"] else []
+                lines.append("")
+        std = e["standard"]
+        lines += [*bar, "  STANDARD", f"  {std['name']}", f"  {std['cwe_name']}", *([f"  {std['url']}"] if std["url"] else []), ""]
+        if e["refs"]:
+            lines += ["  REFERENCES", *(f"  * {r['name']}: {r['url']}" for r in e["refs"]), ""]
+        if e["example"]["docs_url"]:
+            lines += ["  OFFICIAL DOCS", f"  {e['example']['docs_url']}", ""]
+        explained.append((e["rule_id"], "\n".join(lines)))
+    for g in GUIDES:
+        lines = ["  PROBLEM", *push(g["problem"], 2), "", *push(g["explanation"], 2), ""]
+        lines += [*bar, "  VULNERABLE CODE", *push(g["bad"], 4), ""] if g["bad"] else []
+        lines += ["  SECURE ALTERNATIVE", *push(g["good"], 4), ""] if g["good"] else []
+        if g["steps"]:
+            lines += [*bar, "  HOW TO FIX", "", *(f"  {i}. {s}" for i, s in enumerate(g["steps"], 1)), ""]
+        lines += [*bar, f"  Est. fix time: {g['minutes']} min, confidence: {g['confidence']}"]
+        lines += [f"  Env var needed: {g['env_var']}"] if g["env_var"] else []
+        lines += [f"  Performance gain: ~{g['gain_ms']:g}ms"] if g["gain_ms"] else []
+        lines += [f"  Related: {', '.join(g['related'])}"] if g["related"] else []
+        guided.append((g["rule_id"], "\n".join([*lines, ""])))
+    return explained, guided
+
+
 def issue_sheets_sql(findings: str | None = None) -> str:
-    grows = [(g["rule_id"], g["problem"], g["explanation"], "; ".join(g["steps"]), g["minutes"], g["confidence"])
-             for g in GUIDES]
-    gv = values(grows, ["g_id", "problem", "gexpl", "steps", "minutes", "confidence"]).replace(" AS v(", " AS g(")
-    head = "printf('[%s] %s, line %d, %s', upper(f.severity), f.rule_id, f.line, f.domain)"
+    explained, guided = _sheet_bodies()
+    ev = values(explained, ["ex_id", "body"])
+    gv = values(guided, ["g_id", "body"]).replace(" AS v(", " AS g(")
+    edge, nl = q("=" * 66), NL
     return with_f(findings=findings, body=f"""SELECT f.*,
   CASE WHEN v.ex_id IS NOT NULL THEN 'explanation' WHEN g.g_id IS NOT NULL THEN 'guide' ELSE 'none' END AS sheet_source,
-  CASE WHEN v.ex_id IS NOT NULL THEN concat_ws(chr(10), {head}, f.message, 'What: ' || v.what, 'Why: ' || v.why,
-            'Fix: ' || v.fix_title, 'Standard: ' || v.standard_name)
-       WHEN g.g_id IS NOT NULL THEN concat_ws(chr(10), {head}, g.problem, g.gexpl, 'Steps: ' || g.steps,
-            printf('Fix time: %d min, confidence %s', g.minutes, g.confidence))
-       ELSE concat_ws(chr(10), {head}, f.message, printf('No guide for %s.', f.rule_id)) END AS sheet
-FROM f LEFT JOIN {explanation_values()} ON upper(f.rule_id) = v.ex_id
+  concat_ws({nl}, {edge}, '  ISSUE DETAIL', {edge}, '',
+    printf('  [%s]  %s, line %d, %s', upper(f.severity), f.rule_id, f.line, f.domain), '',
+    CASE WHEN v.ex_id IS NOT NULL THEN '  PROBLEM' || {nl} || '  ' || f.message || {nl} || v.body
+         WHEN g.g_id IS NOT NULL THEN g.body
+         ELSE '  PROBLEM' || {nl} || '  ' || f.message || {nl} || {nl} || '  No guide for "' || f.rule_id || '".' || {nl}
+              || '  Look the issue type up in a public security guide.' || {nl} END,
+    {edge}, '  Apply the planned fix, or follow the steps above.', {edge}) AS sheet
+FROM f LEFT JOIN {ev} ON upper(f.rule_id) = v.ex_id
 LEFT JOIN {gv} ON f.rule_id = g.g_id""")
 
 

@@ -1,10 +1,24 @@
 """Results of external scanners (S3, S4) and source precedence.
 
-Two JSON shapes are read with explicit schemas:
+Two JSON shapes:
 * API:  {"results": [{"rule_id", "message", "severity", "line"}]}
 * CLI:  {"results": [{"check_id", "extra": {"message", "severity"}, "start": {"line"}}]}
 Missing fields default to rule 'unknown', message 'Vulnerability detected',
 severity normalised (default medium) and line 0.
+
+A text is read as VARIANT, so every item keeps the types it has. It is a usable
+result if the reference would map it without an error:
+
+* it is one JSON value, with nothing behind it, and not `null`;
+* `results` is an array, or null, or absent (`{}`, `[]` and bare scalars have no
+  `results`): the last three cover the file with no findings;
+* no item is null; an item's rule id and severity are strings, null or absent.
+  Items that are no objects have no fields, so they count with all defaults.
+
+Anything else (an object or a string as `results`, cut text, an error message) is
+no result: the next source counts. Messages and lines may have any type; a line
+that is no number counts as 0, a fraction loses its part after the point. Objects
+that name a key twice are not accepted by the parser, so such a text is no result.
 """
 
 from __future__ import annotations
@@ -13,7 +27,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.severity import normalise
 from ..session import materialize, read_table
@@ -23,16 +36,41 @@ DEFAULT_RULE = "unknown"
 DEFAULT_MESSAGE = "Vulnerability detected"
 MAX_LINE = 2**31 - 1
 
-API_SCHEMA = T.StructType([T.StructField("results", T.ArrayType(T.StructType([
-    T.StructField("rule_id", T.StringType()), T.StructField("message", T.StringType()),
-    T.StructField("severity", T.StringType()), T.StructField("line", T.LongType()),
-])))])
-CLI_SCHEMA = T.StructType([T.StructField("results", T.ArrayType(T.StructType([
-    T.StructField("check_id", T.StringType()),
-    T.StructField("extra", T.StructType([T.StructField("message", T.StringType()),
-                                         T.StructField("severity", T.StringType())])),
-    T.StructField("start", T.StructType([T.StructField("line", T.LongType())])),
-])))])
+#: Where an item has its fields.
+API_PATHS = {"rule": "$.rule_id", "message": "$.message", "severity": "$.severity", "line": "$.line"}
+CLI_PATHS = {"rule": "$.check_id", "message": "$.extra.message", "severity": "$.extra.severity", "line": "$.start.line"}
+#: The field that holds a text's value while it is parsed, and one behind it that shows where the text ends.
+_HELD, _END = "held", "end"
+
+
+def one_value(json_col: str | Column) -> Column:
+    """The text's JSON value as VARIANT; null if it is not exactly one value.
+
+    The parser ignores what stands behind a value, so the text is parsed as a field of an object with another field
+    behind it: both are there, and no third one, only if the text is one value.
+    """
+    text = F.col(json_col) if isinstance(json_col, str) else json_col
+    whole = F.try_parse_json(F.concat(F.lit(f'{{"{_HELD}":'), text, F.lit(f',"{_END}":0}}')))
+    fields = F.try_variant_get(whole, "$", "map<string,variant>")
+    return F.when((F.size(fields) == 2) & F.map_contains_key(fields, _END), F.try_element_at(fields, F.lit(_HELD)))
+
+
+def _none(v: Column) -> Column:
+    return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
+
+
+def _text_or_none(item: Column, path: str) -> Column:
+    """The field is a string, null or absent."""
+    v = F.try_variant_get(item, path, "variant")
+    return _none(v) | F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def results(value: Column, paths: dict[str, str]) -> Column:
+    """The items of a result as array<variant>: empty if it has none, null if the value is no usable result."""
+    found = F.try_variant_get(value, "$.results", "variant")
+    items = F.try_variant_get(value, "$.results", "array<variant>")
+    good = F.forall(items, lambda i: ~_none(i) & _text_or_none(i, paths["rule"]) & _text_or_none(i, paths["severity"]))
+    return F.when(~_none(value), F.when(_none(found), F.array().cast("array<variant>")).otherwise(F.when(good, items)))
 
 
 def _as_findings(rows: DataFrame, id_cols, rule, message, severity, line) -> DataFrame:
@@ -49,45 +87,41 @@ def _as_findings(rows: DataFrame, id_cols, rule, message, severity, line) -> Dat
     )
 
 
+def _ingest(df: DataFrame, id_cols: Sequence[str], items: Column, paths: dict[str, str]) -> DataFrame:
+    e = df.select(*id_cols, F.posexplode(items).alias("_pos", "r"))
+    field = lambda name, kind: F.try_variant_get("r", paths[name], kind)
+    line = F.coalesce(field("line", "bigint"), F.when(field("line", "double") > 0, F.lit(MAX_LINE)))  # beyond a long
+    return _as_findings(e, id_cols, field("rule", "string"), field("message", "string"), field("severity", "string"), line)
+
+
 def ingest_api(df: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
-    """S3: one finding row per API result (files with `json_col` null are not covered)."""
-    p = df.select(*id_cols, F.from_json(F.col(json_col), API_SCHEMA).alias("j"))
-    e = p.select(*id_cols, F.posexplode("j.results").alias("_pos", "r"))
-    r = F.col("r")
-    return _as_findings(e, id_cols, r["rule_id"], r["message"], r["severity"], r["line"])
+    """S3: one finding row per API result; texts that are no usable result give none."""
+    return _ingest(df, id_cols, results(one_value(json_col), API_PATHS), API_PATHS)
 
 
 def ingest_cli(df: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
     """The process shape, nested fields."""
-    p = df.select(*id_cols, F.from_json(F.col(json_col), CLI_SCHEMA).alias("j"))
-    e = p.select(*id_cols, F.posexplode("j.results").alias("_pos", "r"))
-    r = F.col("r")
-    return _as_findings(e, id_cols, r["check_id"], r["extra"]["message"], r["extra"]["severity"], r["start"]["line"])
-
-
-def parsed_or_null(json_col: str) -> Column:
-    """The JSON text if it is a JSON object, else null (a scanner's error output, cut text, blanks)."""
-    v = F.try_parse_json(F.col(json_col))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.col(json_col))
+    return _ingest(df, id_cols, results(one_value(json_col), CLI_PATHS), CLI_PATHS)
 
 
 def coverage(external: DataFrame, id_cols: Sequence[str], api_col: str = "api_json",
              cli_col: str = "cli_json") -> DataFrame:
     """One row per file that an external scanner covers: its ids, and the API text or else the CLI text.
 
-    A result that cannot be parsed covers nothing, so the next source counts.
-    Of several parsed results of one source for a file, the first in text order
+    A text that is no usable result covers nothing, so the next source counts.
+    Of several usable results of one source for a file, the first in text order
     counts, whatever the order of rows.
     """
-    best = external.groupBy(*id_cols).agg(F.min(parsed_or_null(api_col)).alias(api_col),
-                                          F.min(parsed_or_null(cli_col)).alias(cli_col))
+    usable = [F.min(F.when(results(one_value(c), p).isNotNull(), F.col(c))).alias(c)
+              for c, p in ((api_col, API_PATHS), (cli_col, CLI_PATHS))]
+    best = external.groupBy(*id_cols).agg(*usable)
     return (best.filter(F.col(api_col).isNotNull() | F.col(cli_col).isNotNull())
             .withColumn(cli_col, F.when(F.col(api_col).isNull(), F.col(cli_col))))
 
 
 def with_precedence(builtin: DataFrame, external: DataFrame, id_cols: Sequence[str],
                     api_col: str = "api_json", cli_col: str = "cli_json") -> DataFrame:
-    """D10, whole-file: a parsed API result, else a parsed CLI result, else built-in Security rows.
+    """D10, whole-file: a usable API result, else a usable CLI result, else built-in Security rows.
 
     `external` has rows (ids, api_json, cli_json). A covered file may have zero
     results, so coverage comes from the files, not the findings. Non-Security
@@ -148,3 +182,30 @@ def external_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(prio.isin("1-URGENT", "2-HIGH"), api).alias("api_json"),
         F.when(prio == "3-MEDIUM", cli).alias("cli_json"),
     )
+
+
+# Texts of odd shapes, (API text, CLI text), dealt over the orders by their key.
+_GOOD_CLI = '{"results":[{"check_id":"C1","extra":{"message":"m","severity":"WARNING"},"start":{"line":2}}]}'
+ODD_TEXTS = [
+    ('{"results":{}}', _GOOD_CLI),
+    ('{"results":"x"}', '{"results":null,"errors":[]}'),
+    ("{}", _GOOD_CLI),
+    ("[]", None),
+    ('{"results":[null]}', None),
+    ('{"results":[]} and more', _GOOD_CLI),
+    ('{"results":[{"rule_id":5}]}', None),
+    ('{"results":[{"severity":3}]}', '{"results":[{"check_id":"C2","extra":null,"start":{"line":"7"}}]}'),
+    ('{"results":[5,"x",{"rule_id":null,"line":3.9,"message":12}]}', None),
+    ("null", "null"),
+    ('{"results":[{"rule_id":"A","line":-4},{"rule_id":"B","severity":"ERROR","line":1e30}]}', _GOOD_CLI),
+    (None, None),
+    ("error: no such host", '{"results":[{"check_id":"C3","extra":{"severity":[]}}]}'),
+]
+
+
+def odd_external_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, api_json, cli_json) for every order: a text of one of the odd shapes."""
+    which = (F.col("o_orderkey") % len(ODD_TEXTS)).cast("int")
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("file"), *(
+        _pick([t[i] for t in ODD_TEXTS], which).alias(c) for i, c in enumerate(("api_json", "cli_json"))))

@@ -1,96 +1,171 @@
 """Source-tree reader (S1): one row per source file, `(file, code)`.
 
 Rules of the walk: recurse; skip directories whose name starts with `.` and
-directories named `node_modules`; keep files ending in .ts .tsx .js .jsx
-(case-sensitive). A missing root gives an empty result.
-
-Spark's file index hides every name that starts with `_` or `.`. Directories
-starting with `_` are therefore added as extra load roots (a `_` directory given
-as a root is read). Files whose own name starts with `_` or `.` are listed by
-name on the driver and read inside tasks.
+directories named `node_modules`; keep plain files ending in .ts .tsx .js .jsx
+(case-sensitive; names that start with `.` or `_` too). Links are not followed.
+A missing root gives an empty result.
+
+The tree is listed by tasks, one level a round: a round's directories are
+spread over the cluster, each is listed where its row lies, and the
+subdirectories found are written and become the next round. The driver sees
+neither names nor entries, only whether a round found directories. Files are
+read by tasks as well, some `READ_BYTES` of them a task.
+
+`file` is the path below the root, decoded, with `/` between names: what is
+`my dir/50%.js` on disk is `my dir/50%.js` here. Spark's own file index is not
+used: it hides names that start with `_` or `.` and gives percent-encoded URIs.
+Bytes that are no UTF-8 are replaced in names and in texts.
+
+On a local or mounted path the listing is `os.scandir`; other roots go through
+pyarrow's file systems (hdfs, s3, gs, abfs), which must be reachable from the
+executors.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # Extensions and skipped directory names.
 EXTENSIONS = ("ts", "tsx", "js", "jsx")
 SKIP_DIR = "node_modules"
 
+#: Bytes of source text that one task reads, and bytes of texts handed on in one go.
+READ_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+
 SCHEMA = T.StructType([T.StructField("file", T.StringType()), T.StructField("code", T.StringType())])
+_ENTRY = "raw binary, is_dir boolean, size long"
+
+
+def wanted_dir(name: str) -> bool:
+    return not name.startswith(".") and name != SKIP_DIR
+
+
+def _local(root: str) -> str | None:
+    """The plain path of a local root (with or without `file:`), else None."""
+    if root.startswith("file:"):
+        rest = root[len("file:"):]
+        return rest[2:] if rest.startswith("//") else rest
+    return root if "://" not in root else None
+
+
+def _entries(root: str, below: bytes) -> Iterator[tuple[bytes, str, bool, int]]:
+    """(path below the root, name, is a directory, size) of one directory's plain files and directories."""
+    local = _local(root)
+    if local is not None:
+        with os.scandir(os.path.join(os.fsencode(local), below)) as found:
+            for e in found:
+                is_dir = e.is_dir(follow_symlinks=False)
+                if is_dir or e.is_file(follow_symlinks=False):
+                    size = 0 if is_dir else e.stat(follow_symlinks=False).st_size
+                    yield os.path.join(below, e.name), e.name.decode("utf-8", "replace"), is_dir, size
+        return
+    from pyarrow import fs as pafs
+
+    system, path = pafs.FileSystem.from_uri(_arrow_uri(root))
+    at = "/".join(x for x in (path.rstrip("/"), below.decode()) if x)
+    for e in system.get_file_info(pafs.FileSelector(at)):
+        if e.type in (pafs.FileType.File, pafs.FileType.Directory):
+            inner = f"{below.decode()}/{e.base_name}" if below else e.base_name
+            yield inner.encode(), e.base_name, e.type == pafs.FileType.Directory, e.size or 0
+
+
+def _arrow_uri(root: str) -> str:
+    return "s3://" + root.split("://", 1)[1] if root.startswith(("s3a://", "s3n://")) else root
+
+
+def _exists(root: str) -> bool:
+    local = _local(root)
+    if local is not None:
+        return os.path.isdir(local)
+    from pyarrow import fs as pafs
+
+    system, path = pafs.FileSystem.from_uri(_arrow_uri(root))
+    return system.get_file_info(path).type == pafs.FileType.Directory
 
 
-def _fs(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(conf), path
-
-
-def _walk(spark: SparkSession, root: str, extensions) -> tuple[list[str], list[str]]:
-    """(`_*` directories, hidden source files) below `root`, skipping `.*` and node_modules dirs.
-
-    Only names are listed on the driver (as Spark's own file index does); the
-    file contents are read by tasks.
-    """
-    fs, path = _fs(spark, root)
-    dirs, hidden, todo = [], [], [path]
-    while todo:
-        p = todo.pop()
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if not st.isDirectory():
-                if name[:1] in ("_", ".") and any(name.endswith("." + e) for e in extensions):
-                    hidden.append(st.getPath().toString())
-                continue
-            if name.startswith(".") or name == SKIP_DIR:
-                continue
-            if name.startswith("_"):
-                dirs.append(st.getPath().toString())
-            todo.append(st.getPath())
-    return dirs, hidden
-
-
-def _read_files(it):
-    """mapInPandas body: read each listed file (UTF-8, bad bytes replaced) inside the task."""
+def _read(root: str, below: bytes) -> str:
+    local = _local(root)
+    if local is not None:
+        with open(os.path.join(os.fsencode(local), below), "rb") as fh:
+            return fh.read().decode("utf-8", "replace")
     from pyarrow import fs as pafs
 
-    for pdf in it:
-        codes = []
-        for uri in pdf["file"]:
-            u = uri
-            if u.startswith("file:") and not u.startswith("file://"):
-                u = "file://" + u[len("file:"):]
-            if u.startswith("s3a://"):
-                u = "s3://" + u[len("s3a://"):]
-            fsys, path = pafs.FileSystem.from_uri(u)
-            with fsys.open_input_stream(path) as fh:
-                codes.append(fh.read().decode("utf-8", errors="replace"))
-        yield pdf.assign(code=codes)
-
-
-def read_source_tree(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
-    fs, path = _fs(spark, root)
-    if not fs.exists(path):
-        return spark.createDataFrame([], SCHEMA)
-    roots = [fs.makeQualified(path).toString()]
-    under, hidden = _walk(spark, root, extensions)
-    roots += under
-    glob = "*.{" + ",".join(extensions) + "}"
-    df = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).load(roots)
-          .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("code")))
-    base = roots[0].rstrip("/")
-    rel = F.substring(F.col("file"), len(base) + 2, 1 << 30)
-    hidden_dir = rel.rlike(r"(^|/)(\.[^/]*|node_modules)/")
-    # each file is reached from exactly one root (its nearest `_` ancestor or the main root)
-    out = df.filter(~hidden_dir)
-    if hidden:
-        # files named `_*` / `.*` are invisible to Spark's file index; read them in tasks
-        n = max(1, min(len(hidden), spark.sparkContext.defaultParallelism))
-        listed = spark.createDataFrame([(h,) for h in hidden], "file string").repartition(n)
-        out = out.unionByName(listed.mapInPandas(_read_files, "file string, code string"))
-    return out
+    system, path = pafs.FileSystem.from_uri(_arrow_uri(root))
+    with system.open_input_stream(f"{path.rstrip('/')}/{below.decode()}") as fh:
+        return fh.read().decode("utf-8", "replace")
+
+
+def _list_level(root: str, extensions: Sequence[str]):
+    """mapInArrow body: what the directories of a batch hold, a batch of entries at a time."""
+    endings = tuple("." + e for e in extensions)
+
+    def made(rows):
+        columns = zip(*rows) if rows else ([], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.bool_(), pa.int64()))], ["raw", "is_dir", "size"])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for below in batch.column(0).to_pylist():
+                for raw, name, is_dir, size in _entries(root, below):
+                    if wanted_dir(name) if is_dir else name.endswith(endings):
+                        rows.append((raw, is_dir, size))
+                    if len(rows) >= 10_000:
+                        yield made(rows)
+                        rows = []
+            yield made(rows)
+
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+    """(raw, size) of the source files below `root`: their paths as bytes and their sizes. One round a level."""
+    empty = spark.createDataFrame([], "raw binary, size long")
+    exists = spark.range(1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array([_exists(root)] * b.num_rows)], ["there"]) for b in batches), "there boolean")
+    if not exists.first()["there"]:
+        return empty
+    files, level, n = empty, spark.createDataFrame([(b"",)], "raw binary"), 1
+    while n:
+        # dealt by a hash of the path, at most one directory a task until there are more than tasks
+        spread = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found = materialize(level.repartition(spread, "raw").mapInArrow(_list_level(root, extensions), _ENTRY))
+        files = files.unionByName(found.where(~F.col("is_dir")).select("raw", "size"))
+        level = found.where("is_dir").select("raw")
+        n = level.count()
+    return files
+
+
+def _read_files(root: str):
+    """mapInArrow body: the texts of listed files, handed on before they exceed BATCH_BYTES."""
+
+    def run(batches):
+        for batch in batches:
+            names, codes, size = [], [], 0
+            for raw in batch.column(0).to_pylist():
+                names.append(raw.decode("utf-8", "replace"))
+                codes.append(_read(root, raw))
+                size += len(codes[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(codes, pa.string())], ["file", "code"])
+                    names, codes, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(codes, pa.string())], ["file", "code"])
+
+    return run
+
+
+def read_source_tree(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+    """(file, code) of every source file below `root`."""
+    files = list_tree(spark, root, extensions)
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-total // READ_BYTES))
+    return files.select("raw").repartition(tasks, "raw").mapInArrow(_read_files(root), SCHEMA)

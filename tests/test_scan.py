@@ -31,20 +31,20 @@ def test_snippets_alone(spark):
 
 
 @pytest.mark.parametrize("code,rule,lines", [
-    ('const q = "SELECT * FROM users WHERE id = " + userId;', "SQL_INJECTION", [1]),
-    ("const x = 1;\nconst q = \"SELECT * FROM users WHERE id = \" + id;\nconst y = 2;", "SQL_INJECTION", [2]),
+    ('run("DELETE FROM baskets WHERE owner = " + who);', "SQL_INJECTION", [1]),
+    ("start();\nrun('UPDATE stock SET n = 0 WHERE sku = ' + sku);\nstop();", "SQL_INJECTION", [2]),
     ("eval(a); eval(b);", "EVAL_USAGE", [1]),
-    ("el.innerHTML = userComment;", "XSS_INNER_HTML", [1]),
+    ("panel.innerHTML += row.title;", "XSS_INNER_HTML", [1]),
     ("if (el.innerHTML == x) {}", "XSS_INNER_HTML", []),
-    ("const h = createHash('md5').update(d);", "WEAK_CRYPTO", [1]),
-    ("const t = Math.random().toString(36);", "INSECURE_RANDOM", [1]),
+    ("sign(createHash('sha-1'), body);", "WEAK_CRYPTO", [1]),
+    ("pick(list, Math.random());", "INSECURE_RANDOM", [1]),
     ("const cfg = { debug: true && local };", "DEBUG_ENABLED", []),
     ("const cfg = { debug: true };", "DEBUG_ENABLED", [1]),
     ("res.cookie('a', b); // secure via proxy", "COOKIE_INSECURE", []),
     ("x = <p dangerouslySetInnerHTML={{ __html: DOMPurify.sanitize(h) }} />", "DANGEROUS_HTML", []),
     ("x = <p dangerouslySetInnerHTML={{ __html:\n DOMPurify.sanitize(h) }} />", "DANGEROUS_HTML", [1]),
-    ("const users = await db.query('SELECT * FROM users LIMIT 50 OFFSET 0');", "NO_PAGINATION", []),
-    ("const users = await db.query('SELECT * FROM users');", "NO_PAGINATION", [1]),
+    ("rows = ask('SELECT * FROM parcels LIMIT 20');", "NO_PAGINATION", []),
+    ("rows = ask('SELECT * FROM parcels');", "NO_PAGINATION", [1]),
     ("a.then(f);\nb.then(g).catch(h);\n  c.then(k)", "UNHANDLED_PROMISE", [1, 3]),
     ("const r = await fetch(url) /* timeout handled */;", "MISSING_TIMEOUT", []),
     ("const r = await fetch(url);", "MISSING_TIMEOUT", [1]),

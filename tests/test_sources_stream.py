@@ -6,6 +6,7 @@ import duckdb
 
 from codesift.operators.scan import scan
 from codesift.session import TABLES
+from codesift.sources import files
 from codesift.sources.files import read_source_tree
 from codesift.streaming.scan_stream import start_findings_stream, stream_findings
 
@@ -32,12 +33,48 @@ def test_source_tree(spark, scratch):
     _write(f"{root}/lib/.js", "eval(j);")
     _write(f"{root}/node_modules/_x.js", "eval(n);")
     rows = read_source_tree(spark, root).collect()
-    files = sorted(os.path.relpath(r.file.replace("file:", ""), root) for r in rows)
-    assert files == ["__tests__/t.test.js", "_private.js", "a.js", "lib/.hidden.ts", "lib/.js", "lib/b.ts", "lib/c.d.ts"]
+    assert sorted(r.file for r in rows) == ["__tests__/t.test.js", "_private.js", "a.js", "lib/.hidden.ts", "lib/.js", "lib/b.ts", "lib/c.d.ts"]
     assert {r.code for r in rows if r.file.endswith("_private.js")} == {"eval(p);"}
     assert read_source_tree(spark, os.path.join(scratch, "missing")).count() == 0
 
 
+def test_source_tree_names_come_back_decoded(spark, scratch):
+    root = os.path.join(scratch, "a root%20 é")
+    names = ["my dir/a b.js", "p%2520q.js", "50%/x%.ts", "ñandú/漢字.tsx", "_h/.i/../k.js", "a#b?.js", "it's \"quoted\".jsx", "new\nline.js", "+&=.ts", "deep/" * 12 + "end.js"]
+    for n in names:
+        _write(f"{root}/{n}", f"// {n}")
+    _write(f"{root}/x.JS", "wrong case")
+    _write(f"{root}/js", "no ending")
+    os.makedirs(f"{root}/folder.js")
+    os.symlink(f"{root}/my dir", f"{root}/linked")
+    os.symlink(f"{root}/p%2520q.js", f"{root}/link.js")
+    os.symlink(root, f"{root}/my dir/loop")
+    with open(os.fsencode(root) + b"/bad\xff.js", "wb") as fh:
+        fh.write(b"// \xfe")
+    want = {os.path.normpath(n): f"// {n}" for n in names} | {"bad\ufffd.js": "// \ufffd"}
+    for given in (root, root + "/", "file://" + root, "file:" + root):
+        assert {r.file: r.code for r in read_source_tree(spark, given).collect()} == want
+
+
+def test_source_tree_lists_and_reads_in_tasks(spark, scratch, monkeypatch):
+    root = os.path.join(scratch, "wide")
+    for d in range(30):
+        for f in range(12):
+            _write(f"{root}/d{d}/e{f % 3}/f{f}.js", "x" * (1 + d))
+    _write(f"{root}/empty/none.txt", "")
+    plain = os.scandir
+
+    def on_the_driver(path="."):
+        assert not os.fsdecode(path).startswith(root)
+        return plain(path)
+
+    monkeypatch.setattr(os, "scandir", on_the_driver)  # tasks run in processes of their own
+    monkeypatch.setattr(files, "READ_BYTES", 1000)
+    got = read_source_tree(spark, root)
+    assert got.rdd.getNumPartitions() == 6
+    assert {r.file: len(r.code) for r in got.collect()} == {f"d{d}/e{f % 3}/f{f}.js": 1 + d for d in range(30) for f in range(12)}
+
+
 def test_stream_equals_batch(spark, scratch):
     src = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     inbox = os.path.join(scratch, "inbox")
