@@ -10,19 +10,22 @@ whole set up to `WHOLE` shingles: a set that is similar enough to one of at most
    Lists of one are left out, and passages of many documents, being frequent, are seldom among the rarest.
 3. Star: in each list every class meets the list's centre only, the class whose values are the most shared. This
    takes a group of thousands of near copies to one component without its pairs.
-4. Rest: classes of one list that are still in different components meet each other, if what each has left from the
-   value on, in the order of frequency, is as much as the pair has to share. Members of the centre's component need
-   not meet each other, and a class that is too unlike the centre has too little left to meet anything through what
-   it shares with it, so a large group's pairs are not formed. A join on the value makes the others; a long list is
-   split between tasks by Spark's skew handling.
+4. Rest: lists whose classes are still in different components are open. A sketch's bound is loose by its deviations,
+   and the members of a group of near copies that are not similar to each other would all meet through it. So the
+   classes of open lists (a small part) get their whole sets as retained values, in lists of their own, where the bounds
+   are exact: a class enters with the values that it may be the first to share, rarest first, and two meet only if
+   what both have left from the value on is as much as they have to share. At least one of them must stand beside its
+   list's main component. Of near copies the own values come first and the common ones late, with too little left, so
+   unlike members do not meet. A long list is split between tasks by Spark's skew handling.
 5. Pairs are kept if their sizes allow the similarity and the union sketch (the `UNION` smallest of both sketches)
    estimates it to be `LIKELY` at least; then the exact Jaccard of the full sets decides.
 6. Components of the confirmed links, by smallest label with pointer jumping.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are their own
 component; fewer words than `width` make one shingle of the whole sequence; rows with the same key are one document,
-so they share a component, each with its own text's size; a row with a null key is never linked and stays; an empty
-table gives an empty result; other columns pass through.
+so they share a component, each with its own text's size; a row with a null key is never linked and stays; keys are
+integers, and a key column of another type is an error before anything runs; an empty table gives an empty result;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -157,6 +160,8 @@ def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """(id, n, comp) for every row of `docs` with its key as `id`: set size and smallest reachable key."""
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a column of integers: components are named by the smallest key")
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = body.mapInArrow(_sequences(width), "id long, n long, seq binary")
     rows = stored(rows.withColumn("cls", F.xxhash64("seq")))
@@ -197,7 +202,14 @@ def near_duplicates(
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """(cls, grams): the whole sets of classes, each made once from its smallest document's text (`rep`)."""
+        wanted = reps.select(F.col("rep").alias("k")).distinct()
+        texts = maybe_in(body.withColumnRenamed("id", "k"), wanted).join(wanted, "k")
+        made = texts.mapInArrow(_sets(width), "seq binary, grams array<long>")
+        return stored(made.select(F.xxhash64("seq").alias("cls"), "grams").dropDuplicates(["cls"]))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of pairs (a, b) of classes, those whose estimate and then whose full sets are similar enough."""
         pairs = stored(pairs)
         some = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -209,11 +221,8 @@ def near_duplicates(
         likely = stored(
             pairs.join(a, "a").join(b, "b").where(common >= F.size(union) * LIKELY).select("a", "b", "na", "nb", "ra", "rb")
         )
-        # A class's set is made once, from its smallest document's text, for the classes in a likely pair.
-        wanted = likely.select(F.col("ra").alias("k")).union(likely.select(F.col("rb").alias("k"))).distinct()
-        texts = maybe_in(body.withColumnRenamed("id", "k"), wanted).join(wanted, "k")
-        made = texts.mapInArrow(_sets(width), "seq binary, grams array<long>")
-        sets = stored(made.select(F.xxhash64("seq").alias("cls"), "grams").dropDuplicates(["cls"]))
+        if sets is None:  # of the classes in a likely pair
+            sets = sets_of(likely.select(F.col("ra").alias("rep")).union(likely.select("rb")))
         both = likely.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(
             sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b"
         )
@@ -228,7 +237,7 @@ def near_duplicates(
         .distinct()
     )
     star_links = stored(confirmed(star))
-    # Classes of one list in different components, by a join of those beside the centre's with all.
+    # Classes of lists that reach into different components; `x` marks those beside a list's main component.
     split = lists.join(components(star_links).withColumnRenamed("id", "cls"), "cls", "left")
     split = split.withColumn("comp", F.coalesce("comp", "cls"))
     about = split.groupBy("w", "v").agg(
@@ -236,18 +245,29 @@ def near_duplicates(
         F.max(F.struct("centrality", "cls", "n", "comp")).alias("c"),
     )
     opened = about.where("lo <> hi").select("w", "v", "least_n", F.col("c.comp").alias("main"))
-    split = stored(split.join(opened, ["w", "v"]).select("w", "v", "cls", "n", "left", "comp", "least_n", "main"))
     smallest_n = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
     # Of a sketch, less is asked for by smaller and by larger partners; of a whole set, by smaller ones.
     fewest = need(F.col("n"), F.when(F.col("w"), smallest_n).otherwise(F.ceil(F.col("n") * percent / 100)))
-    beside = split.where((F.col("comp") != F.col("main")) & (F.col("left") >= fewest))
-    x = beside.select("w", "v", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("left").alias("ea"), F.col("comp").alias("ca"))
-    y = split.select("w", "v", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("left").alias("eb"), F.col("comp").alias("cb"))
+    beside = (F.col("comp") != F.col("main")) & (F.col("left") >= fewest)
+    some = split.join(opened, ["w", "v"]).groupBy("cls", "n", "comp").agg(F.max(beside).alias("x"))
+    some = stored(some.join(classes.select("cls", "rep"), "cls"))
+    sets = sets_of(some)
+    # Their whole sets as retained values: the same lists as above, with exact bounds.
+    values = sets.select("cls", F.explode("grams").alias("v")).repartition("v")
+    counted = values.groupBy("v").agg(F.count("cls").alias("df")).where("df > 1")
+    of_class = Window.partitionBy("cls")
+    place = F.row_number().over(of_class.orderBy("df", "v")) + F.col("n") - F.count("*").over(of_class)
+    ranked = values.join(counted, "v").join(some.select("cls", "n", "comp", "x"), "cls").withColumn("left", F.col("n") - place + 1)
+
+    def shared(n: Column, m: Column) -> Column:
+        return F.ceil((n + m) * percent / (100 + percent))
+
+    open_lists = stored(ranked.where(F.col("left") >= shared(F.col("n"), F.ceil(F.col("n") * percent / 100))).select("v", "cls", "n", "left", "comp", "x"))
+    a = open_lists.where("x").select("v", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("left").alias("ea"), F.col("comp").alias("ca"))
+    b = open_lists.select("v", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("left").alias("eb"), F.col("comp").alias("cb"))
     rest = (
-        x.join(y, ["w", "v"])
-        .where((F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-        .where(F.least("ea", "eb") >= need(F.col("na"), F.col("nb")))
-        .where(F.col("w") | (F.greatest("na", "nb") > WHOLE))  # two whole sets meet in the lists of whole sets
+        a.join(b, "v")
+        .where((F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & (F.least("ea", "eb") >= shared(F.col("na"), F.col("nb"))))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
@@ -256,7 +276,7 @@ def near_duplicates(
     member = linkable.select("id", "cls").distinct()
     twice = member.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("id", "a")
     same_key = member.join(twice, "id").select("a", F.col("cls").alias("b"))
-    linked = components(star_links.union(confirmed(rest)).union(same_key)).withColumnRenamed("id", "cls")
+    linked = components(star_links.union(confirmed(rest, sets)).union(same_key)).withColumnRenamed("id", "cls")
     labelled = classes.select("cls", "rep").join(linked, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = labelled.groupBy("comp").agg(F.min("rep").alias("least"))
     named = labelled.join(smallest, "comp").select("cls", "least")
