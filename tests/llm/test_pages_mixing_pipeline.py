@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codesift.llm import htmlmain, mixing
-from codesift.llm.htmlmain import blocks, extract, main_texts, repeated
+from codesift.llm.htmlmain import blocks, extract, main_texts
 
 
 def text_of(page):
@@ -34,6 +34,39 @@ def test_odd_pages():
     assert list(blocks("<script>never closed <p>x")) == []
 
 
+T = "The text of the page has a good many words in it."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<html><head><title>x</title><body><article><p>{T}</p></article>", T),
+    (f"<html><head><meta charset=x><title>x</title><article><p>{T}</article>", T),
+    (f"<head><title>x</title><style>p</style>{T}", T),
+    (f'<div class="site has-sidebar"><article><p>{T}</p></article></div>', T),
+    (f'<div class="site has-sidebar"><p>{T}</p></div>', T),
+    (f'<div id="page" class="header-fixed"><main><p>{T}</p></main></div>', T),
+    (f'<div id="page" class="header-fixed"><p>{T}</p><div class="sidebar">side</div></div>', T),
+    (f'<main><div class="sidebar-left-on"><p>{T}</p><aside>a</aside></div></main>', T),
+    (f"<form action=/x><input><article><p>{T}</p></article></form>", T),
+    (f"<form action=/x><p>{T}</p><input></form>", T),
+    (f"<article><p>{T}</p><form><p>your name</p><input></form></article>", T),
+    (f'<article><p class="share-price">{T}</p><p>{T}</p></article>', f"{T}\n{T}"),
+    (f'<article><p class="ad">buy<p>{T}</article>', T),
+    (f'<article><p class="ad">buy <span class="promo">now<p>{T}</article>', T),
+    (f'<article><ul><li class="related">other<li>{T}</ul><p>{T}</article>', f"{T}\n{T}"),
+    (f'<article><table><tr><td class="ad">x<td>{T}<tr><td>{T}</table>', f"{T}\n{T}"),
+    (f'<article><dl><dt class="ad">x<dd>{T}</dl>', T),
+    (f"<article><p>So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds. {T}</p></article>", f"So a=2 holds. {T}"),
+    (f"<article><p>Press <button>Start</button> or <label>this</label> now. {T}</p><button>Share</button></article>", f"Press Start or this now. {T}"),
+    (f'<article><p>{T}</p><div id="comments"><article><p>reader says a lot, {T} {T}</p></article></div></article>', T),
+    (f'<p>{T}</p><div class="comment-list"><p>{T} {T} {T}</p></div><div class="site-footer">{T} {T}</div>', T),
+    (f'<article><p>{T}</p><div class="cookie-notice">we use</div><div class="newsletter_box-2">join</div></article>', T),
+    (f"<nav><p>menu<article>teaser</article></nav><main><p>{T}</main>", T),
+    (f"<article><ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>{T}</article>", f"a\nb\nc\nd\n{T}"),
+])
+def test_main_text_is_not_lost(page, want):
+    assert text_of(page) == want
+
+
 def brute_repeated(words, page, run, pages):
     covered = [False] * len(words)
     at = {}
@@ -47,6 +80,16 @@ def brute_repeated(words, page, run, pages):
     return covered
 
 
+def repeated(words, page, run, pages):
+    """Which words the suffix array's runs on so many pages cover."""
+    n = len(words)
+    if n < run:
+        return [False] * n
+    order, starts, distinct, left = htmlmain.page_counts(words, page, run)
+    first = order[np.repeat(distinct >= pages, np.diff(np.append(starts, n)))]
+    return htmlmain.spread(first[left[first] >= run], run, n)
+
+
 @pytest.mark.parametrize("run,pages", [(1, 2), (3, 2), (4, 3), (8, 2)])
 def test_suffix_array_is_brute_force(run, pages):
     rng = np.random.default_rng(run)
