@@ -4,8 +4,10 @@ Each dimension is divided into 2^BITS cells at quantiles of all vectors. A vecto
 the vector's exact squared norm (about a middle point) are the approximation file, a table of its own. For a set of
 centroids a lookup table holds, for each dimension, cell and centroid, the least and the greatest of c^2 - 2 c x over
 the cell. Added up over the dimensions, with the norm, they give an interval that holds the exact squared distance. A
-centroid whose interval begins behind the end of another's is out; a vector with one centroid left is decided by its
-code alone, and only the others have their full vectors fetched, for the exact distance to the centroids left.
+centroid whose interval begins behind the end of another's is out. What is left is compared with the centroid whose
+interval ends first, by the interval of the difference of the two distances (linear in x, so its ends lie at the ends
+of the cells), which is narrower than the two apart. A vector with one centroid left is decided by its code alone, and
+only the others have their full vectors fetched, for the exact distance to the centroids left.
 
 A round needs the sums of each cluster's vectors. The first one reads all vectors. Later rounds read the codes, look
 which vectors are decided alike for the old and the new centroids, and fetch the others by a join on the row number:
@@ -60,6 +62,14 @@ class Cells:
     def norms(self, v: np.ndarray) -> np.ndarray:
         return ((v - self.middle) ** 2).sum(axis=1)
 
+    def ends_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest vector with these codes, about the middle."""
+        low, high = np.empty(codes.shape, np.int64), np.empty(codes.shape, np.int64)
+        for d, ends in enumerate(self.ends):
+            low[:, d] = np.append(self.least[d], ends + 1)[codes[:, d]] - self.middle[d]
+            high[:, d] = np.append(ends, self.greatest[d])[codes[:, d]] - self.middle[d]
+        return low, high
+
     def table(self, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(dimension, cell, centroid) -> the least and the greatest of c^2 - 2 c x over the cell, about the middle."""
         n = 1 << self.bits
@@ -84,14 +94,35 @@ def unpacked(rows: np.ndarray, dims: int, bits: int) -> np.ndarray:
     return np.packbits(wide, axis=2)[:, :, 0]
 
 
-def left(codes: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """(vector, centroid) -> True for the centroids that no other's interval excludes."""
+def left(codes: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, centroid) -> True for the centroids that no other's interval excludes; and whose interval ends first."""
     least = np.repeat(norms[:, None], low.shape[2], axis=1)
     most = least.copy()
     for d in range(codes.shape[1]):
         least += low[d, codes[:, d]]
         most += high[d, codes[:, d]]
-    return least <= most.min(axis=1, keepdims=True)
+    return least <= most.min(axis=1, keepdims=True), most.argmin(axis=1)
+
+
+def closer(cells: Cells, codes: np.ndarray, some: np.ndarray, best: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """`some` without the centroids that are farther than `best` wherever in its cells a vector lies."""
+    row, c = np.nonzero(some & (some.sum(axis=1) > 1)[:, None])
+    other = c != best[row]
+    row, c = row[other], c[other]
+    about = centroids - cells.middle
+    low, high = cells.ends_of(codes[row])
+    slope = -2 * (about[c] - about[best[row]])
+    square = (about**2).sum(axis=1)
+    nearer = np.minimum(slope * low, slope * high).sum(axis=1) + square[c] - square[best[row]] <= 0
+    out = some.copy()
+    out[row[~nearer], c[~nearer]] = False
+    return out
+
+
+def candidates(cells: Cells, centroids: np.ndarray):
+    """A function of codes and norms: (vector, centroid) -> whether the centroid may be the vector's nearest."""
+    low, high = cells.table(centroids)
+    return lambda codes, norms: closer(cells, codes, *left(codes, norms, low, high), centroids)
 
 
 def nearest_of(v: np.ndarray, centroids: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,20 +198,15 @@ def approximations(vectors: DataFrame, cells: Cells) -> DataFrame:
     return stored(vectors.select("r", "v").mapInArrow(run, "r long, code binary, norm long"))
 
 
-def _by_cell(cells: Cells, centroids: np.ndarray, dims: int):
-    """A function of a batch of codes and norms: which centroids are left."""
-    low, high = cells.table(centroids)
-    return lambda codes, norms: left(unpacked(codes, dims, cells.bits), norms, low, high)
-
-
 def to_fetch(approx: DataFrame, cells: Cells, before: np.ndarray, after: np.ndarray) -> DataFrame:
     """(r, was, now): the vectors that the codes do not put into one cluster before and after, with the centroids left."""
     dims = before.shape[1]
 
     def run(batches):
-        old, new = _by_cell(cells, before, dims), _by_cell(cells, after, dims)
+        old, new = candidates(cells, before), candidates(cells, after)
         for b in _pieces(batches):
-            codes, norms = _matrix(b.column(1), b.num_rows, np.uint8), b.column(2).to_numpy()
+            codes = unpacked(_matrix(b.column(1), b.num_rows, np.uint8), dims, cells.bits)
+            norms = b.column(2).to_numpy()
             was, now = old(codes, norms), new(codes, norms)
             at = np.flatnonzero((was.sum(axis=1) > 1) | (now != was).any(axis=1))
             masks = [pa.array([m.tobytes() for m in np.packbits(x[at], axis=1)], pa.binary()) for x in (was, now)]
@@ -207,10 +233,10 @@ def moved(fetched: DataFrame, before: np.ndarray, after: np.ndarray) -> DataFram
 
 def first_sums(vectors: DataFrame, cells: Cells, centroids: np.ndarray) -> DataFrame:
     def run(batches):
-        table = cells.table(centroids)
+        some = candidates(cells, centroids)
         for b in _pieces(batches):
             v = _matrix(b.column(0), b.num_rows, np.int64)
-            near, _ = nearest_of(v, centroids, left(cells.codes(v), cells.norms(v), *table))
+            near, _ = nearest_of(v, centroids, some(cells.codes(v), cells.norms(v)))
             yield _sums(*_total(near, v, 1, len(centroids)))
 
     return vectors.select("v").mapInArrow(run, _SUMS)
@@ -220,10 +246,10 @@ def assigned(vectors: DataFrame, cells: Cells, centroids: np.ndarray) -> DataFra
     """(id, cluster, distance) of every vector."""
 
     def run(batches):
-        table = cells.table(centroids)
+        some = candidates(cells, centroids)
         for b in _pieces(batches):
             v = _matrix(b.column(1), b.num_rows, np.int64)
-            near, distance = nearest_of(v, centroids, left(cells.codes(v), cells.norms(v), *table))
+            near, distance = nearest_of(v, centroids, some(cells.codes(v), cells.norms(v)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(distance)], ["id", "cluster", "distance"])
 
     return vectors.select("id", "v").mapInArrow(run, "id long, cluster int, distance long")

@@ -157,7 +157,7 @@ def test_few_equal_and_no_vectors(spark):
 def test_codes_pack_and_intervals_hold():
     rng = np.random.default_rng(4)
     v = np.floor(rng.standard_normal((500, 64)) * 40).astype(np.int64)
-    c = v[:20]
+    c = np.concatenate([v[:20], v[:3]])
     exact = ((v[:, None, :] - c[None]) ** 2).sum(axis=2)
     fetched = []
     for bits in (2, 5, 8):
@@ -169,10 +169,13 @@ def test_codes_pack_and_intervals_hold():
         low, high = cells.table(c)
         least, most = (cells.norms(v)[:, None] + sum(t[d, codes[:, d]] for d in range(64)) for t in (low, high))
         assert (least <= exact).all() and (exact <= most).all()
-        some = centroids.left(codes, cells.norms(v), low, high)
-        assert some[np.arange(500), exact.argmin(axis=1)].all()
-        fetched.append((some.sum(axis=1) > 1).mean())
-    assert fetched[0] > fetched[1] > fetched[2] and fetched[2] < 0.2
+        apart, best = centroids.left(codes, cells.norms(v), low, high)
+        some = centroids.candidates(cells, c)(codes, cells.norms(v))
+        assert (most[np.arange(500), best] == most.min(axis=1)).all() and not (some & ~apart).any()
+        nearest = exact == exact.min(axis=1, keepdims=True)
+        assert some[nearest].all()  # ties too
+        fetched.append(((apart.sum(axis=1) > 1).mean(), (some.sum(axis=1) > 1).mean()))
+    assert all(f[1] <= f[0] for f in fetched) and fetched[0][1] > fetched[1][1] > fetched[2][1] and fetched[2][1] < 0.2
 
 
 def test_later_rounds_fetch_few_vectors_of_clear_clusters(spark):
