@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import stored
+from codesift.llm.common import apart, stored
 
 MIN_SITES = 10
 #: Registers of a sketch as a power of two, and the relative standard error (two-sided 95 % is twice that).
@@ -50,6 +50,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
 
 
+@apart
 def dedup_lines(
     docs: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codesift.llm.common import WORD, stored
+from codesift.llm.common import WORD, apart, stored
 
 SEED = 20240
 MAX_EPOCHS = 3
@@ -63,6 +63,7 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
+@apart
 def mix(
     docs: DataFrame,
     source: str = "source",
@@ -120,6 +121,7 @@ def mix(
     )
 
 
+@apart
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of `docs`."""
     out = mix(docs, **options)

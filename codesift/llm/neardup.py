@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codesift.llm.common import _MULT, maybe_in, mix64, slices, stored, word_hashes
+from codesift.llm.common import _MULT, apart, maybe_in, mix64, slices, stored, word_hashes
 
 #: Values of a sketch, the largest set that is kept whole, and the standard deviations by which two sketches of similar
 #: sets may have less in common than expected.
@@ -287,6 +287,7 @@ def near_duplicates(
     )
 
 
+@apart
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each group of near duplicates, the one with the smallest key."""
     found = near_duplicates(docs, text, key, width, percent)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesift.llm.common import apart
 from codesift.llm.pieces import DEFAULT_MODEL, chunk_pattern, model_bytes, parse
 
 #: Counts of chunks that a task remembers, of chunks no longer than LONG.
@@ -92,6 +93,7 @@ class Counter:
         return total
 
 
+@apart
 def count_tokens(docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
     """`docs` with `__tokens`, the number of pieces of the text."""
     handed = docs.sparkSession.sparkContext.broadcast(model_bytes(model))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from codesift.llm.common import _LOWER, NOT_ALNUM, maybe_in, mix64, slices, stored, word_hashes, word_spans
+from codesift.llm.common import _LOWER, NOT_ALNUM, apart, maybe_in, mix64, slices, stored, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 CALIBRATION = 10_000
@@ -260,6 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     return handed, curve
 
 
+@apart
 def with_score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """`docs` with `__score`, between 0 and 1, for every row."""
     handed, curve = model
@@ -284,11 +285,13 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
+@apart
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` with `__score`, learned from the labelled rows that are not held out."""
     return with_score(docs, train(docs, labels, ~held_out(F.col("doc_id"))))
 
 
+@apart
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows that score `threshold` or more."""
     return score_documents(docs, labels).where(F.col("__score") < threshold).drop("__score")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from codesift.llm.common import apart
 from codesift.llm.pieces import BPE, BYTE, CONTROL, DEFAULT_MODEL, SPACE, UNKNOWN, chunk_pattern, model_bytes, parse
 
 #: Chunks and neighbour conditions that a task remembers, and the longest chunk remembered.
@@ -166,6 +167,7 @@ def _with_text(docs: DataFrame, column: str, run, added: list[StructField]) -> D
     return docs.withColumn("__in", F.col(column)).mapInArrow(run, schema)
 
 
+@apart
 def encode(docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, decoded: bool = False) -> DataFrame:
     """`docs` with `__ids`, the piece ids of the text, and on request `__decoded`, the text read back from them."""
     handed = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
@@ -194,6 +196,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, deco
     return _with_text(docs, text, run, [*added, StructField("__decoded", StringType())] if decoded else added)
 
 
+@apart
 def decode(docs: DataFrame, ids: str, model: str = DEFAULT_MODEL) -> DataFrame:
     """`docs` with `__decoded`, the text of the piece ids in column `ids`; null for null."""
     handed = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
