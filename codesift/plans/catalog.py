@@ -24,7 +24,7 @@ from ..rules import (ALL_RULES, DEVOPS_RULES, QUALITY_RULES, SCALABILITY_RULES,
                      SECURITY_RULES, rules_for)
 from ..session import read_table
 from ..sources import external as ext
-from ..sources.corpus import code_corpus, corpus_sql
+from ..sources.corpus import N_SNIPPETS, code_corpus, corpus_sql, snippet_code_column, snippets_sql
 from ..sources.fix_list import approvals_of, fix_list
 from . import oracle_fixes as of
 from . import oracle_more as om
@@ -76,6 +76,16 @@ def scan_conversations(spark, sf):
     return scan(read_table(spark, sf, "conversations"), "text", ["conv_id", "turn"])
 
 
+@register("scan_conversations_with_code", scan_sql(f"""(
+  SELECT conv_id, turn, text || chr(10) || s.code AS text FROM conversations
+  JOIN {snippets_sql()} ON s.sid = (conv_id + turn) % {N_SNIPPETS})""", "text", ["conv_id", "turn"], ALL_RULES))
+def scan_conversations_with_code(spark, sf):
+    """S2 over chat turns that carry a snippet each; the plain turns hold no findings."""
+    c = read_table(spark, sf, "conversations")
+    code = snippet_code_column(((F.col("conv_id") + F.col("turn")) % N_SNIPPETS).cast("int"))
+    return scan(c.select("conv_id", "turn", F.concat("text", F.lit("\n"), code).alias("text")), "text", ["conv_id", "turn"])
+
+
 @register("scan_benchmark", scan_sql("benchmark", "text", ["item_id"], ALL_RULES))
 def scan_benchmark(spark, sf):
     return scan(read_table(spark, sf, "benchmark"), "text", ["item_id"])
@@ -87,6 +97,26 @@ def q_scan_in_context(spark, sf):
     return scan_in_context(code_corpus(spark, sf), "code", ["file"])
 
 
+@register("relations_of_parts", om.relations_of_parts_sql())
+def q_relations_of_parts(spark, sf):
+    """G2 over one scope of everything with a table of edges that grows with the data: parts that follow each other."""
+    li = read_table(spark, sf, "lineitem")
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    ids = li.select(name(F.col("l_partkey")).alias("rule_id"), F.lit(0).alias("pos")).distinct()
+    kinds = F.array(F.lit("BLOCKS"), F.lit("RELATED_TO"), F.lit("CAUSED_BY"))
+    edges = li.select(
+        name(F.col("l_partkey")).alias("from_id"), name((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 5000 + 1).alias("to_id"),
+        F.element_at(kinds, (F.col("l_suppkey") % 3).cast("int") + 1).alias("rel_type")).distinct()
+    return rel.relationships_in_scope(ids, [], edges).select("from_id", "to_id", "rel_type")
+
+
+@register("scan_in_context_iterations", context_sql(corpus_sql(), "code", ["file"], ALL_RULES, iterations="file % 2500"))
+def q_scan_in_context_iterations(spark, sf):
+    """C7 with the caller's own loop counts: more than 1,000 of them raise SEQUENTIAL_ASYNC to critical."""
+    code = code_corpus(spark, sf).withColumn("iterations", F.col("file") % 2500)
+    return scan_in_context(code, "code", ["file"], iterations_col="iterations").drop("iterations")
+
+
 @register("documents_in_context", context_sql("documents", "text", ["doc_id"], ALL_RULES))
 def q_documents_in_context(spark, sf):
     return scan_in_context(read_table(spark, sf, "documents"), "text", ["doc_id"])
@@ -155,6 +185,12 @@ _on_findings("order_report_per_file", om.order_report_sql(), lambda f: rel.order
     rel.scope_ids(f, ["file"]), ["file"]))
 
 
+@register("order_report_everything", om.order_report_everything_sql())
+def q_order_report_everything(spark, sf):
+    """G6 over one scope of everything: ids ranked over sorted partitions, edges met by joins."""
+    return rel.order_report(rel.scope_ids(corpus_findings(spark, sf), []), [])
+
+
 @register("guide_findings", om.guide_findings_sql())
 def q_guide_findings(spark, sf):
     c = scan_in_context(code_corpus(spark, sf), "code", ["file"])
@@ -165,6 +201,13 @@ def q_guide_findings(spark, sf):
                     F.col("fix_minutes").cast("int"), F.col("gain_ms").cast("double"))
 
 
+@register("guide_gains", om.guide_gains_sql())
+def q_guide_gains(spark, sf):
+    """K4 with the caller's loop counts: the gain of a fix grows with them."""
+    g = kn.with_guide(corpus_findings(spark, sf), iterations=(F.col("file") % 2500).cast("double"))
+    return g.where("guide IS NOT NULL").select("file", "rule_id", "line", F.col("fix_minutes").cast("int"), "gain_ms")
+
+
 @register("diagnostics", om.diagnostics_sql())
 def q_diagnostics(spark, sf):
     return rp.diagnostics(code_corpus(spark, sf), "code", ["file"])

@@ -129,7 +129,7 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS total,
 
 def gate_per_file_sql() -> str:
     return with_f(f"""SELECT c.file, CAST(coalesce(max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END), 0) AS INTEGER)
-  AS exit_code FROM (SELECT DISTINCT file FROM {corpus_sql()} AS s) c LEFT JOIN f ON f.file = c.file GROUP BY c.file""")
+  AS exit_code FROM (SELECT DISTINCT file FROM {corpus_sql()} AS s) c LEFT JOIN f ON f.file IS NOT DISTINCT FROM c.file GROUP BY c.file""")
 
 
 def gate_sql() -> str:
@@ -263,6 +263,12 @@ SELECT c.file, c.rule_id, c.line, c.in_test, v.guide_severity, v.confidence, v.e
 FROM c LEFT JOIN {guide_values()} ON c.rule_id = v.g_id"""
 
 
+def guide_gains_sql() -> str:
+    return with_f(f"""SELECT f.file, f.rule_id, f.line, CAST(v.minutes AS INTEGER) AS fix_minutes,
+  CAST(v.gain_ms AS DOUBLE) * CAST(f.file % 2500 AS DOUBLE) AS gain_ms
+FROM f JOIN {guide_values()} ON f.rule_id = v.g_id""")
+
+
 def guide_domains_found_sql() -> str:
     return with_f(f"""SELECT v.guide_domain, v.g_id AS rule_id, CAST(v.guide_pos AS INTEGER) AS guide_pos,
   CAST(count(*) AS BIGINT) AS n_findings
@@ -419,7 +425,7 @@ SELECT file, rule_id, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank
         "\n, ids AS", ",\nids AS")
 
 
-def order_report_sql() -> str:
+def order_report_sql(findings: str | None = None) -> str:
     body = _order_ctes() + f""",
 rel AS (
   SELECT i.file, e.from_id, string_agg('   - ' || {_sentence()}, chr(10) ORDER BY e.edge_idx) AS rl
@@ -435,7 +441,21 @@ SELECT file, CAST(count(*) AS BIGINT) AS n_ids,
   '## Fix order' || chr(10) || chr(10) || '### Sequence' || chr(10) || chr(10)
   || string_agg(item, chr(10) ORDER BY rank) || chr(10) || chr(10) || printf('_%d issue(s) analysed._', count(*)) AS report
 FROM items GROUP BY file"""
-    return with_f(body).replace("\n, ids AS", ",\nids AS")
+    return with_f(body, findings).replace("\n, ids AS", ",\nids AS")
+
+
+def order_report_everything_sql() -> str:
+    """All findings as those of one file."""
+    return f"SELECT n_ids, report FROM ({order_report_sql(f'SELECT * REPLACE (0 AS file) FROM ({corpus_findings()}) a')}) r"
+
+
+def relations_of_parts_sql() -> str:
+    return """WITH ids AS (SELECT DISTINCT 'P' || l_partkey AS id FROM lineitem),
+edges AS (
+  SELECT DISTINCT 'P' || l_partkey AS from_id, 'P' || ((l_partkey * 7 + l_suppkey) % 5000 + 1) AS to_id,
+    ['BLOCKS', 'RELATED_TO', 'CAUSED_BY'][CAST(l_suppkey % 3 AS INTEGER) + 1] AS rel_type FROM lineitem)
+SELECT from_id, to_id, rel_type FROM edges
+WHERE from_id IN (SELECT id FROM ids) AND to_id IN (SELECT id FROM ids)"""
 
 
 # ------------------------------------------------------------------ fixes
@@ -646,7 +666,7 @@ def _doc_findings_by_source() -> str:
 
 def gate_per_source_sql() -> str:
     return with_f("""SELECT d.source, CAST(coalesce(max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END), 0) AS INTEGER)
-  AS exit_code FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN f ON f.source = d.source GROUP BY d.source""",
+  AS exit_code FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN f ON f.source IS NOT DISTINCT FROM d.source GROUP BY d.source""",
                   findings=_doc_findings_by_source())
 
 

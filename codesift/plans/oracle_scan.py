@@ -146,13 +146,13 @@ def severity_sql_columns(iterations: str = "NULL") -> str:
     return adjusted, note
 
 
-def context_sql(source: str, text_col: str, id_cols, rules) -> str:
+def context_sql(source: str, text_col: str, id_cols, rules, iterations: str = "NULL") -> str:
     from ..operators import context as cx
 
     ids = ", ".join(id_cols)
     join = " AND ".join(f"f.{c} = src.{c}" for c in id_cols)
     rx = lambda pat, flags="": q(to_re2(pat, flags))
-    adjusted, note = severity_sql_columns()
+    adjusted, note = severity_sql_columns(iterations)
     return f"""WITH f AS ({scan_sql(source, text_col, id_cols, rules)}),
 src AS (SELECT {ids}, {safe_text_sql(text_col)} AS t FROM {source} AS s1),
 j AS (
