@@ -51,29 +51,31 @@ def free_name(columns: list[str], name: str) -> str:
 def apart(operator):
     """For operators on `docs` that pass its columns through: columns named like the operators' own stand aside meanwhile.
 
-    All names of the operators' own begin with `__`. Columns of `docs` that do so as well have other names while the
-    operator runs, and theirs again in its result; arguments that name them follow. A column that the operator adds
-    takes a free name if `docs` has one of its name. Without such columns nothing changes, the plan neither.
+    All names of the operators' own begin with `__`. Columns of `docs` that do so as well, and names with dots or back
+    quotes (which `mapInArrow` cannot pass), are others while the operator runs, and themselves again in its result;
+    arguments that name them follow. A column that the operator adds takes a free name if `docs` has one of its name.
+    Without such columns nothing changes, the plan neither.
     """
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
 
     @functools.wraps(operator)
     def run(docs: DataFrame, *args, **options) -> DataFrame:
         aside: dict[str, str] = {}
         for c in docs.columns:
-            if c.startswith("__"):
+            if c.startswith("__") or "." in c or "`" in c:
                 aside[c] = free_name([*docs.columns, *aside.values()], f"aside{len(aside)}")
         if not aside:
             return operator(docs, *args, **options)
         follow = lambda x: aside.get(x, x) if isinstance(x, str) else x
-        moved = docs.select(*(F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns))
+        moved = docs.select(*(quoted(c).alias(aside.get(c, c)) for c in docs.columns))
         out = operator(moved, *map(follow, args), **{k: follow(x) for k, x in options.items()})
         own, taken, columns = {v: k for k, v in aside.items()}, list(docs.columns), []
         for c in out.columns:
             if c not in moved.columns:
                 taken.append(free_name(taken, c))
-                columns.append(F.col(f"`{c}`").alias(taken[-1]))
+                columns.append(quoted(c).alias(taken[-1]))
             else:
-                columns.append(F.col(f"`{c}`").alias(own.get(c, c)))
+                columns.append(quoted(c).alias(own.get(c, c)))
         return out.select(*columns)
 
     return run

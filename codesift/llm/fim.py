@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from codesift.llm.common import SPACES, free_name
+from codesift.llm.common import SPACES, apart, free_name
 
 SEED = 42
 #: Of a hundred: texts that stay plain, and of the others those with the suffix first.
@@ -146,6 +146,7 @@ def restore(output: Column, form: Column, sentinels: tuple[str, str, str] = (PRE
     )
 
 
+@apart
 def transform(
     docs: DataFrame,
     text: str = "text",

@@ -10,7 +10,7 @@ from codesift.llm.common import apart
 #: Every name of the operators' own, and names that helpers may give.
 NAMES = [
     "__row", "__gone", "__lines", "__m", "__b", "__p", "__k", "__r", "__mix", "__n", "__id", "__text", "__in", "__tokens", "__ids", "__decoded",
-    "__score", "__at", "__w", "__bits", "aside0", "aside1", "id", "n", "comp", "cls", "seq", "k", "v", "text_1", "fim", "cuts", "found", "a.b",
+    "__score", "__at", "__w", "__bits", "aside0", "aside1", "id", "n", "comp", "cls", "seq", "k", "v", "text_1", "fim", "cuts", "found", "a.b", "c`d",
 ]
 ROWS = [
     (1, "one two three four five six\nsame line\nx", "s1", "en", 1), (2, "one two three four five six\nsame line\nx", "s2", "en", 1),
