@@ -23,7 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of many sources removed but in their first place; `n_chars` follows the text."""
-    cleaned = linededup.dedup_lines(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
+    cleaned = linededup.dedup_lines(docs)
+    cleaned = cleaned.select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
