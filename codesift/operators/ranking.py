@@ -13,21 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import stored
 
 
 def rank_in_groups(rows: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "rank") -> DataFrame:
     """`rows` with `name` (long, from 1): the row's number in its group, by `order`.
 
     Nulls are a group of their own and come first in an order. Rows that are equal in group and order are numbered in
-    some order. Without groups all rows are one. The sorted rows are checkpointed, so that numbers stay as they are.
+    some order. Without groups all rows are one. The sorted rows are written to the shared folder, so that numbers stay
+    as they are.
     """
     groups, keys = list(groups), [F.col(c) if isinstance(c, str) else c for c in order]
     by = [*(F.col(c) for c in groups), *keys]
     # the last key keeps many equal rows from going to one partition
     placed = rows.withColumn("_tie", F.monotonically_increasing_id())
     ranged = placed.repartitionByRange(*by, "_tie").sortWithinPartitions(*by, "_tie").drop("_tie")
-    held = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    held = stored(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
     counts = held.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*groups, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

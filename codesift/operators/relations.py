@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, stored
 from .ranking import rank_in_groups
 
 # ---------------------------------------------------------------------------
@@ -78,7 +78,7 @@ def scope_ids(findings: DataFrame, scope: Sequence[str], order_cols=("rule_seq",
     """Distinct ids per scope with their first-seen position (input order)."""
     key = F.struct(*[F.col(c) for c in order_cols])
     if not scope:  # one scope of everything: its distinct ids are ranked over sorted partitions
-        first = findings.groupBy("rule_id").agg(F.min(key).alias("_k"))
+        first = stored(findings.groupBy("rule_id").agg(F.min(key).alias("_k")))  # ranges are sampled: the scan runs once
         return rank_in_groups(first, [], ["_k", "rule_id"], "pos").select("rule_id", F.col("pos").cast("int").alias("pos"))
     return (findings.groupBy(*scope, "rule_id").agg(F.min(key).alias("_k"))
             # rule_id breaks ties (external ids share rule_seq) so retries rank the same way
@@ -93,7 +93,7 @@ def relationships_in_scope(ids: DataFrame, scope: Sequence[str], edge_df: DataFr
     With the shipped edges and a scope, the scope's id set rides along on each
     row (a window over the scope; at most the rule vocabulary), so `ids` is read
     once. Otherwise two joins: the edges of each id, then those whose other end
-    is an id of the scope too; `ids` is checkpointed for that.
+    is an id of the scope too; `ids` is written to the shared folder for that.
     """
     s = list(scope)
     if s and edge_df is None:
@@ -101,7 +101,7 @@ def relationships_in_scope(ids: DataFrame, scope: Sequence[str], edge_df: DataFr
                              F.collect_set("rule_id").over(Window.partitionBy(*s)).alias("_present"))
         out = withset.join(F.broadcast(edges(ids.sparkSession)), "from_id")
         return out.filter(F.array_contains("_present", F.col("to_id"))).drop("_present")
-    held = ids if materialized else materialize(ids.select(*s, "rule_id", "pos"))
+    held = ids if materialized else stored(ids.select(*s, "rule_id", "pos"))
     e = edge_df if edge_df is not None else F.broadcast(edges(ids.sparkSession))
     out = held.select(*s, F.col("rule_id").alias("from_id"), F.col("pos").alias("from_pos")).join(e, "from_id")
     return out.alias("a").join(held.alias("b"), _in_scope(s, "to_id"), "left_semi")
@@ -282,14 +282,14 @@ def _fix_order_table(ids: DataFrame, scope: Sequence[str], edge_df: DataFrame, m
     queue's order and is turned into ranks at the end. What never comes to 0
     lies on or behind a cycle: its scope keeps its input order. There is a round
     for each level, that is for each step of the longest path; every round's
-    tables are checkpointed.
+    tables are written to the shared folder.
     """
     s = list(scope)
-    ids = ids if materialized else materialize(ids.select(*s, "rule_id", "pos"))
+    ids = ids if materialized else stored(ids.select(*s, "rule_id", "pos"))
     out_of = ids.select(*s, F.col("rule_id").alias("before")).join(_ordering_edges(edge_df), "before")
-    inner = materialize(out_of.alias("a").join(ids.alias("b"), _in_scope(s, "after"), "left_semi"))
+    inner = stored(out_of.alias("a").join(ids.alias("b"), _in_scope(s, "after"), "left_semi"))
     blocked = inner.groupBy(*s, F.col("after").alias("rule_id")).agg(F.count(F.lit(1)).alias("left"))
-    base = materialize(ids.alias("a").join(blocked.alias("b"), _in_scope(s, "rule_id"), "left").select("a.*", "b.left"))
+    base = stored(ids.alias("a").join(blocked.alias("b"), _in_scope(s, "rule_id"), "left").select("a.*", "b.left"))
     at = F.col("pos").cast("long").alias("at")
     frontier = base.where("left IS NULL").select(*s, "rule_id", "pos", F.lit(0).alias("level"), at)
     waiting = base.where("left IS NOT NULL").select(*s, "rule_id", "pos", "left")
@@ -300,11 +300,11 @@ def _fix_order_table(ids: DataFrame, scope: Sequence[str], edge_df: DataFrame, m
         last = F.max(F.struct("b.at", "a.edge_idx")).alias("last")
         hits = done.groupBy(*(F.col(f"a.{c}") for c in s), F.col("a.after").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"), last)
         met = waiting.alias("a").join(hits.alias("b"), _in_scope(s, "rule_id"), "left")
-        lowered = materialize(met.select(*(F.col(f"a.{c}") for c in [*s, "rule_id", "pos"]),
+        lowered = stored(met.select(*(F.col(f"a.{c}") for c in [*s, "rule_id", "pos"]),
                                          (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), "last"))
         # what comes to 0 in this round has its last predecessor in this round's frontier
         ready = lowered.where("left = 0").repartitionByRange(*s, "last").sortWithinPartitions(*s, "last")
-        frontier = materialize(ready.select(*s, "rule_id", "pos", F.lit(level).alias("level"), F.monotonically_increasing_id().alias("at")))
+        frontier = stored(ready.select(*s, "rule_id", "pos", F.lit(level).alias("level"), F.monotonically_increasing_id().alias("at")))
         waiting = lowered.where("left > 0").drop("last")
         levels.append(frontier)
     rows = waiting.select(*s, "rule_id", "pos", F.lit(level).alias("level"), at)  # on or behind a cycle
@@ -329,7 +329,7 @@ def order_report_rows(ids: DataFrame, scope: Sequence[str], edge_rows=None) -> D
     """
     s = list(scope)
     table = edge_rows if isinstance(edge_rows, DataFrame) else edges(ids.sparkSession, edge_rows)
-    held = materialize(ids.select(*s, "rule_id", "pos"))
+    held = stored(ids.select(*s, "rule_id", "pos"))
     ordered = _fix_order_table(held, s, table, materialized=True)
     rels = relationships_in_scope(held, s, table, materialized=True)
     text = sentence(F.col("from_id"), F.col("to_id"), F.col("rel_type"), F.col("reason"))

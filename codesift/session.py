@@ -60,3 +60,16 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df):
+    """Cut lineage: write `df` as Parquet to the shared checkpoint folder and read it back.
+
+    For tables that are joined with themselves: a checkpointed frame carries statistics and constraints of the plan it
+    came from, which the optimizer cannot always rename for the second copy.
+    """
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
