@@ -19,22 +19,29 @@ def safe_text(text: Column) -> Column:
     return F.translate(text, MARK, SUBST)
 
 
-def match_skeleton(text: Column, java_pattern: str, java_skip: str | None = None) -> Column:
-    """Newlines and match marks of `text`, everything else dropped.
+def mark_matches(text: Column, java_pattern: str, java_skip: str | None = None) -> Column:
+    """`text` with a mark before each match.
 
     One linear pass of the rule's regex (a real find loop: matches are
-    non-overlapping, left to right, over the whole text), then one pass that
-    keeps only newline and mark characters. Runs of `java_skip` are stepped
-    over: they get an empty pair of marks, which goes before the last pass.
+    non-overlapping, left to right, over the whole text). Runs of `java_skip`
+    are stepped over: they get an empty pair of marks, which is taken out.
     """
     if java_skip is None:
-        marked = F.regexp_replace(text, F.lit(java_pattern), F.lit(MARK + "$0"))
-    else:
-        either = F.regexp_replace(text, F.lit(f"({java_pattern})|({java_skip})"), F.lit(f"{MARK}$1{STEPPED}$2"))
-        marked = F.replace(either, F.lit(MARK + STEPPED), F.lit(""))
+        return F.regexp_replace(text, F.lit(java_pattern), F.lit(MARK + "$0"))
+    either = F.regexp_replace(text, F.lit(f"({java_pattern})|({java_skip})"), F.lit(f"{MARK}$1{STEPPED}$2"))
+    return F.replace(either, F.lit(MARK + STEPPED), F.lit(""))
+
+
+def strip_to_skeleton(marked: Column) -> Column:
+    """Newlines and match marks of a marked text, everything else dropped."""
     return F.regexp_replace(marked, F.lit(f"[^\n{MARK}]+"), F.lit(""))
 
 
+def match_skeleton(text: Column, java_pattern: str, java_skip: str | None = None) -> Column:
+    """Newlines and match marks of `text`."""
+    return strip_to_skeleton(mark_matches(text, java_pattern, java_skip))
+
+
 LINE_BITS = 32
 
 

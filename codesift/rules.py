@@ -125,11 +125,12 @@ QUALITY_RULES = [
        "open TODO/FIXME/HACK marker", needles=("//",)),
     _r("MAGIC_NUMBER", "Quality", "quality", "low",
        r"""(?<![.\w])(?<!\.)\b(?!(?:0|1|2|-1)\b)\d{2,}\b(?!\s*[,\]\)]?\s*(?:ms|px|vh|vw|em|rem|%|s\b))""", "",
-       "unnamed numeric literal"),
+       "unnamed numeric literal",
+       safe=r"""(?=\d\d)(?<![.\w])(?<!\.)\b(?!(?:0|1|2|-1)\b)\d{2,}\b(?!\s*[,\]\)]?\s*(?:ms|px|vh|vw|em|rem|%|s\b))"""),
     _r("TOO_MANY_PARAMS", "Quality", "quality", "medium",
        r"""(?:function\s+\w+|(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?\()\s*[^)]*,\s*[^)]*,\s*[^)]*,\s*[^)]*,\s*[^)]*[^)]*\)""", "",
        "five or more parameters",
-       safe=r"""(?:function\s+\w+|(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?\()(?:[^,)]*+,){4}[^)]*+\)""",
+       safe=r"""(?=[fclv])(?:function\s+\w+|(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?\()(?:[^,)]*+,){4}[^)]*+\)""",
        needles=("function", "const", "let", "var")),
     _r("DEEP_NESTING", "Quality", "quality", "medium",
        r"""^(?:\t| {2}){4,}(?:if|for|while|switch)\s*\(""", "m",
@@ -138,7 +139,8 @@ QUALITY_RULES = [
        needles=(("\t", " " * 8), ("if", "for", "while", "switch"))),
     _r("POOR_NAMING", "Quality", "quality", "low",
        r"""\b(?:let|const|var)\s+([a-z])\s*[=:]""", "",
-       "one-letter variable name", needles=(("let", "const", "var"),)),
+       "one-letter variable name", safe=r"""(?=[lcv])\b(?:let|const|var)\s+([a-z])\s*[=:]""",
+       needles=(("let", "const", "var"),)),
     _r("LONG_FUNCTION", "Quality", "quality", "medium",
        r"""(?:function\s+\w+|=>\s*)\{(?:[^{}]|\{[^{}]*\}){500,}""", "",
        "function body is very long",

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from codesift.operators import fixes as fx
-from codesift.rules import ALL_RULES
+from codesift.operators.context import scan_in_context
+from codesift.operators.scan import scan
+from codesift.rules import ALL_RULES, RULES_BY_ID
 
 from conftest import code_df
 
@@ -22,3 +24,19 @@ def test_fix_planning_scans_exactly_the_rules_with_a_fix(spark):
     only = [r for r in ALL_RULES if r.rule_id == "EVAL_USAGE"]
     assert fx.plan_fixes(df, rules=only).count() == 0
     assert [r.code_fixed for r in fx.fixed_texts(df, rules=only).orderBy("file").collect()] == [r.code for r in df.collect()]
+
+
+def test_one_marking_pass_without_a_search_before_it(spark):
+    df = code_df(spark, "eval(a);\neval(b); eval(c);", "evaluate(x)", None)
+    found = scan(df, rules=[RULES_BY_ID["EVAL_USAGE"]])
+    assert "RLIKE" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.file, r.line) for r in found.collect()) == [(1, 1), (1, 2)]
+
+
+def test_context_is_tested_once_a_text_and_cut_to_the_window(spark):
+    far = "\n" * 12
+    near, away = "test(\n'x');\neval(a);", f"for (;;) retry(); catch (e) test\n('x');{far}eval(a);"
+    ctx = scan_in_context(code_df(spark, near, away, "eval(a);"), rules=[RULES_BY_ID["EVAL_USAGE"]])
+    assert "_test_call" in ctx._jdf.queryExecution().analyzed().toString()
+    flags = {r.file: (r.in_test, r.in_loop, r.loop_bounded, r.has_fallback, r.has_retry) for r in ctx.collect()}
+    assert flags == {1: (True,) + (False,) * 4, 2: (False,) * 5, 3: (False,) * 5}
