@@ -173,12 +173,17 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = SPACES) -> tup
 
 def slices(texts: list[str | None], most_bytes: int = 1_000_000):
     """Index ranges of `texts` of a bounded size each (a longer text stands alone)."""
+    return ranges([0 if t is None else len(t) for t in texts], most_bytes)
+
+
+def ranges(sizes: list[int | None], most: int = 1_000_000):
+    """Index ranges whose `sizes` (null: 0) add up to at most `most` each (a larger one stands alone)."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if size and size + n > most_bytes:
+    for i, n in enumerate(sizes):
+        n = n or 0
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

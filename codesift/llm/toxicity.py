@@ -11,8 +11,9 @@ length-normalised difference and by how its strongest words stand out (`FEATURES
 them into a score; it is fitted on a sample of at most about `CALIBRATION` labelled rows, each scored without its own
 counts. The counts themselves cover every labelled row.
 
-The model's size is fixed: gram counts are folded into tables of `BUCKETS` cells by a hash, so a broadcast is some 80 MB
-whatever the corpus holds; two grams that share a cell share their counts.
+The model's size is fixed: gram counts are folded into tables of `BUCKETS` cells by a hash, so a broadcast is some 50 MB
+whatever the corpus holds; two grams that share a cell share their counts. Every Python worker of an executor holds a
+copy, and what it needs beside it is bounded by `GRAMS_AT_ONCE`.
 
 Defined cases: null and empty texts, and texts without words, are scored from the empty features (near the share of
 toxic rows); words with digits (numbers, keys) carry no evidence; labels other than 0 and 1 and labels without key
@@ -25,14 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from codesift.llm.common import _LOWER, NOT_ALNUM, apart, maybe_in, mix64, slices, stored, word_hashes, word_spans
+from codesift.llm.common import _LOWER, NOT_ALNUM, apart, maybe_in, mix64, ranges, slices, stored, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 CALIBRATION = 10_000
+#: Grams that are scored at a time: some 20 arrays of 8 bytes each.
+GRAMS_AT_ONCE = 100_000
 THRESHOLD = 0.3
 DISCOUNT = 0.75
 FEATURES = ("mean", "best", "second", "top five", "share over 3", "log words")
@@ -157,6 +161,12 @@ def count_tables(labelled: DataFrame) -> np.ndarray:
     return tables
 
 
+def handed_out(tables: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """The columns of the tables that hold anything, by table and class: what the workers get."""
+    columns = ((t, c) for t in range(len(tables)) for c in ((0, 1) if t in (TOP, CTX, TYP) else (0,)))
+    return {(t, c): tables[t, c, :256] if t == BYTE else tables[t, c] for t, c in columns}
+
+
 def shared_backoff(tables: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Probability of each gram's last byte by the endings that both classes share."""
     byte = tables[BYTE, 0]
@@ -174,7 +184,7 @@ def shared_backoff(tables: np.ndarray, grams: np.ndarray) -> np.ndarray:
 def evidence(tables: np.ndarray, words: Words, own: np.ndarray | None = None) -> np.ndarray:
     """Log-likelihood difference of each distinct word; `own` (class, word) counts are taken off the tables' first."""
     out = np.zeros(len(words))
-    for start, stop, grams, word in words.parts():
+    for start, stop, grams, word in words.parts(GRAMS_AT_ONCE):
         backoff = shared_backoff(tables, grams)
         top, ctx = cell(grams, TOP), cell(grams >> 8, CTX)
         logs = []
@@ -238,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     # The curve's sample: a seeded part of the labelled keys, at most about CALIBRATION of them, so it is broadcast.
     part = min(1.0, CALIBRATION / max(1, taught.count()))
     sample = taught.where(F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    handed = docs.sparkSession.sparkContext.broadcast(tables)
+    handed = docs.sparkSession.sparkContext.broadcast(handed_out(tables))
 
     def alone(batches):
         for batch in batches:
@@ -264,21 +274,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
 def with_score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """`docs` with `__score`, between 0 and 1, for every row."""
     handed, curve = model
+    at = docs.columns.index(text) if text in docs.columns else [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            found = [np.empty(0)]
-            for a, b in slices(texts):
-                words = Words(texts[a:b])
+            column, found = batch.column(at), [np.empty(0)]
+            for a, b in ranges(pc.binary_length(column).to_pylist()):
+                words = Words(column.slice(a, b - a).to_pylist())
                 x = features(words, evidence(handed.value, words))
                 found.append(1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -500, 500))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.concatenate(found))], [*batch.schema.names[:-1], "__score"]
+                [*batch.columns, pa.array(np.concatenate(found))], [*batch.schema.names, "__score"]
             )
 
     schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    return docs.withColumn("__in", F.col(text)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:

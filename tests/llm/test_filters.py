@@ -1,6 +1,7 @@
 """Toxicity, secret scans and line dedup."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -92,6 +93,21 @@ def test_counts_against_plain_python(judged):
         assert tables[toxicity.TOP, c, toxicity.cell(np.array([gram]), toxicity.TOP)[0]] >= n
 
 
+def test_workers_get_little_and_need_little():
+    """What is handed to every worker holds no empty columns, and scoring a full slice takes a bounded room beside it."""
+    rng = np.random.default_rng(1)
+    tables = rng.integers(0, 50, (10, 2, toxicity.BUCKETS)).astype(np.float32)
+    handed = toxicity.handed_out(tables)
+    assert sum(a.nbytes for a in handed.values()) < 52e6 < tables.nbytes
+    words = Words(["".join(rng.choice(list("abcdefgh     "), 900_000))])
+    tracemalloc.start()
+    value = toxicity.evidence(handed, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(value, toxicity.evidence(tables, words)) and np.abs(value).max() > 0
+    assert peak < 40e6
+
+
 def test_word_grams_are_padded():
     words = Words(["Ab ab, cde"])
     grams, which = word_grams(words.data, words.first, words.last)
