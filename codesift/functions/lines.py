@@ -42,6 +42,19 @@ def match_skeleton(text: Column, java_pattern: str, java_skip: str | None = None
     return strip_to_skeleton(mark_matches(text, java_pattern, java_skip))
 
 
+def line_skeleton(marked: Column) -> Column:
+    """The skeleton of a text with marks, at least up to its last mark; one mark (the common case) needs no regex."""
+    head = F.substring_index(marked, MARK, 1)
+    one = F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit(MARK), F.lit(""))) == 1
+    breaks = F.octet_length(head) - F.octet_length(F.replace(head, F.lit("\n"), F.lit("")))
+    return F.when(one, F.concat(F.repeat(F.lit("\n"), breaks), F.lit(MARK))).otherwise(strip_to_skeleton(marked))
+
+
+def once(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 LINE_BITS = 32
 
 
@@ -56,11 +69,11 @@ def skeleton_codes_sql(column: str, tag: int) -> str:
     hundreds of calls into the JVM for each.
     """
     off, mark = tag << LINE_BITS, "chr(1)"
-    n_marks = f"(length({column}) - length(replace({column}, {mark}, '')))"
-    one = f"array(CAST(length(substring_index({column}, {mark}, 1)) + {off + 1}L AS BIGINT))"
+    n_marks = f"(octet_length({column}) - octet_length(replace({column}, {mark}, '')))"
+    one = f"array(CAST(octet_length(substring_index({column}, {mark}, 1)) + {off + 1}L AS BIGINT))"
     many = (f"array_distinct(transform(sequence(1, {n_marks}), k -> "
             f"CAST(length(substring_index({column}, {mark}, k)) - k + {off + 2}L AS BIGINT)))")
-    return (f"CASE WHEN {column} IS NULL OR {n_marks} = 0 THEN CAST(array() AS ARRAY<BIGINT>) "
+    return (f"CASE WHEN {column} IS NULL OR {column} = '' OR {n_marks} = 0 THEN CAST(array() AS ARRAY<BIGINT>) "
             f"WHEN {n_marks} = 1 THEN {one} ELSE {many} END")
 
 
