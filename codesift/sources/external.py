@@ -28,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lines import once
 from ..operators.severity import normalise
 from ..session import materialize, read_table
 
@@ -52,7 +53,7 @@ def one_value(json_col: str | Column) -> Column:
     text = F.col(json_col) if isinstance(json_col, str) else json_col
     whole = F.try_parse_json(F.concat(F.lit(f'{{"{_HELD}":'), text, F.lit(f',"{_END}":0}}')))
     fields = F.try_variant_get(whole, "$", "map<string,variant>")
-    return F.when((F.size(fields) == 2) & F.map_contains_key(fields, _END), F.try_element_at(fields, F.lit(_HELD)))
+    return once(fields, lambda f: F.when((F.size(f) == 2) & F.map_contains_key(f, _END), F.try_element_at(f, F.lit(_HELD))))
 
 
 def _none(v: Column) -> Column:
@@ -67,10 +68,15 @@ def _text_or_none(item: Column, path: str) -> Column:
 
 def results(value: Column, paths: dict[str, str]) -> Column:
     """The items of a result as array<variant>: empty if it has none, null if the value is no usable result."""
-    found = F.try_variant_get(value, "$.results", "variant")
-    items = F.try_variant_get(value, "$.results", "array<variant>")
-    good = F.forall(items, lambda i: ~_none(i) & _text_or_none(i, paths["rule"]) & _text_or_none(i, paths["severity"]))
-    return F.when(~_none(value), F.when(_none(found), F.array().cast("array<variant>")).otherwise(F.when(good, items)))
+    def items_of(v):
+        found = F.try_variant_get(v, "$.results", "variant")
+        good = lambda items: F.when(
+            F.forall(items, lambda i: ~_none(i) & _text_or_none(i, paths["rule"]) & _text_or_none(i, paths["severity"])), items)
+        told = F.when(_none(found), F.array().cast("array<variant>")).otherwise(
+            once(F.try_variant_get(v, "$.results", "array<variant>"), good))
+        return F.when(~_none(v), told)
+
+    return once(value, items_of)
 
 
 def _as_findings(rows: DataFrame, id_cols, rule, message, severity, line) -> DataFrame:
