@@ -20,7 +20,7 @@ from __future__ import annotations
 # Java's \s is exactly JavaScript's ASCII blanks; the Unicode ones are added.
 _JS_SPACE_JAVA = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _JS_SPACE_RE2 = r"\t\n\v\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-_JS_EOL_JAVA = r"\n\r\u2028\u2029"
+_JS_EOL_JAVA = r"\n\r\u2028-\u2029"  # as a range: single characters beyond Latin-1 make a slow class
 _JS_EOL_RE2 = r"\n\r\x{2028}\x{2029}"
 
 _ASCII_BOUNDARY_JAVA = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # Java's \w is ASCII
@@ -172,7 +172,9 @@ def _translate(src: str, flags: str, target: str) -> str:
         elif c == "^" and multiline:
             if target != "java":
                 raise ValueError("multiline ^ has no RE2 form; write the rule's oracle by hand")
-            out.append(f"(?<![^{eol}])")
+            # Java's own line starts, less the one after U+0085; Java has none at the text's end and between \r and \n,
+            # where no rule matches either: each begins with a character of its line.
+            out.append(r"(?m:^)(?<!\u0085)")
         else:
             out.append(c)
         i += 1

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dialect import java_pattern, java_skip
-from ..functions.lines import MARK, decode_line, decode_rule, mark_matches, safe_text, skeleton_codes_sql, strip_to_skeleton
+from ..functions.lines import MARK, decode_line, decode_rule, line_skeleton, mark_matches, safe_text, skeleton_codes_sql
 from ..rules import ALL_RULES, SEVERITY_RANK, Rule, rules_for
 
 RULE_SEQ = {r.rule_id: i for i, r in enumerate(ALL_RULES)}
@@ -101,7 +101,7 @@ def with_hits(df: DataFrame, text_col: str, id_cols: Sequence[str], rules: Seque
         marks = mark_matches(text, pat, skip)
         marked.append((marks if test is None else F.when(test, marks).otherwise(F.lit(""))).alias(f"_m{j}"))
         m = F.col(f"_m{j}")
-        skels.append(F.when(m.contains(MARK), strip_to_skeleton(m)).otherwise(F.lit("")).alias(f"_s{j}"))
+        skels.append(F.when(m.contains(MARK), line_skeleton(m)).otherwise(F.lit("")).alias(f"_s{j}"))
     step = base.select(*cols, TEXT, *marked).select(*cols, TEXT, *skels)
     per_rule = ", ".join(skeleton_codes_sql(f"_s{j}", j) for j in range(len(rules)))
     return step.select(*cols, TEXT, F.expr(f"flatten(array({per_rule}))").alias(HITS))

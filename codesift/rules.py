@@ -64,24 +64,24 @@ SECURITY_RULES = [
        "innerHTML is assigned; user data here becomes markup", needles=(".innerHTML",)),
     _r("WEAK_CRYPTO", "Security", "vulnerability", "medium",
        r"""createHash\s*\(\s*['"](?:md5|sha1|sha-1)['"]\s*\)|\bmd5\s*\(""", "i",
-       "MD5/SHA-1 are broken hashes; use SHA-256 or stronger", needles=("createhash", "md5")),
+       "MD5/SHA-1 are broken hashes; use SHA-256 or stronger", needles=(("createhash", "md5"), ("md5", "sha1", "sha-1"))),
     _r("COMMAND_INJECTION", "Security", "vulnerability", "critical",
        r"""\b(?:exec|execSync|spawn|spawnSync)\s*\(\s*`[^`]*\$\{""", "",
-       "shell command built from an interpolated template", needles=("exec", "spawn")),
+       "shell command built from an interpolated template", needles=(("exec", "spawn"), ("`",), ("${",))),
     _r("INSECURE_RANDOM", "Security", "vulnerability", "medium",
        r"""\bMath\.random\s*\(\s*\)""", "",
        "Math.random() is predictable; use a crypto RNG for secrets", needles=("Math.random",)),
     _r("PATH_TRAVERSAL", "Security", "vulnerability", "high",
        r"""(?:readFile|writeFile|createReadStream|readFileSync)\s*\([^)]*(?:req\.|params\.|query\.|body\.)""", "i",
        "file path comes from request data", skip=r"""(?:readFile|writeFile|createReadStream|readFileSync)\s*+\([^)]*+""",
-       needles=("readfile", "writefile", "createreadstream")),
+       needles=(("readfile", "writefile", "createreadstream"), ("req.", "params.", "query.", "body."))),
     _r("JWT_INSECURE", "Security", "vulnerability", "critical",
        r"""\bjwt\.decode\s*\(""", "",
        "jwt.decode() does not check the signature; use jwt.verify()", needles=("jwt.decode",)),
     _r("NOSQL_INJECTION", "Security", "vulnerability", "high",
        r"""(?:findOne|find|updateOne|deleteOne)\s*\(\s*\{[^}]*(?:req\.body|req\.params|req\.query)""", "i",
        "query object takes request fields unchecked", skip=r"""(?:findOne|find|updateOne|deleteOne)\s*+\(\s*+\{[^}]*+""",
-       needles=("req.",)),
+       needles=(("req.",), ("find", "updateone", "deleteone"))),
     _r("DEBUG_ENABLED", "Security", "vulnerability", "medium",
        r"""(?:debug|DEBUG)\s*[:=]\s*true(?!\s*&&|\s*\|\|)""", "",
        "debug flag is hard-wired on", needles=("debug", "DEBUG")),
@@ -90,7 +90,7 @@ SECURITY_RULES = [
        "Object.assign() copies request data into an object", needles=("Object.assign",)),
     _r("SSRF", "Security", "vulnerability", "critical",
        r"""\bfetch\s*\(\s*req\.|axios\.(?:get|post|put|delete)\s*\(\s*req\.""", "",
-       "outgoing request URL comes from the caller", needles=("req.",)),
+       "outgoing request URL comes from the caller", needles=(("req.",), ("fetch", "axios."))),
     _r("CORS_ALL_ORIGINS", "Security", "vulnerability", "high",
        r"""cors\s*\(\s*\{[^}]*origin\s*:\s*['"`]\*['"`]""", "",
        "CORS allows every origin", skip=r"""cors\s*+\(\s*+\{[^}]*+""",
@@ -105,7 +105,7 @@ SECURITY_RULES = [
     _r("SENSITIVE_DATA_LOG", "Security", "vulnerability", "high",
        r"""console\.\w+\s*\([^)]*(?:password|passwd|secret|token|apiKey|api_key)[^)]*\)""", "i",
        "a credential is written to the log", skip=r"""console\.\w++\s*+\([^)]*+""",
-       needles=("console.",)),
+       needles=(("console.",), ("password", "passwd", "secret", "token", "apikey", "api_key"))),
     _r("DANGEROUS_HTML", "Security", "vulnerability", "high",
        r"""dangerouslySetInnerHTML\s*=\s*\{\s*\{\s*__html\s*:\s*(?!.*DOMPurify)""", "",
        "dangerouslySetInnerHTML without sanitising", needles=("dangerouslySetInnerHTML",)),
@@ -154,7 +154,8 @@ DEVOPS_RULES = [
        "IP address written into a string", needles=((".",), ("'", '"', "`"))),
     _r("UNHANDLED_PROMISE", "DevOps", "devops", "high",
        r"""^(?!.*\.catch\b).*\.then\s*\(""", "m",
-       ".then() on a line with no .catch()", needles=(".then",)),
+       ".then() on a line with no .catch()", safe=r"""^(?=.*?\.then)(?!.*\.catch\b).*\.then\s*\(""",
+       needles=(".then",)),
     _r("PROCESS_EXIT", "DevOps", "devops", "medium",
        r"""\bprocess\.exit\s*\(""", "",
        "process.exit() ends the service abruptly", needles=("process.exit",)),
@@ -165,7 +166,7 @@ DEVOPS_RULES = [
        r"""\bawait\s+fetch\s*\(\s*[^,)]+\s*\)(?!\s*\/\*[^*]*timeout)""", "",
        "fetch() without a timeout", safe=r"""\bawait\s++fetch\s*+\([^,)]++\)(?!\s*+\/\*[^*]*timeout)""",
        skip=r"""\bawait\s++fetch\s*+\([^,)]*+""",
-       needles=("fetch",)),
+       needles=(("fetch",), ("await",))),
     _r("NO_INPUT_VALIDATION", "DevOps", "devops", "high",
        r"""\breq\.(?:body|params|query)\b""", "",
        "request input used without a schema check", needles=("req.",)),
@@ -187,7 +188,7 @@ SCALABILITY_RULES = [
        "SELECT * without LIMIT", needles=(("select",), ("from",))),
     _r("NESTED_LOOP", "Scalability", "scalability", "medium",
        r"""\.forEach\([^{]*\{[^}]*?\.forEach\(""", "",
-       "forEach nested in forEach", needles=(".forEach(",)),
+       "forEach nested in forEach", safe=r"""\.forEach\([^{]*+\{[^}]*?\.forEach\(""", needles=(".forEach(",)),
     _r("STRING_CONCAT_LOOP", "Scalability", "scalability", "medium",
        r"""\bfor\b[^{]*\{[^}]*\+=\s*['"`][^'"`]*['"`]|\bfor\b[^{]*\{[^}]*\+=\s*\w+""", "",
        "string built with += in a loop", safe=r"""\bfor\b[^{]*+\{[^}]*\+=\s*+['"`][^'"`]*+['"`]|\bfor\b[^{]*+\{[^}]*\+=\s*+\w+""",
@@ -217,7 +218,7 @@ SECRET_RULES = [
        "hardcoded secret", needles=("PRIVATE KEY",)),
     _r("DB_URL", "Security", "secret", "critical",
        r"""\b[a-z][a-z0-9+.-]*:\/\/[^\s:\/@'"`]+:[^\s@'"`]+@[^\s'"`]+""", "i",
-       "hardcoded secret", needles=("://",)),
+       "hardcoded secret", needles=(("://",), ("@",))),
     _r("PASSWORD", "Security", "secret", "critical",
        r"""\b(?:password|passwd|pwd|passphrase)\s*[:=]\s*['"`][^'"`\s]{4,}['"`]""", "i",
        "hardcoded secret", needles=("pass", "pwd")),

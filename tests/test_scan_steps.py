@@ -1,7 +1,11 @@
 """The scan reads a text no more often than its rules need, with the same findings."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from codesift.functions.dialect import java_pattern
 from codesift.operators import fixes as fx
 from codesift.operators.context import scan_in_context
 from codesift.operators.scan import scan
@@ -40,3 +44,25 @@ def test_context_is_tested_once_a_text_and_cut_to_the_window(spark):
     assert "_test_call" in ctx._jdf.queryExecution().analyzed().toString()
     flags = {r.file: (r.in_test, r.in_loop, r.loop_bounded, r.has_fallback, r.has_retry) for r in ctx.collect()}
     assert flags == {1: (True,) + (False,) * 4, 2: (False,) * 5, 3: (False,) * 5}
+
+
+def test_line_starts_and_line_skeletons_as_in_javascript(spark):
+    """`^` and `.` of the translated rules against their JavaScript meaning, and the short way to a skeleton."""
+    rng = random.Random(7)
+    parts = [".then", ".catch", "(", " ", "x", "\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029", "        if (", "\t" * 5]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
+    ends, blank = r"\n\r\u2028\u2029", r"[ \t\n\r\u2028\u2029]"
+    plain = {
+        "UNHANDLED_PROMISE": rf"(?<![^{ends}])(?![^{ends}]*\.catch(?![A-Za-z0-9_]))[^{ends}]*\.then{blank}*\(",
+        "DEEP_NESTING": rf"(?<![^{ends}])(?:\t| {{2}}){{4,}}(?:if|for|while|switch){blank}*\(",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file long, code string")
+    for rule_id, pattern in plain.items():
+        found = {(r.file, r.line) for r in scan(df, rules=[RULES_BY_ID[rule_id]]).collect()}
+        want = {(i, t.count("\n", 0, m.start()) + 1) for i, t in enumerate(texts) for m in re.finditer(pattern, t)}
+        assert found == want and len(want) > 50
+
+
+def test_line_ends_are_a_range():
+    """Single characters beyond Latin-1 make a class many times slower than a range of them."""
+    assert "\\u2028\\u2029" not in java_pattern(RULES_BY_ID["UNHANDLED_PROMISE"]).split("then")[0]
