@@ -142,7 +142,7 @@ def test_edits_are_made_once(spark):
     """The optimizer does not make every edit a second time to see whether there are any."""
     texts = spark.createDataFrame([(1, "a(b)")], "file long, code string")
     fixes = spark.createDataFrame([(1, "f", "REPLACE", 1, "(", "literal", "[$&")], "file long, fix_id string, fix_type string, line int, find string, find_kind string, replace string")
-    statuses = apply_fixes(texts, fixes).statuses
+    statuses = ft.apply_fixes(texts, fixes).statuses
     assert [r.status for r in statuses.collect()] == ["applied"]
     plan = statuses._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
