@@ -13,13 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, stored
 from . import reports as rp
 from .knowledge import with_explanation
-from .ranking import rank_in_groups
 
 FORMATS = ("text", "markdown", "json", "domain", "listing")
 
@@ -143,11 +142,20 @@ def write_report(findings: DataFrame, path: str, fmt: str = "text", file_cols: S
 
 
 def merged(spark: SparkSession, path: str) -> DataFrame:
-    """(n, text): the lines of a written report, numbered from 1."""
+    """(n, text): the lines of a written report, numbered from 1.
+
+    The files' order is the report's, so no line is moved: a line's number is its place in its split of a file plus the
+    lines of the splits before. The table of splits has one row for each and is broadcast.
+    """
     read = spark.read.text(path).select(
         F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_i"), F.col("value").alias("text"))
-    return rank_in_groups(materialize(read), [], ["_f", "_b", "_i"], "n").select("n", "text")
+    held = stored(read, "zstd")  # keeps a line's place
+    splits = held.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    earlier = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.col("_i") - F.col("_first") + F.col("_before") + 1
+    return held.join(F.broadcast(starts), ["_f", "_b"]).select(number.alias("n"), "text")
 
 
 def written(spark: SparkSession, findings: DataFrame, fmt: str) -> DataFrame:

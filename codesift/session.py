@@ -62,7 +62,7 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def stored(df):
+def stored(df, compression="snappy"):
     """Cut lineage: write `df` as Parquet to the shared checkpoint folder and read it back.
 
     For tables that are joined with themselves: a checkpointed frame carries statistics and constraints of the plan it
@@ -71,5 +71,5 @@ def stored(df):
     import uuid
 
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

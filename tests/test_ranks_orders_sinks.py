@@ -231,3 +231,20 @@ def test_gains_in_sheets(spark, monkeypatch):
     rows = [(i, r, "low", "m", 1, "Scalability") for i, r in enumerate(["N_PLUS_ONE", "SEQUENTIAL_ASYNC", "TODO_FIXME"])]
     got = [r.sheet for r in knowledge.issue_sheet(spark.createDataFrame(rows, "file int, rule_id string, severity string, message string, line int, domain string")).orderBy("file").collect()]
     assert "Performance gain: ~0.45ms" in got[0] and "Performance gain: ~200ms" in got[1] and "gain" not in got[2] and "Related" not in got[2]
+
+
+def test_reading_a_report_back_moves_no_lines(spark, findings, scratch):
+    sinks.write_report(findings.repartition(5), f"{scratch}/d", "domain")
+    lines = [x for f in sorted(os.listdir(f"{scratch}/d")) if f.endswith(".txt")
+             for x in open(f"{scratch}/d/{f}", encoding="utf-8").read().split("\n")[:-1]]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")  # files are cut in the middle of their lines
+    try:
+        back = sinks.merged(spark, f"{scratch}/d")
+        got = back.orderBy("n").collect()
+        plan = back._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.n, r.text) for r in got] == list(enumerate(lines, 1))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
