@@ -32,13 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write `df` as Parquet to the shared folder and read it back.
 
     A lost executor costs one re-read. The files stay until the folder is cleared.
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,10 @@ ends. An element is chrome by its tag, its role, or a class or id that names chr
 name only holds such a word among others (`header-fixed`), and for `form`, the words decide: if the element holds more
 than half of the words of the page's article (or of its body), it is a wrapper and stays, and an `article` or `main`
 inside of it begins anew. On elements of running text only a whole name counts (`ad`, not `share-price`). Words of
-`button` and `label` stay if other text stands in their block. Of a page that has an article with text, only the article is kept,
-and repetition takes nothing from it: copies of an article on one host repeat too, and their text is main text on every
+`button` and `label` stay if other text stands in their block. Of a page that has an article with text, only the article is kept.
+The suffix array finds what the host's template put into it (a notice without a name, a signature): blocks whose runs
+stand in more than half of the host's different articles, and in `PAGES` or more. Less repetition takes nothing from
+an article, nor does one of half of its words or more: copies of an article repeat too, and their text is main text on every
 one of them. On the other pages repetition on the host decides, and only whole blocks go: the words of a group of
 pages outside of articles are concatenated to one token stream, each page ended by a mark of its own, and its suffix
 array, by prefix doubling, gives the distinct runs of `LONG` words and the distinct pages of the group that each
@@ -18,8 +20,11 @@ blocks with that many. The counts are added up over the host's groups by a 64-bi
 belongs to a run of whole blocks, or is covered by runs of `LONG` words, that stand on `PAGES` pages of the host or
 more. Pages with the same visible text are one page.
 
+A run in more than half of a host's articles is in more than half of those of one group at least, so each group's
+suffix array names its runs of that kind, and these few are counted over the host.
+
 The pages of a large host are dealt into groups of about `GROUP` pages, so no task holds a host; how they are dealt
-does not change the result. Hosts whose pages all have an article are not compared. Pages without article that are
+does not change the result. Pages without article that are
 alike but not equal (a copy with another date) count as several, so what they share goes.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own; html without tags is one block;
@@ -32,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -361,9 +367,34 @@ def cut(body: list[str], wide: np.ndarray) -> str:
     return "\n".join(text for j, text in enumerate(body) if j not in gone)
 
 
+def usual_runs(articles: list[str]) -> np.ndarray:
+    """The runs that stand in more than half of these different articles."""
+    runs, n = count_runs([text.split("\n") for text in articles])
+    return runs[2 * n > len(articles)]
+
+
+def held_runs(article: str, runs: np.ndarray) -> np.ndarray:
+    """Which of `runs` an article has."""
+    body = article.split("\n")
+    stream = Stream([body])
+    own = [np.array([h for h, _, _ in block_runs(body)], np.int64), stream.runs(LONG)[: max(len(stream.hashes) - LONG + 1, 0)]]
+    return np.intersect1d(np.concatenate(own), runs)
+
+
+def trim(article: str, template: np.ndarray) -> str:
+    """An article less the blocks that runs of the host's template cover, if they are less than half of its words."""
+    left = cut(article.split("\n"), template)
+    return left if 2 * len(left.split()) > len(article.split()) else article
+
+
 def main_texts(pages: list[str | None]) -> list[str]:
     """The main texts of all pages of one host."""
     parts = [page_parts(p) for p in pages]
+    articles = list({text for _, text, _ in parts if text})
+    if len(articles) >= PAGES:
+        runs, n = count_runs([text.split("\n") for text in articles])
+        template = runs[(n >= PAGES) & (2 * n > len(articles))]
+        parts = [(sig, text and trim(text, template), body) for sig, text, body in parts]
     if all(text is not None for _, text, _ in parts):
         return [text for _, text, _ in parts]
     runs, n = count_runs(list({sig: body for sig, _, body in parts}.values()))
@@ -397,13 +428,73 @@ def _cut(pdf: pd.DataFrame, wide: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": pdf["host"], "sig": pdf["sig"], "cut": [cut(list(b), runs) for b in pdf["body"]]})
 
 
+def _once(batches):
+    """Of equal articles of a host one a task, packed for the shuffle."""
+    seen = set()
+    for batch in batches:
+        host, part, art, text = (c.to_pylist() for c in batch.columns)
+        new = [i for i, key in enumerate(zip(host, art)) if key not in seen and not seen.add(key)]
+        packed = [zlib.compress(text[i].encode("utf-8", "surrogatepass"), 6) for i in new]
+        kept = [pa.array([c[i] for i in new], t) for c, t in ((host, pa.string()), (part, pa.int32()), (art, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], ["host", "part", "art", "packed"])
+
+
+def _usual(pdf: pd.DataFrame) -> pd.DataFrame:
+    articles = [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in pdf.drop_duplicates("art")["packed"]]
+    return pd.DataFrame({"host": pdf["host"].iloc[0], "run": usual_runs(articles)})
+
+
+def _held(batches):
+    seen = set()
+    for batch in batches:
+        host, art, text = (c.to_pylist() for c in batch.columns[:3])
+        out = []
+        for i, key in enumerate(zip(host, art)):
+            if key not in seen:
+                seen.add(key)
+                out += [(*key, r) for r in held_runs(text[i], batch.column(3)[i].values.to_numpy()).tolist()]
+        h, a, r = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(a, pa.int64()), pa.array(r, pa.int64())], ["host", "art", "run"])
+
+
+def _trim(batches):
+    for batch in batches:
+        runs = batch.column(batch.num_columns - 1)
+        texts = [trim(t, runs[i].values.to_numpy()) for i, t in enumerate(batch.column(batch.num_columns - 2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], batch.schema.names[:-1])
+
+
+def trimmed(articles: DataFrame) -> DataFrame:
+    """(id, url, text) of `articles` (id, url, host, text), less what the hosts' templates put into them."""
+    told = articles.where("text != ''").withColumn("art", F.xxhash64("text"))
+    sizes = told.select("host", "art").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    sizes = stored(sizes.withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int")))
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
+    dealt = told.join(few, "host").select("host", F.pmod("art", "groups").cast("int").alias("part"), "art", "text")
+    dealt = dealt.mapInArrow(_once, "host string, part int, art long, packed binary")
+    usual = dealt.groupBy("host", "part").applyInPandas(_usual, "host string, run long")
+    usual = stored(usual.groupBy("host").agg(F.collect_set("run").alias("runs")))
+    plain = articles.select("id", "url", "text")
+    if usual.isEmpty():
+        return plain
+    held = told.join(usual, "host").select("host", "art", "text", "runs").mapInArrow(_held, "host string, art long, run long")
+    counts = held.distinct().groupBy("host", "run").agg(F.count("*").alias("has")).join(few, "host")
+    counts = counts.where((F.col("has") >= PAGES) & (2 * F.col("has") > F.col("n")))
+    template = stored(counts.groupBy("host").agg(F.collect_list("run").alias("runs")))
+    if template.isEmpty():
+        return plain
+    hosts = template.select("host")
+    cut_texts = articles.join(template, "host").select("id", "url", "text", "runs").mapInArrow(_trim, plain.schema)
+    return articles.join(hosts, "host", "left_anti").select("id", "url", "text").union(cut_texts)
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text) of every row of `pages`."""
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), host(F.col(url)).alias("host"), F.col(page).alias("page"))
     fields = [f for f in rows.schema.fields if f.name != "page"]
     added = [StructField("sig", LongType()), StructField("text", StringType()), StructField("body", ArrayType(StringType()))]
-    parsed = stored(rows.mapInArrow(_parse, StructType([*fields, *added])))  # every page is parsed once
-    decided = parsed.where("text is not null").select("id", "url", "text")
+    parsed = stored(rows.mapInArrow(_parse, StructType([*fields, *added])), "zstd")  # every page is parsed once
+    decided = trimmed(parsed.where("text is not null").select("id", "url", "host", "text"))
     open_hosts = stored(parsed.where("text is null").groupBy("host").agg(F.lit(1).alias("one")).select("host"))
     n_open = open_hosts.count()
     if n_open == 0:

@@ -100,6 +100,38 @@ def test_suffix_array_is_brute_force(run, pages):
         assert list(repeated(words, page, run, pages)) == brute_repeated(words.tolist(), page.tolist(), run, pages)
 
 
+def test_the_template_goes_out_of_articles(spark, monkeypatch):
+    """Blocks of more than half of a host's articles go, over groups and repeated rows; quotes and copies stay."""
+    own = lambda i: " ".join(f"own{i}w{k}" for k in range(30))
+    notice, sign = "Join our free club for weekly recipes", "Yours " + " ".join(f"s{k}" for k in range(20))
+    quote = "A line that three articles of the host quote"
+    page = lambda *blocks: "<nav>Home</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    rows, want = [], {}
+
+    def add(host, blocks, kept, times=1):
+        for _ in range(times):
+            want[len(rows)] = "\n".join(kept)
+            rows.append((len(rows), f"https://{host}/{len(rows)}", page(*blocks)))
+
+    for i in range(40):
+        some = [quote] if i < 3 else []
+        with_notice = [notice] if i % 3 else []  # 26 of 40
+        add("a.example", [f"T{i}", *with_notice, own(i), *some, sign], [f"T{i}", own(i), *some], times=5 if i == 0 else 1)
+    for i in range(6):  # copies with another date each: all repeats, all main text
+        add("b.example", [f"Day {i} of the year", own("b"), own("c")], [f"Day {i} of the year", own("b"), own("c")])
+    for i in range(6):  # half of the articles are not more than half
+        add("c.example", [own(f"c{i}"), *([notice] if i % 2 else [])], [own(f"c{i}"), *([notice] if i % 2 else [])])
+    for i in range(2):
+        add("d.example", [own(f"d{i}"), notice], [own(f"d{i}"), notice])
+    monkeypatch.setattr(htmlmain, "GROUP", 7)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.id: r.text for r in htmlmain.extract(df).collect()}
+    assert got == want
+    for host in "abcd":
+        mine = [r for r in rows if f"//{host}." in r[1]]
+        assert htmlmain.main_texts([r[2] for r in mine]) == [want[r[0]] for r in mine]
+
+
 def test_repeated_runs_go_outside_articles():
     notice = "<div>All rights reserved by the host</div>"
     pages = [f"<body>{notice}<p>{w}s are told {w} by {w}</p>{notice} tail {w}</body>" for w in ("alpha", "beta", "gamma", "delta")]
