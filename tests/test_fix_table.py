@@ -146,3 +146,42 @@ def test_edits_are_made_once(spark):
     assert [r.status for r in statuses.collect()] == ["applied"]
     plan = statuses._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_fixes_and_texts_are_shuffled_once(spark):
+    """Texts that lie by ids stay where they are, and fixes that met the approvals meet line counts and texts without a further shuffle."""
+    texts = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "file long, code string")
+    texts = texts.repartition(8, "file").groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("code")), "\n").alias("code"))
+    fixes = spark.createDataFrame([fix(1, "x", "DELETE", 2), fix(2, "y", "REPLACE", 1, "c", "C", confirm=True), fix(None, "z", "DELETE", 2)], SCHEMA)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = ft.apply_fixes(texts, fixes, approved=fixes.select("file", "fix_id"))
+        for out in done:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            # Spark's own shuffles are there for the texts and edits with a null among their ids, and for no others
+            own = re.findall(r"Exchange hashpartitioning\((.*), \d+\), ENSURE_REQUIREMENTS", plan)
+            assert len(own) == 2 and all("isnull(file" in x for x in own), own
+        assert {(r.file, r.fix_id): r.status for r in done.statuses.collect()} == {(1, "x"): "applied", (2, "y"): "applied", (None, "z"): "out_of_range"}
+        assert {(r.file, r.code_fixed) for r in done.texts.collect()} == {(1, "a"), (2, "C"), (None, "d")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_ids_of_several_columns_some_null(spark):
+    """Ids and fix_ids that are null, and an approval or a text alone, are told apart; the ids keep the fixes' type."""
+    t = spark.createDataFrame([(1, "u", "a\nb"), (1, None, "a"), (None, None, "a"), (None, None, "a\nb"), (3, "u", "a")], "a int, b string, code string")
+    rows = [
+        (1, "u", None, "DELETE", 2, True), (1, None, None, "DELETE", 2, None), (None, None, "d", "DELETE", 2, True), (None, None, None, "DELETE", 1, True),
+        (2, None, "d", "DELETE", 1, None), (1, "u", "d", "DELETE", 1, True), (1, None, "d", "MOVE", 1, None), (None, "u", "d", "DELETE", 1, None),
+    ]
+    f = spark.createDataFrame(rows, "a int, b string, fix_id string, fix_type string, line int, requires_confirmation boolean")
+    ok = spark.createDataFrame([(1, "u", None), (None, None, "d"), (None, None, "d"), (9, None, "d"), (3, "u", None)], "a long, b string, fix_id string")
+    done = ft.apply_fixes(t, f, id_cols=["a", "b"], approved=ok)
+    assert dict(done.statuses.dtypes)["a"] == "int"
+    assert {(r.a, r.b, r.fix_id): r.status for r in done.statuses.collect()} == {
+        (1, "u", None): "applied", (1, None, None): "out_of_range", (None, None, "d"): "applied", (None, None, None): "not_approved",
+        (2, None, "d"): "no_text", (1, "u", "d"): "not_approved", (1, None, "d"): "refused", (None, "u", "d"): "no_text",
+    }
+    got = sorted((str(r.a), str(r.b), r.code, r.code_fixed, r.n_applied) for r in done.texts.collect())
+    assert got == sorted([("1", "u", "a\nb", "a", 1), ("1", "None", "a", "a", 0), ("None", "None", "a", "a", 0), ("None", "None", "a\nb", "a", 1), ("3", "u", "a", "a", 0)])
